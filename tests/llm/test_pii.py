@@ -1,0 +1,77 @@
+import re
+
+import pytest
+
+from jobweave.llm.pii import PiiParams, pseudonymised, surrogates
+
+TEXTS = [
+    (1, "Write to Anna.Lee@Mail3.example.com or anna.lee@mail3.example.com, from 10.20.30.40."),
+    (2, "Call +1 (459) 555-9246 or 555-9246; card 4111111111111111, again 4111 1111 1111 1111."),
+    (3, 'token = "4d44c79e8bf7c55759c4958dd60ed83d2ef8cd4e"!! and Mr. John Smith met Mrs Smith and Frau Anna Müller.'),
+    (4, "г-н Иван Петров и г-жа Петров; bob@mail3.example.com"),
+    (5, None),
+    (6, ""),
+    (7, "nothing here, version 2.0 and 1,234,567 people"),
+    (8, "+1%%% (459)%%% 555-9246%%% end 144.137.247.239."),
+    (8, "+1%%% (459)%%% 555-9246%%% end 144.137.247.239."),
+    (None, "x@y.example.org"),
+    (9, "pad " * 40_000 + "z@y.example.org"),
+]
+
+
+@pytest.fixture(scope="module")
+def out(spark):
+    docs = spark.createDataFrame([(*r, "s", 7) for r in TEXTS], "doc_id long, text string, surrogate string, kind int")
+    return pseudonymised(docs).collect()
+
+
+def test_rows_and_columns(out):
+    assert len(out) == len(TEXTS) and out[0].__fields__ == ["doc_id", "text", "surrogate", "kind", "pii_entities"]
+    assert all(r.surrogate == "s" and r.kind == 7 for r in out)
+    n = {r.doc_id: r.pii_entities for r in out}
+    assert n == {1: 3, 2: 4, 3: 4, 4: 3, 5: 0, 6: 0, 7: 0, 8: 2, 9: 1, None: 1}
+
+
+def test_nothing_original_is_left_and_formats_hold(out):
+    text = {r.doc_id: r.text for r in out}
+    for secret in ("anna.lee@", "mail3", "10.20.30.40", "555-9246", "4111", "4d44c79e", "Smith", "John", "Müller", "Петров", "Иван", "144.137", "y.example.org"):
+        assert not any(secret.lower() in (t or "").lower() for t in text.values()), secret
+    assert text[5] is None and text[6] == "" and text[7] == TEXTS[6][1]
+    upper, lower = re.findall(r"\S+@\S+\.com", text[1])
+    assert upper.lower() == lower and upper[0].isupper() and re.fullmatch(r"[a-z]{4}\.[a-z]{3}@[a-z]{4}\d\.[a-z]{7}\.com", lower)
+    assert re.search(r"from \d\d\.\d\d\.\d\d\.\d\d\.", text[1])
+    assert lower.split("@")[1] == re.search(r"@(\S+)", text[4])[1]  # one domain
+    cards = re.search(r"card (\d{16}), again (\d{4} \d{4} \d{4} \d{4})", text[2])
+    assert cards[1] == cards[2].replace(" ", "")
+    total = sum(int(c) if k % 2 == 0 else sum(divmod(2 * int(c), 10)) for k, c in enumerate(cards[1][::-1]))
+    assert total % 10 == 0
+    names = re.search(r"Mr\. (\w+) (\w+) met Mrs (\w+) and Frau (\w+) (\w+)", text[3])
+    assert names[2] == names[3] and names[2] != names[5]
+    mine = re.search(r"г-н (\w+) (\w+) и г-жа (\w+);", text[4])
+    assert mine[2] == mine[3] and re.fullmatch(r"[А-яё]+", mine[1] + mine[2])
+    assert re.fullmatch(r'token = "[0-9a-f]{40}"!! .*', text[3])
+    assert re.fullmatch(r"\+\d%%% \(\d{3}\)%%% \d{3}-\d{4}%%% end \d{3}\.\d{3}\.\d{3}\.\d{3}\.", text[8])
+
+
+def test_collisions_are_redrawn(spark):
+    rows = [("phone", f"{a}-{b:04d}") for a in (555, 556) for b in range(300)] + [("name:latin:m", f"Name{k}") for k in range(200)] + [("ip", f"1.2.3.{k}") for k in range(10)]
+    got = surrogates(spark.createDataFrame(rows, "kind string, value string"), PiiParams()).collect()
+    assert sorted((r.kind, r.value) for r in got) == sorted(rows)
+    assert len({(r.kind, r.surrogate) for r in got}) == len(rows)
+    assert not {(r.kind, r.surrogate) for r in got} & set(rows)
+
+
+def test_empty(spark):
+    assert pseudonymised(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_table_rows_and_plan(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    out = pseudonymised(docs)
+    assert "Python" not in out._jdf.queryExecution().toString()
+    before, after = {r.doc_id: r.text for r in docs.collect()}, {r.doc_id: r.text for r in out.collect()}
+    assert before.keys() == after.keys()
+    for i, t in before.items():
+        for secret in re.findall(r"\S+@mail\d\.example\.com|\d{16}|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}|555-\d{4}", t):
+            assert secret not in after[i]
+        assert (t == after[i]) or re.search(r"\d", t)
