@@ -134,24 +134,20 @@ def connected_components(edges: DataFrame, partitions: int | None = None) -> Dat
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst")))
         pointer = both.groupBy("src").agg(F.min("dst").alias("low")).select("src", F.least("src", "low").alias("to"))
-        pointer = cut_lineage(pointer)
         for _ in range(2):
             onward = pointer.select(F.col("src").alias("to"), F.col("to").alias("further"))
-            pointer = pointer.join(onward, "to", "left").select("src", F.coalesce("further", "to").alias("to"))
+            pointer = pointer.join(onward, "to").select("src", F.col("further").alias("to"))
         pointer = cut_lineage(pointer)
         ends = pointer.select(F.col("src").alias("dst"), F.col("to").alias("new_dst"))
-        edges = edges.join(pointer, "src").select(F.col("to").alias("src"), "dst").distinct()
-        edges = cut_lineage(
-            edges.join(ends, "dst")
-            .select(F.least("src", "new_dst").alias("src"), F.greatest("src", "new_dst").alias("dst"))
-            .where("src <> dst")
-            .distinct()
-        )
-        if total is None:
-            total = pointer.select(F.col("src").alias("id"), F.col("to").alias("component"))
-        else:
-            onward = pointer.select(F.col("src").alias("component"), F.col("to").alias("further"))
-            total = total.join(onward, "component", "left").select("id", F.coalesce("further", "component").alias("component"))
+        # Only what still joins two vertices is kept; repeats fold in the next round's minimum.
+        edges = cut_lineage(edges.join(pointer, "src").join(ends, "dst").select(F.col("to").alias("src"), F.col("new_dst").alias("dst")).where("src <> dst"))
+        total = pointer.select(F.col("src").alias("id"), F.col("to").alias("component")) if total is None else relabelled(total, pointer)
     if total is None:
         return edges.select(F.col("src").alias("id"), F.col("dst").alias("component"))
     return cut_lineage(total)
+
+
+def relabelled(components: DataFrame, pointer: DataFrame) -> DataFrame:
+    """(id, component) after the components that have one moved along pointer (src, to)."""
+    onward = pointer.select(F.col("src").alias("component"), F.col("to").alias("further"))
+    return components.join(onward, "component", "left").select("id", F.coalesce("further", "component").alias("component"))

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import U64, WordHasher, chunks, connected_components, cut_lineage, mix64, seeded, shingle_hashes, utf8_buffers
+from jobweave.llm.common import U64, WordHasher, chunks, connected_components, cut_lineage, mix64, relabelled, seeded, shingle_hashes, utf8_buffers
 
 BITS = 4
 
@@ -127,19 +127,19 @@ class Forest:
         return True
 
 
-def block_links(ids: np.ndarray, sets: list[np.ndarray], packed: np.ndarray, groups: np.ndarray, probe: np.ndarray, params: MinHashParams) -> list[tuple[int, int]]:
-    """Spanning links of a block: exact, among pairs whose estimate is within reach of the threshold.
+def block_links(sets: list[np.ndarray], packed: np.ndarray, groups: np.ndarray, probe: np.ndarray, params: MinHashParams) -> list[tuple[int, int]]:
+    """Spanning links between the groups (known components) of a block: exact, among pairs whose estimate is within reach of the threshold.
 
-    Members of one group (known component) count as joined. probe: rows that are compared with all others.
+    probe: members that are compared with all others; the rest are not compared with each other.
     """
     t = params.percent / 100
     reach = t - params.slack * np.sqrt(t * (1 - t) / params.minima) - 0.01
-    forest, sizes, out = Forest(len(ids)), np.array([len(s) for s in sets]), []
+    forest, sizes, out = Forest(len(sets)), np.array([len(s) for s in sets]), []
     seen: dict[int, int] = {}
     for k, g in enumerate(groups.tolist()):
         forest.join(seen.setdefault(g, k), k)
-    order = np.arange(len(ids))
-    probing = np.zeros(len(ids), bool)
+    order = np.arange(len(sets))
+    probing = np.zeros(len(sets), bool)
     probing[probe] = True
     for first in range(0, len(probe), 64):
         rows = probe[first : first + 64]
@@ -156,12 +156,12 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], packed: np.ndarray, gro
                 both = np.add.reduceat((mine[at] == theirs).astype(np.int64), np.concatenate([[0], np.cumsum(sizes[some])[:-1]]))
                 for x in np.array(some)[100 * both >= params.percent * (len(mine) + sizes[some] - both)].tolist():
                     if forest.join(r, x):
-                        out.append((int(ids[r]), int(ids[x])))
+                        out.append((int(groups[r]), int(groups[x])))
     return out
 
 
 def _linked(members: DataFrame, params: MinHashParams) -> DataFrame:
-    """(src, dst) of the spanning links of each block; members: block, doc_id, known, probe, text, packed."""
+    """(src, dst) of the spanning links of each block; members: block, known, probe, text, packed."""
 
     def scan(batches):
         hasher, held, block = WordHasher(), [], None
@@ -169,27 +169,27 @@ def _linked(members: DataFrame, params: MinHashParams) -> DataFrame:
         def flush():
             if len(held) < 2:
                 return [], []
-            ids, known, probe, sets, packed = zip(*held, strict=True)
-            links = block_links(np.array(ids), list(sets), np.array(packed), np.array(known), np.flatnonzero(probe), params)
+            known, probe, sets, packed = zip(*held, strict=True)
+            links = block_links(list(sets), np.array(packed), np.array(known), np.flatnonzero(probe), params)
             return [a for a, _ in links], [b for _, b in links]
 
         for batch in batches:
             data, bounds = utf8_buffers(batch.column("text"))
             src, dst = [], []
-            columns = [batch.column(c).to_pylist() for c in ("block", "doc_id", "known", "probe", "packed")]
-            for b, i, k, p, s, shingles in zip(*columns, text_sets(data, bounds, hasher, params.words), strict=True):
+            columns = [batch.column(c).to_pylist() for c in ("block", "known", "probe", "packed")]
+            for b, k, p, s, shingles in zip(*columns, text_sets(data, bounds, hasher, params.words), strict=True):
                 if b != block:
                     got = flush()
                     src += got[0]
                     dst += got[1]
                     held, block = [], b
-                held.append((i, k, p, shingles, np.frombuffer(s, U64)))
+                held.append((k, p, shingles, np.frombuffer(s, U64)))
             yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
         src, dst = flush()
         yield pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
 
     # A block is a run of sorted rows, so its partition streams block by block.
-    rows = members.select("block", "doc_id", "known", "probe", "text", "packed").repartition("block").sortWithinPartitions("block", "doc_id")
+    rows = members.select("block", "known", "probe", "text", "packed").repartition("block").sortWithinPartitions("block", "known")
     return rows.mapInArrow(scan, "src long, dst long")
 
 
@@ -206,7 +206,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
     key = ["d1", "d2", "n_shingles"]
     filled = sketch.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("set")).select("doc_id", "set.*").where("n_shingles > 0")
     # Equal sets: one representative each.
-    reps = cut_lineage(filled.groupBy(*key).agg(F.min("doc_id").alias("rep")))
+    reps = filled.groupBy(*key).agg(F.min("doc_id").alias("rep"))
     of_rep = sketch.join(reps.select(*key, F.col("rep").alias("doc_id")), [*key, "doc_id"], "left_semi").dropDuplicates(["doc_id"])
     bands = of_rep.select(F.col("doc_id"), F.explode("keys").alias("key"))
     lead = bands.groupBy("key").agg(F.min("doc_id").alias("lead"), F.count("*").alias("n")).where("n > 1").select("key", "lead")
@@ -219,30 +219,34 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
         "family",
         F.greatest(F.ceil(F.col("docs") / params.block_docs), F.least(F.ceil(F.col("shingles") / params.block_shingles), F.ceil(F.col("docs") / 8))).cast("int").alias("blocks"),
     )
-    member = cut_lineage(member.join(size, "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")))
+    member = member.join(size, "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
+    # The members' texts are picked out of all texts once.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    member = cut_lineage(texts.join(member, "doc_id"))
 
-    own = member.withColumn("copies", F.array("part"))
-    hub = F.when((F.col("blocks") > 1) & F.col("is_hub"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.col("copies"))
     # Hubs: the members of a large family with the lowest hashes, about `hubs` of them, repeated in all of its blocks.
     share = F.lit(params.hubs) / (F.col("blocks") * params.block_docs)
-    own = own.withColumn("is_hub", (F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / 1_000_003) < share).withColumn("copies", hub)
-    first = own.withColumn("part", F.explode("copies")).select(F.concat_ws(":", "family", "part").alias("block"), "doc_id", F.col("doc_id").alias("known"), F.lit(True).alias("probe"), "packed")
-    links = cut_lineage(_linked(first.join(texts, "doc_id"), params))
+    is_hub = (F.col("blocks") > 1) & (F.pmod(F.xxhash64(F.lit(17), "doc_id"), F.lit(1_000_003)) / 1_000_003 < share)
+    every = F.sequence(F.lit(0), F.col("blocks") - 1)
+    block = F.concat_ws(":", "family", "part").alias("block")
+    first = member.withColumn("part", F.explode(F.when(is_hub, every).otherwise(F.array("part"))))
+    links = _linked(first.select(block, F.col("doc_id").alias("known"), F.lit(True).alias("probe"), "text", "packed"), params)
+    component = connected_components(links)
 
     # Second pass, for families over one block: all but the largest component against every block.
     wide = member.where("blocks > 1")
     if not wide.isEmpty():
-        parts = connected_components(links).withColumnRenamed("id", "doc_id").withColumnRenamed("component", "known")
+        parts = component.select(F.col("id").alias("doc_id"), F.col("component").alias("known"))
         wide = cut_lineage(wide.join(parts, "doc_id", "left").withColumn("known", F.coalesce("known", "doc_id")))
         weight = wide.groupBy("family", "known").agg(F.count("*").alias("n"))
         main = weight.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
         wide = wide.join(main, "family").withColumn("probe", F.col("known") != F.col("main"))
-        copies = F.when(F.col("probe"), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array("part"))
-        again = wide.withColumn("part", F.explode(copies)).select(F.concat_ws(":", "family", "part").alias("block"), "doc_id", "known", "probe", "packed")
-        links = cut_lineage(links.unionByName(_linked(again.join(texts, "doc_id"), params)))
+        again = wide.withColumn("part", F.explode(F.when(F.col("probe"), every).otherwise(F.array("part"))))
+        more = connected_components(_linked(again.select(block, "known", "probe", "text", "packed"), params))
+        alone = more.join(component, "id", "left_anti")
+        component = relabelled(component, more.select(F.col("id").alias("src"), F.col("component").alias("to"))).unionByName(alone)
 
-    component = connected_components(links).withColumnRenamed("id", "rep").withColumnRenamed("component", "component_id")
+    component = component.withColumnRenamed("id", "rep").withColumnRenamed("component", "component_id")
     reps = reps.join(component, "rep", "left").withColumn("component_id", F.coalesce("component_id", "rep"))
     full = filled.join(reps.select(*key, "component_id"), key).select("doc_id", "n_shingles", "component_id")
     empty = sketch.select("doc_id").distinct().join(filled, "doc_id", "left_anti").select("doc_id", F.lit(0).cast("long").alias("n_shingles"), F.col("doc_id").alias("component_id"))
