@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import ann, bpe, chat, decontaminate, langid, minhash, pii, quality
+from jobweave.llm import ann, bpe, chat, decontaminate, langid, minhash, pii, quality, repeats
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LINKS = minhash.MinHashParams(words=3, percent=85)
@@ -46,6 +46,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.deduplicated(table(spark, sf_dir, "documents"), text=False, digest=True)
+
+
 def op7_cross_polytope(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
