@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import ann, bpe, chat, decontaminate, langid, minhash, pii, quality, repeats
+from jobweave.llm import ann, bpe, chat, decontaminate, langid, licenses, minhash, pii, quality, repeats
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LINKS = minhash.MinHashParams(words=3, percent=85)
@@ -66,6 +66,10 @@ def op9_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), LINKS)
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
