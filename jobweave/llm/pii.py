@@ -24,7 +24,7 @@ NEUTRAL_TITLES = ["Dr", "Prof"]
 TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True))
 #: Patterns by type, in order of preference where several begin at one place.
 PATTERNS = {
-    "email": r"[\p{L}\p{N}._%+-]+@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
     "secret": r"(?<![\p{L}\p{N}])(?=\p{L}*\d)(?=\d*\p{L})(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|gho|AKIA)[-_]?[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
@@ -33,6 +33,8 @@ PATTERNS = {
     "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{Ll}}'’]+(?:[ -]\p{{Lu}}[\p{{Ll}}'’]+){{0,2}}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: Every entity holds an @, a digit or a title: a quick look that spares most texts the patterns.
+MAY_HOLD = rf"[@\d]|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{Ll}}'’]"
 #: Given names for the first attempt; later attempts build names from syllables.
 GIVEN = {
     ("latin", "m"): "Adrian Bruno Caspar Dario Emil Fabian Gideon Hugo Ivo Jonas Konrad Leon Marius Nils Oskar Pascal Quentin Rafael Simon Tobias".split(),
@@ -199,7 +201,7 @@ def pseudonymised(docs: DataFrame, params: PiiParams | None = None) -> DataFrame
     params = params or PiiParams()
     base = docs.drop("pii_entities")
     text = F.col("text").cast("string")
-    touched = text.rlike(ANY)
+    touched = text.rlike(MAY_HOLD) & text.rlike(ANY)
     mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
     # Few texts have an entity: only those are cut out and joined.
     texts = cut_lineage(base.where(touched).select(text.alias("text")).distinct().select("text", F.sha2("text", 256).alias("_text_key"), mentions.alias("_mentions")))
