@@ -2,12 +2,22 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 
+from jobweave.plans import queries_changes, queries_dedupe, queries_listing, queries_rules, queries_streams, queries_text
+from jobweave.plans.registry import QUERIES, SQL
+
+FAMILIES = [queries_rules, queries_listing, queries_dedupe, queries_text, queries_changes, queries_streams]
+
 
-def queries():
-    return {}
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(SQL)
+
+
+filter_cascade_counts = queries_rules.filter_cascade_counts
