@@ -44,20 +44,21 @@ class QualityModel:
             dictionary.precompute_compress(level=LEVEL)
             compressors.append(zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
         good, bad = (c.compress for c in compressors)
-        weights, size = np.array(self.weights), self.params.block_bytes
+        weights, size, longest = np.array(self.weights), self.params.block_bytes, self.params.window_chars
 
         def score(text: bytes) -> float:
             if not text:
                 return self.base_rate
-            return float(1 / (1 + np.exp(-np.clip(features(text, good, bad, size) @ weights, -30, 30))))
+            return float(1 / (1 + np.exp(-np.clip(features(text, good, bad, size, longest) @ weights, -30, 30))))
 
         return score
 
 
-def features(text: bytes, good, bad, size: int) -> np.ndarray:
+def features(text: bytes, good, bad, size: int, longest: int) -> np.ndarray:
+    """longest: the length (bytes) beyond which more length tells nothing, as no sample is longer."""
     blocks = [text[k : k + size] for k in range(0, len(text), size)]
     g, b = sum(len(good(x)) for x in blocks), sum(len(bad(x)) for x in blocks)
-    return np.array([1.0, 10 * (b - g) / (b + g), (b + g) / (2 * len(text)), np.log(len(text)) / 10])
+    return np.array([1.0, 10 * (b - g) / (b + g), (b + g) / (2 * len(text)), np.log(min(len(text), longest)) / 10])
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -114,7 +115,7 @@ def calibrated(model: QualityModel, unseen: dict[int, list[bytes]], rate: float)
     compressors = []
     for content in (model.good, model.bad):
         compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-    x = np.array([features(t, *compressors, model.params.block_bytes) for y in (0, 1) for t in unseen[y] if t])
+    x = np.array([features(t, *compressors, model.params.block_bytes, model.params.window_chars) for y in (0, 1) for t in unseen[y] if t])
     y = np.array([y for y in (0, 1) for t in unseen[y] if t], float)
     weight = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
     w = np.zeros(x.shape[1])
