@@ -140,8 +140,14 @@ def train(docs: DataFrame, learn: Column | None = None, params: LangParams | Non
     text = F.col("text").cast("string")
     rows = docs.where(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & (F.lit(True) if learn is None else learn))
     order = F.xxhash64(F.lit(params.seed), "doc_id")
-    place = F.pmod(F.xxhash64(F.lit(params.seed + 1), "doc_id"), F.greatest(F.lit(1), F.length(text) - params.sample_chars + 1)).cast("int") + 1
-    cut = rows.select(F.col("lang").cast("string").alias("lang"), order.alias("o"), F.substring(text, place, F.lit(params.sample_chars)).alias("t"))
+    # Languages are few. Of a frequent one only rows with low hashes go on, many times the sample, so that the ranking below stays small.
+    counts = {r.lang: r.n for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    shares = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * params.sample_per_language / n))]
+    if shares:
+        place = F.shiftrightunsigned(order, 11) / float(1 << 53)
+        rows = rows.where(place < F.element_at(F.create_map(*[x if k % 2 == 0 else x.cast("double") for k, x in enumerate(shares)]), F.col("lang").cast("string")))
+    offset = F.pmod(F.xxhash64(F.lit(params.seed + 1), "doc_id"), F.greatest(F.lit(1), F.length(text) - params.sample_chars + 1)).cast("int") + 1
+    cut = rows.select(F.col("lang").cast("string").alias("lang"), order.alias("o"), F.substring(text, offset, F.lit(params.sample_chars)).alias("t"))
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("o", "t"))
     sample = cut.withColumn("r", rank).where(F.col("r") <= params.sample_per_language).collect()
     return fit([(r.lang, r.t) for r in sorted(sample, key=lambda r: (r.lang, r.o, r.t))], params)
