@@ -327,3 +327,21 @@ def test_listing_edges(spark):
     assert [r.id for r in listing.searched(rows, "0%", ["title"], [F.asc("id")]).collect()] == [1]
     text_ = [r.line for r in listing.report(spark.createDataFrame([("s", 1, 2, 3)], "source string, passed long, manual long, dropped long"), spark.createDataFrame([("r", 3)], "reason string, n long")).collect()]
     assert text_ == ["s: passed 1, manual 2, dropped 3", "     3  r"]
+
+
+def test_adapter_and_verification(spark):
+    from jobweave.sources import adapter
+
+    got = adapter.answers(spark, "tests.fetchers:two_pages", ["x", "gone", "y"])
+    assert got.rdd.getNumPartitions() == 3
+    assert sorted((r.slug, r.page) for r in got.collect()) == [("x", 0), ("x", 1), ("y", 0), ("y", 1)]
+    assert sorted(r.source_id for r in normalise.greenhouse(readers.items(got, "greenhouse")).collect()) == ["x:x0", "x:x1", "y:y0", "y:y1"]
+    assert [r.slug for r in adapter.answers(spark, "tests.fetchers:refused", ["a", "b", "c"], limited=True, wait=0).collect()] == ["a"]
+
+    def check(source, slug):
+        if slug == "bad":
+            raise RuntimeError("no")
+        return True, len(slug), None
+
+    rows = spark.createDataFrame([("lever", "abc"), ("lever", "bad")], "source string, slug string")
+    assert sorted((r.slug, r.ok, r.job_count, r.error) for r in adapter.verified(rows, check).collect()) == [("abc", True, 3, None), ("bad", False, None, "no")]
