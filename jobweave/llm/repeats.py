@@ -31,7 +31,7 @@ FRAGMENT = "anchor long, hash long, starts int"
 class RepeatParams:
     length: int = 400  # bytes of a string that counts as repeated
     gram: int = 200  # bytes whose hash is an anchor; a string of `length` holds length - gram + 1 of them
-    step: int = 25  # bytes of a symbol; divides length
+    step: int = 50  # bytes of a symbol; divides length
     longest: int = 256  # starts of a fragment
     group: int = 1024  # different fragments of a group that one batch may hold
     batch_bytes: int = 1 << 19
@@ -69,25 +69,41 @@ def spread(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return group, np.arange(len(group)) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-def window_minima(h: np.ndarray, width: int) -> np.ndarray:
-    low, have = h, 1
+def over_windows(of, values: np.ndarray, width: int) -> np.ndarray:
+    """np.minimum or np.maximum over each window, by doubling."""
+    out, have = values, 1
     while have * 2 <= width:
-        low = np.minimum(low[:-have], low[have:])
+        out = of(out[:-have], out[have:])
         have *= 2
-    return low if have == width else np.minimum(low[: len(low) - (width - have)], low[width - have :])
+    return out if have == width else of(out[: len(out) - (width - have)], out[width - have :])
 
 
-def fragments(data: np.ndarray, rolling: Rolling, params: RepeatParams) -> tuple[np.ndarray, ...]:
-    """anchor, hash, first start, number of starts and whether the anchor occurs twice, of the fragments of a text."""
+def holds_twice(h: np.ndarray, low: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """For each run of windows of one minimum whether that may occur in it twice (never a miss).
+
+    A place is a minimum of some window if the greatest minimum of its windows is its own value; two such places of one value
+    that a window's width parts at most are next to each other among them.
+    """
+    twice = np.zeros(len(first), bool)
+    edge = np.zeros(width - 1, low.dtype)
+    own = np.flatnonzero(over_windows(np.maximum, np.concatenate([edge, low, edge]), width) == h)
+    again = np.flatnonzero((h[own[1:]] == h[own[:-1]]) & (np.diff(own) <= width))
+    for a, b in zip(own[again].tolist(), own[again + 1].tolist()):
+        begin, end = np.searchsorted(first, (max(0, b - width), min(a + 1, len(low) - 1)), "right")
+        twice[max(0, begin - 1) : end] = True
+    return twice
+
+
+def fragments(data: np.ndarray, rolling: Rolling, params: RepeatParams, counted: bool = True) -> tuple[np.ndarray, ...]:
+    """anchor, hash, first start, number of starts and (if counted) whether the anchor may occur twice, of the fragments of a text."""
     n, width = len(data), params.length - params.gram + 1
     of = rolling(data)
     at = np.arange(n - params.gram + 1)
     h = mix64(of(at, at + params.gram))
-    low = window_minima(h, width)
-    first = np.concatenate([[0], np.flatnonzero(np.diff(low)) + 1])
+    low = over_windows(np.minimum, h, width)
+    first = np.concatenate([[0], np.flatnonzero(low[1:] != low[:-1]) + 1])
     last = np.concatenate([first[1:], [len(low)]])
-    run, place = spread(last - first + width - 1)
-    twice = np.bincount(run, weights=h[first[run] + place] == low[first[run]], minlength=len(first)) > 1
+    twice = holds_twice(h, low, first, width) if counted else np.zeros(len(first), bool)
     piece, place = spread(-(-(last - first) // params.longest))
     start = first[piece] + place * params.longest
     end = np.minimum(start + params.longest, last[piece])
@@ -107,7 +123,7 @@ def occurrences(texts: DataFrame, params: RepeatParams, counted: bool) -> DataFr
             data, bounds = utf8_buffers(batch.column(1))
             found, whose = [], []
             for k in np.flatnonzero(np.diff(bounds) >= params.length).tolist():
-                found.append(fragments(data[bounds[k] : bounds[k + 1]], rolling, params))
+                found.append(fragments(data[bounds[k] : bounds[k + 1]], rolling, params, counted))
                 whose.append(np.full(len(found[-1][0]), k))
             if not found:
                 continue
