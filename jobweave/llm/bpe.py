@@ -25,6 +25,8 @@ PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?
 NEVER = 1 << 60
 BATCH_CHARS = 2_000_000
 CACHE_WORDS = 400_000
+ENDING = 4
+SHORT = tuple(range(ENDING, 0, -1))
 
 
 def byte_characters() -> dict[str, int]:
@@ -62,6 +64,7 @@ class ByteBPE:
         self._reachable(parts)
         self.pattern = regex.compile(PATTERN)
         self.special_pattern = regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")") if self.special else None
+        self.sizes = list(map(len, self.bytes_of))
         self.joins: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
 
@@ -97,11 +100,16 @@ class ByteBPE:
             if a in ok and b in ok and not self._crosses(a, b, rank):
                 ok.add(token)
         self.usable = {t: i for t, i in self.ids.items() if i in ok}
-        self.longest = max(map(len, self.usable))
+        # The lengths of the tokens with one ending, longest first, down to the ending's own: most substrings of a word are no tokens.
+        lengths: dict[bytes, set[int]] = {}
+        for t in self.usable:
+            if len(t) > ENDING:
+                lengths.setdefault(t[-ENDING:], set()).add(len(t))
+        self.lengths = {end: (*sorted(own, reverse=True), *SHORT) for end, own in lengths.items()}
 
     def _encode_words(self, words: Iterable[str]) -> None:
         """Put the ids of new words into the cache, by a depth-first walk over their trie."""
-        usable, joins, longest, sizes = self.usable, self.joins, self.longest, list(map(len, self.bytes_of))
+        usable, joins, lengths, sizes = self.usable, self.joins, self.lengths, self.sizes
         last = [-1]  # the last token of each prefix on the path
         before = b""
         for word, text in sorted((w.encode(), w) for w in words):
@@ -112,7 +120,10 @@ class ByteBPE:
                 shared += 1
             del last[shared + 1 :]
             for depth in range(shared + 1, len(word) + 1):
-                for start in range(max(0, depth - longest), depth):
+                for length in lengths.get(word[depth - ENDING : depth], SHORT) if depth >= ENDING else SHORT:
+                    start = depth - length
+                    if start < 0:
+                        continue
                     token = usable.get(word[start:depth])
                     if token is None:
                         continue
