@@ -1,23 +1,29 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare-word seeds, then Smith-Waterman alignment of words.
 
-One scan counts, over all documents, in how many each n-gram of the test items occurs. Each item keeps the rarer half
-of its n-grams as seeds (ranked within the item, so a passage that leaked a million times keeps its seeds). A second
-scan looks the seeds up in every text; where enough of an item's seeds lie close to one diagonal, the words there
-are aligned with the item's, so that edited copies score too.
+One scan counts, over all documents, in how many each word of the test items occurs. Each item keeps its rarer words as
+seeds (ranked within the item, so a passage that leaked a million times keeps its seeds). A second scan looks the seeds up
+in every text; where enough of an item's seeds lie together, the words there are aligned with the item's, so that
+edited copies score too.
+
+Nothing that reaches the threshold is lost: such a passage matches `least` of an item's m words (the threshold's share of m) and is no
+longer than `reach` words, as a longer one pays too much for its gaps. Of any m - least + hits seeds it therefore holds `hits` within
+`reach` words, wherever the edits are. Longer n-grams give no such bound: with every third word replaced none is left.
 
 The seeds are broadcast in parts of at most `part_items` items; a larger benchmark takes more scans, not more memory.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import U64, WordHasher, chunks, cut_lineage, shingle_hashes, utf8_buffers
+from jobweave.llm.common import U64, WordHasher, chunks, cut_lineage, utf8_buffers
 
 #: What separates words: all ASCII but letters and digits.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -25,13 +31,24 @@ SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
 
 @dataclass(frozen=True)
 class DecontaminateParams:
-    words: int = 3  # of a seed
-    seeds: int = 2  # on one diagonal that call for an alignment
-    band: int = 8  # words by which the seeds of a diagonal may shift
+    words: int = 3  # an item of fewer is found only as a whole text
     threshold: float = 0.5  # of the item's own score
     mismatch: float = -0.5
     gap: float = -0.5
     part_items: int = 20_000
+    held_hits: int = 1 << 21  # hits that are sorted together
+
+    def least(self, m: int) -> int:
+        """Words that a passage must share with an item of m words."""
+        return max(1, int(np.ceil(self.threshold * m - 1e-9)))
+
+    def hits(self, m: int) -> int:
+        """Seeds that call for a closer look."""
+        return max(1, self.least(m) // 4)
+
+    def reach(self, m: int) -> int:
+        """Words of the longest passage that can reach the threshold."""
+        return m + int((1 - self.threshold) * m / -self.gap + 1e-9) if self.gap < 0 else 1 << 40
 
 
 def align(item: np.ndarray, text: np.ndarray, params: DecontaminateParams) -> tuple[float, int, int]:
@@ -98,8 +115,8 @@ def benchmark_parts(benchmark: DataFrame, params: DecontaminateParams):
         yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
 
 
-def seed_counts(docs: DataFrame, seeds: np.ndarray, params: DecontaminateParams) -> dict[int, int]:
-    """The number of documents that hold each of the n-grams."""
+def seed_counts(docs: DataFrame, seeds: np.ndarray) -> dict[int, int]:
+    """The number of documents that hold each of the words."""
 
     def scan(batches):
         hasher, lookup = WordHasher(SEPARATORS), Lookup(seeds)
@@ -109,28 +126,103 @@ def seed_counts(docs: DataFrame, seeds: np.ndarray, params: DecontaminateParams)
             for first, last in chunks(bounds):
                 part = bounds[first : last + 1]
                 words, _, _, own = hasher(data[part[0] : part[-1]], part - part[0])
-                place, index = lookup.find(shingle_hashes(words, params.words))
+                place, index = lookup.find(words)
                 text = np.searchsorted(own, place, "right") - 1
-                inside = place + params.words <= own[text + 1]
-                seen = np.unique(text[inside] * len(lookup.sorted) + index[inside])
+                seen = np.unique(text * len(lookup.sorted) + index)
                 np.add.at(total, seen % len(lookup.sorted), 1)
         held = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(lookup.sorted[held].astype(np.int64)), pa.array(total[held])], ["seed", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "seed long, n long")
-    # One row at most for each n-gram of a part of the benchmark.
+    # One row at most for each word of a part of the benchmark.
     return {r.seed & 0xFFFFFFFFFFFFFFFF: r.n for r in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()}
 
 
-def rare_seeds(words: dict[int, np.ndarray], counts: dict[int, int], params: DecontaminateParams) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """seed, item, place in the item: of each item the rarer half of its n-grams, and eight at least."""
-    rows = []
+def rare_seeds(words: dict[int, np.ndarray], counts: dict[int, int], params: DecontaminateParams) -> tuple[np.ndarray, np.ndarray]:
+    """seed, item: of each item its rarer words, as many as leave no passage that reaches the threshold without `hits` of them."""
+    rows = set()
     for item_id, own in words.items():
-        grams = shingle_hashes(own, params.words)
-        order = sorted(range(len(grams)), key=lambda k: (counts.get(int(grams[k]), 0), k))
-        rows += [(int(grams[k]), item_id, k) for k in order[: max(8, -(-len(grams) // 2))]]
-    rows.sort()
-    return np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows], np.int64), np.array([r[2] for r in rows], np.int64)
+        m = len(own)
+        order = sorted(range(m), key=lambda k: (counts.get(int(own[k]), 0), int(own[k])))
+        rows |= {(int(own[k]), item_id) for k in order[: m - params.least(m) + params.hits(m)]}
+    rows = sorted(rows)
+    return np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows], np.int64)
+
+
+class Seeds:
+    """Finds the stretches of texts that may hold a passage of an item."""
+
+    def __init__(self, words_of: dict[int, np.ndarray], seed: np.ndarray, item: np.ndarray, params: DecontaminateParams):
+        self.params, self.words_of = params, words_of
+        self.items = np.unique(item)
+        self.lookup = Lookup(seed)
+        rank = np.searchsorted(self.items, item)
+        self.post = np.searchsorted(self.lookup.sorted, seed) * max(1, len(self.items)) + rank  # sorted, as (seed, item) are
+        self.rank = rank
+        sizes = [len(words_of[i]) for i in self.items.tolist()]
+        self.hits, self.reach = (np.array([f(m) for m in sizes], np.int64) for f in (params.hits, params.reach))
+        self.distinct, self.cost = {}, max(0.0, min(-params.mismatch, -params.gap))
+
+    def stretches(self, words: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, item, begin, end) of words; own: the bounds of the texts' words."""
+        place, index = self.lookup.find(words)
+        text = np.searchsorted(own, place, "right") - 1
+        yield from self._within(words, own, place, index, text, 0, len(self.items))
+
+    def _within(self, words, own, place, index, text, low, high):
+        if not len(place):
+            return
+        n = len(self.items)
+        first, last = np.searchsorted(self.post, index * n + low), np.searchsorted(self.post, index * n + high)
+        times = last - first
+        total = int(times.sum())
+        if total > self.params.held_hits and text[0] != text[-1]:
+            # Fewer texts at once, then fewer items: a text is not cut.
+            cut = int(np.searchsorted(text, text[len(text) // 2]))
+            cut = cut or int(np.searchsorted(text, text[0], "right"))
+            for part in (slice(0, cut), slice(cut, None)):
+                yield from self._within(words, own, place[part], index[part], text[part], low, high)
+            return
+        if total > self.params.held_hits and high - low > 1:
+            middle = (low + high) // 2
+            yield from self._within(words, own, place, index, text, low, middle)
+            yield from self._within(words, own, place, index, text, middle, high)
+            return
+        # The hits of each item in order of their places, in one number each.
+        stride = len(words) + 1
+        at = np.repeat(first - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(total)
+        key = self.rank[at] * stride + np.repeat(place, times)
+        key.sort()
+        item, place = np.divmod(key, stride)
+        end = np.arange(total) + self.hits[item] - 1
+        begin = np.flatnonzero(end < total)
+        end = end[begin]
+        near = (item[begin] == item[end]) & (place[end] - place[begin] < self.reach[item[begin]])
+        begin, end = begin[near], end[near]
+        text = np.searchsorted(own, place[begin], "right") - 1
+        same = place[end] < own[text + 1]
+        begin, end, text = begin[same], end[same], text[same]
+        if not len(begin):
+            return
+        item, reach = item[begin], self.reach[item[begin]]
+        start, stop = np.maximum(own[text], place[end] - reach + 1), np.minimum(own[text + 1], place[begin] + reach)
+        breaks = np.flatnonzero((np.diff(item) != 0) | (np.diff(text) != 0) | (start[1:] > stop[:-1])) + 1
+        for a, b in zip([0, *breaks.tolist()], [*(breaks - 1).tolist(), len(item) - 1], strict=True):
+            yield from self._dense(words, int(text[a]), int(self.items[item[a]]), int(start[a]), int(stop[b]))
+
+    def _dense(self, words, text, item, start, stop):
+        """The part of a stretch that can reach the threshold if every word of the item's counts, wherever it stands, and every other costs."""
+        mine = self.words_of[item]
+        if item not in self.distinct:
+            self.distinct[item] = np.unique(mine)
+        distinct, part = self.distinct[item], words[start:stop]
+        held = distinct[np.minimum(np.searchsorted(distinct, part), len(distinct) - 1)] == part
+        total = np.concatenate([[0.0], np.cumsum(np.where(held, 1.0, -self.cost))])
+        wanted = self.params.threshold * len(mine) - 1e-9
+        ends = np.flatnonzero(total - np.minimum.accumulate(total) >= wanted)
+        if len(ends):
+            begins = np.flatnonzero(np.maximum.accumulate(total[::-1])[::-1] - total >= wanted)
+            yield text, item, start + int(begins[0]), start + int(ends[-1])
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | None = None) -> DataFrame:
@@ -138,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | N
 
     One row for each document and item whose best alignment reaches the threshold. Null or empty texts and items, items and
     documents without words and null ids give no rows; a repeated document gives its rows once. An item under
-    `words` words is one seed as a whole, found where its words stand in a row and fill the document. Other columns are ignored.
+    `words` words is found where its words stand in a row and fill the document. Other columns are ignored.
     """
     params = params or DecontaminateParams()
     spark = docs.sparkSession
@@ -148,8 +240,8 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | N
         words = item_words(items)
         if not words:
             continue
-        grams = np.unique(np.concatenate([shingle_hashes(w, params.words) for w in words.values()]))
-        seeds = rare_seeds(words, seed_counts(texts, grams, params), params)
+        counts = seed_counts(texts, np.unique(np.concatenate(list(words.values()))))
+        seeds = rare_seeds({i: w for i, w in words.items() if len(w) >= params.words}, counts, params)
         # At most part_items items: a fixed bound.
         found = _aligned(texts, spark.sparkContext.broadcast((words, seeds)), params)
         out = found if out is None else out.unionByName(found)
@@ -160,43 +252,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | N
 
 def _aligned(texts: DataFrame, shared, params: DecontaminateParams) -> DataFrame:
     def scan(batches):
-        words_of, (seed, item, place_in_item) = shared.value
-        hasher, lookup = WordHasher(SEPARATORS), Lookup(seed)
-        low, high = np.searchsorted(seed, lookup.sorted), np.searchsorted(seed, lookup.sorted, "right")
-        needed = {i: min(params.seeds, max(1, len(w) // 4)) for i, w in words_of.items()}
+        words_of, (seed, item) = shared.value
+        hasher, seeds = WordHasher(SEPARATORS), Seeds(words_of, seed, item, params)
+        short: dict[bytes, list[int]] = {}
+        for i, w in words_of.items():
+            if len(w) < params.words:
+                short.setdefault(w.tobytes(), []).append(i)
         for batch in batches:
             data, bounds = utf8_buffers(batch.column(0))
             ids, rows = batch.column(1), []
             for first, last in chunks(bounds):
                 part = bounds[first : last + 1]
                 words, starts, stops, own = hasher(data[part[0] : part[-1]], part - part[0])
-                grams = [shingle_hashes(words, params.words)]
-                place, index = lookup.find(grams[0])
-                text = np.searchsorted(own, place, "right") - 1
-                inside = place + params.words <= own[text + 1]
-                place, index, text = place[inside], index[inside], text[inside]
-                # Texts shorter than a seed are one seed as a whole.
-                for k in np.flatnonzero((np.diff(own) > 0) & (np.diff(own) < params.words)).tolist():
-                    _, hit = lookup.find(shingle_hashes(words[own[k] : own[k + 1]], params.words))
-                    if len(hit):
-                        place, index, text = np.append(place, own[k]), np.append(index, hit[0]), np.append(text, k)
-                if not len(place):
-                    continue
-                # A hit for each item that has the seed, in order of text, item and diagonal.
-                times = (high - low)[index]
-                at = np.repeat(low[index] - np.concatenate([[0], np.cumsum(times)[:-1]]), times) + np.arange(times.sum())
-                text, place = np.repeat(text, times), np.repeat(place, times)
-                diagonal = place - place_in_item[at]
-                order = np.lexsort((diagonal, item[at], text))
-                text, found, diagonal = text[order], item[at][order], diagonal[order]
-                breaks = np.flatnonzero((np.diff(text) != 0) | (np.diff(found) != 0) | (np.diff(diagonal) > params.band)) + 1
-                for a, b in zip(np.concatenate([[0], breaks]).tolist(), np.concatenate([breaks, [len(text)]]).tolist()):
-                    t, i = int(text[a]), int(found[a])
-                    if b - a < needed[i]:
-                        continue
+                whole = np.flatnonzero((np.diff(own) > 0) & (np.diff(own) < params.words)).tolist() if short else []
+                found = [(t, i, int(own[t]), int(own[t + 1])) for t in whole for i in short.get(words[own[t] : own[t + 1]].tobytes(), [])]
+                for t, i, begin, end in chain(found, seeds.stretches(words, own)):
                     mine = words_of[i]
-                    spare = params.band + len(mine) // 4
-                    begin, end = max(int(own[t]), int(diagonal[a]) - spare), min(int(own[t + 1]), int(diagonal[b - 1]) + len(mine) + spare)
                     score, x, y = align(mine, words[begin:end], params)
                     if score >= params.threshold * len(mine):
                         offset = int(part[t] - part[0])

@@ -58,3 +58,25 @@ def test_every_whole_copy_is_found(spark):
     whole = {(r.doc_id, i) for r in docs.collect() for i, w in items.items() if w in words(r.text)}
     out = {(r.doc_id, r.item_id): r.score for r in leaks(docs, bench).collect()}
     assert whole and whole <= set(out) and all(s >= 0.5 for s in out.values())
+
+
+def test_edited_copies_against_full_alignment(spark):
+    rng, p = random.Random(8), DecontaminateParams()
+    vocabulary = [f"word{k}" for k in range(2000)] + ["the", "of", "and"] * 400
+    items = [(k, [rng.choice(vocabulary) for _ in range(n)]) for k, n in enumerate([4, 7, 12, 20, 37, 37, 60] * 2)]
+    docs = []
+    for _, words in items:
+        for every in (3, 4, 5, 7):
+            docs.append([f"new{k}" if k % every == every - 1 else w for k, w in enumerate(words)])
+        for share in (0.1, 0.2, 0.3, 0.4):
+            docs.append([f"new{k}" if rng.random() < share else w for k, w in enumerate(words)])
+            docs.append([x for k, w in enumerate(words) for x in ([f"new{k}", w] if rng.random() < 2 * share else [w])])
+    docs = [[rng.choice(vocabulary) for _ in range(rng.randrange(40))] + d + [rng.choice(vocabulary) for _ in range(rng.randrange(40))] for d in docs]
+    number = {}
+    code = lambda words: np.array([number.setdefault(w, len(number)) for w in words])
+    want = {(k, i): s for k, d in enumerate(docs) for i, w in items if (s := align(code(w), code(d), p)[0] / len(w)) >= p.threshold}
+    frame = spark.createDataFrame([(k, " ".join(d)) for k, d in enumerate(docs)], "doc_id long, text string")
+    bench = spark.createDataFrame([(i, " ".join(w)) for i, w in items], "item_id long, text string")
+    for params in (p, DecontaminateParams(held_hits=3)):
+        got = {(r.doc_id, r.item_id): r.score for r in leaks(frame, bench, params).collect()}
+        assert got == want and len(want) > 100
