@@ -6,7 +6,7 @@ join representatives into candidate families (only ids move). Each family's sets
 of bounded size; within a block the packed signatures' bit counts give a collision-corrected similarity that
 prunes pairs, and exact intersections of the full sets confirm the links. Only spanning links leave a block.
 Families over one block share hub members across blocks; what a family's blocks leave unmerged
-meets every other block of the family in a second pass, so no link between blocks is lost.
+meets all other members of the family in a second pass, by pairs of bounded parts, so no link between blocks is lost.
 """
 
 from __future__ import annotations
@@ -130,7 +130,7 @@ class Forest:
 def block_links(sets: list[np.ndarray], packed: np.ndarray, groups: np.ndarray, probe: np.ndarray, params: MinHashParams) -> list[tuple[int, int]]:
     """Spanning links between the groups (known components) of a block: exact, among pairs whose estimate is within reach of the threshold.
 
-    probe: members that are compared with all others; the rest are not compared with each other.
+    probe: members that are compared with the rest; where all are probes, with each other.
     """
     t = params.percent / 100
     reach = t - params.slack * np.sqrt(t * (1 - t) / params.minima) - 0.01
@@ -146,7 +146,7 @@ def block_links(sets: list[np.ndarray], packed: np.ndarray, groups: np.ndarray,
         near = estimate(packed[rows], packed, params.minima) >= reach
         small, large = np.minimum(sizes[rows, None], sizes), np.maximum(sizes[rows, None], sizes)
         near &= 100 * small >= params.percent * large
-        near &= (order > rows[:, None]) | ~probing  # a pair of two probes counts once
+        near &= (order > rows[:, None]) if len(probe) == len(sets) else ~probing
         for r, mask in zip(rows.tolist(), near, strict=True):
             left, mine = order[mask].tolist(), sets[r]
             while left := [x for x in left if forest.find(x) != forest.find(r)]:
@@ -193,6 +193,32 @@ def _linked(members: DataFrame, params: MinHashParams) -> DataFrame:
     return rows.mapInArrow(scan, "src long, dst long")
 
 
+def _blocks(docs, shingles, params: MinHashParams):
+    """The number of parts of bounded size."""
+    return F.greatest(F.ceil(docs / params.block_docs), F.least(F.ceil(shingles / params.block_shingles), F.ceil(docs / 8))).cast("int")
+
+
+def _pair_blocks(members: DataFrame, params: MinHashParams) -> DataFrame:
+    """members (family, doc_id, n_shingles, probe, ...) with block, repeated for each block they are in.
+
+    A family's probes and the rest of it, never empty, are cut into parts. A block holds one part of the probes and either one part of the rest or one
+    other part of the probes, so it is bounded however many probes there are, and each pair with a probe meets in one block.
+    Of two different parts of probes only the first is marked so: neither is compared within itself there.
+    """
+    size = members.groupBy("family", "probe").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
+    size = size.withColumn("parts", _blocks(F.col("docs"), F.col("shingles"), params)).groupBy("family")
+    size = size.agg(F.max(F.when(F.col("probe"), F.col("parts"))).alias("probe_parts"), F.max(F.when(~F.col("probe"), F.col("parts"))).alias("rest_parts"))
+    members = members.join(size.where("probe_parts is not null"), "family")
+    members = members.withColumn("own", F.pmod(F.xxhash64(F.lit(29), "doc_id"), F.when(F.col("probe"), F.col("probe_parts")).otherwise(F.col("rest_parts"))).cast("int"))
+    up_to = lambda n: F.sequence(F.lit(0), F.col(n) - 1)
+    pair = lambda kind, a, b, first: F.struct(F.concat_ws(":", F.lit(kind), "family", a, b).alias("block"), first.alias("probe"))
+    with_rest = F.transform(up_to("rest_parts"), lambda j: pair("rest", F.col("own"), j, F.lit(True)))
+    with_probes = F.transform(up_to("probe_parts"), lambda k: pair("probes", F.least(F.col("own"), k), F.greatest(F.col("own"), k), F.col("own") <= k))
+    of_rest = F.transform(up_to("probe_parts"), lambda i: pair("rest", i, F.col("own"), F.lit(False)))
+    places = F.when(F.col("probe"), F.concat(with_rest, with_probes)).otherwise(of_rest)
+    return members.withColumn("place", F.explode(places)).withColumns({"block": F.col("place.block"), "probe": F.col("place.probe")}).drop("place", "own", "probe_parts", "rest_parts")
+
+
 def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: every document with the smallest doc_id it is linked to.
 
@@ -215,10 +241,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
 
     member = family.join(of_rep.select("doc_id", "n_shingles", "packed"), "doc_id")
     size = member.groupBy("family").agg(F.count("*").alias("docs"), F.sum("n_shingles").alias("shingles"))
-    size = size.select(
-        "family",
-        F.greatest(F.ceil(F.col("docs") / params.block_docs), F.least(F.ceil(F.col("shingles") / params.block_shingles), F.ceil(F.col("docs") / 8))).cast("int").alias("blocks"),
-    )
+    size = size.select("family", _blocks(F.col("docs"), F.col("shingles"), params).alias("blocks"))
     member = member.join(size, "family").withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
     # The members' texts are picked out of all texts once.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -233,7 +256,7 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
     links = _linked(first.select(block, F.col("doc_id").alias("known"), F.lit(True).alias("probe"), "text", "packed"), params)
     component = connected_components(links)
 
-    # Second pass, for families over one block: all but the largest component against every block.
+    # Second pass, for families over one block: all but the largest component against all members.
     wide = member.where("blocks > 1")
     if not wide.isEmpty():
         parts = component.select(F.col("id").alias("doc_id"), F.col("component").alias("known"))
@@ -241,8 +264,8 @@ def near_duplicates(docs: DataFrame, params: MinHashParams | None = None) -> Dat
         weight = wide.groupBy("family", "known").agg(F.count("*").alias("n"))
         main = weight.groupBy("family").agg(F.max_by("known", F.struct("n", "known")).alias("main"))
         wide = wide.join(main, "family").withColumn("probe", F.col("known") != F.col("main"))
-        again = wide.withColumn("part", F.explode(F.when(F.col("probe"), every).otherwise(F.array("part"))))
-        more = connected_components(_linked(again.select(block, "known", "probe", "text", "packed"), params))
+        again = _pair_blocks(wide, params)
+        more = connected_components(_linked(again.select("block", "known", "probe", "text", "packed"), params))
         alone = more.join(component, "id", "left_anti")
         component = relabelled(component, more.select(F.col("id").alias("src"), F.col("component").alias("to"))).unionByName(alone)
 

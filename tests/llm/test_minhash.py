@@ -1,6 +1,6 @@
 import re
 
-from jobweave.llm.minhash import MinHashParams, near_duplicates
+from jobweave.llm.minhash import MinHashParams, _pair_blocks, near_duplicates
 
 FOLD = {c: c + 32 for c in range(65, 91)}
 SF = "/root/testdata/sf0.01"
@@ -73,3 +73,21 @@ def test_families_over_many_blocks(spark):
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     out = near_duplicates(docs, MinHashParams(words=3, percent=85, block_docs=16, hubs=3))
     assert got(out) == brute_force(rows)
+
+
+def test_second_pass_blocks_are_bounded_and_meet_each_pair_once(spark):
+    n, params = 600, MinHashParams(block_docs=50)
+    rows = [(1, k, 10, k % 6 != 0) for k in range(n)] + [(2, 1000 + k, 10, False) for k in range(100)]
+    members = spark.createDataFrame(rows, "family long, doc_id long, n_shingles long, probe boolean")
+    blocks = {}
+    for r in _pair_blocks(members, params).collect():
+        assert r.family == 1
+        blocks.setdefault(r.block, []).append((r.doc_id, r.probe))
+    assert max(map(len, blocks.values())) < 4 * params.block_docs
+    met = {}
+    for held in blocks.values():
+        for k, (a, p) in enumerate(held):
+            for b, q in held[:k]:
+                if p != q or all(x for _, x in held):
+                    met[min(a, b), max(a, b)] = met.get((min(a, b), max(a, b)), 0) + 1
+    assert met == {(a, b): 1 for a in range(n) for b in range(a + 1, n) if a % 6 or b % 6}
