@@ -26,7 +26,7 @@ TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES, key=len,
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?<![\p{L}\p{N}])(?=\p{L}*\d)(?=\d*\p{L})(?:[0-9a-f]{32,}|[0-9A-F]{32,}|(?:sk|pk|ghp|gho|AKIA)[-_]?[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
+    "secret": r"(?<![\p{L}\p{N}])(?:(?=\p{L}*\d)(?=\d*\p{L})(?:[0-9a-f]{32,}|[0-9A-F]{32,})|(?:sk|pk|ghp|gho|AKIA)[-_]?(?=[A-Za-z]*\d)[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "phone": rf"(?<!\d)(?:\+\d{{1,3}}{BREAK}\(\d{{1,4}}\){BREAK}\d{{3,4}}[- .]\d{{3,4}}|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{3,5}}|\(\d{{3}}\){BREAK}\d{{3}}[- .]\d{{4}}|(?:\d{{3}}[- .])?\d{{3}}-\d{{4}})(?!\d)",
     "number": r"(?<![\d.,-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{3}-\d{2}-\d{4})(?![\d-])",

@@ -75,3 +75,15 @@ def test_table_rows_and_plan(spark):
         for secret in re.findall(r"\S+@mail\d\.example\.com|\d{16}|\d+\.\d+\.\d+\.\d+|[0-9a-f]{40}|555-\d{4}", t):
             assert secret not in after[i]
         assert (t == after[i]) or re.search(r"\d", t)
+
+
+@pytest.mark.parametrize("prefix", ["sk-", "sk_", "sk", "pk-", "pk_", "pk", "ghp_", "ghp", "gho_", "gho", "AKIA-", "AKIA"])
+def test_keys_of_every_prefix_are_replaced(spark, prefix):
+    keys = [prefix + "abc123def456ghi789jkl012", prefix + "16C7e42F292c6912E7710c838347Ae178B4a", prefix + "1234567890123456"]
+    docs = spark.createDataFrame([(k, f"key={key}, end") for k, key in enumerate(keys)] + [(9, f"{prefix}abcdefghijklmnopqrstuvwx")], "doc_id long, text string")
+    out = {r.doc_id: r for r in pseudonymised(docs).collect()}
+    for k, key in enumerate(keys):
+        shape = re.escape(prefix[-1]) if prefix[-1] in "-_" else ""
+        assert out[k].pii_entities == 1 and key[len(prefix) :] not in out[k].text
+        assert re.fullmatch(rf"key=[A-Za-z]+{shape}[A-Za-z0-9]+, end", out[k].text) and len(out[k].text) == len(f"key={key}, end")
+    assert out[9].pii_entities == 0  # no digit: a word
