@@ -29,7 +29,6 @@ class AnnParams:
     block_rows: int = 4096  # entries of a bucket that are held together
     tuning_queries: int = 64  # sampled queries that are compared with all rows
     recall: float = 0.95  # that the probes must reach on them
-    most_probes: int = 1024
     seed: int = 7
 
 
@@ -159,16 +158,19 @@ def fitted(entries: DataFrame, params: AnnParams) -> CrossPolytope | None:
 
 
 def tuned_probes(entries: DataFrame, sample: list, index: CrossPolytope) -> int:
-    """The least number of probes a table that finds the wanted share of the sampled queries' true neighbours."""
+    """The least number of probes a table that finds the wanted share of the sampled queries' true neighbours: all buckets, if it takes them."""
     params = index.params
     if not sample:
         return 1
     q = np.array([r["v"] for r in sample])
     own = [(r["h1"], r["h2"]) for r in sample]
-    shared = entries.sparkSession.sparkContext.broadcast((q, own, index.probes(q, params.most_probes)))
+    # The place of each bucket in each query's order, by table.
+    place = np.argsort(index.probes(q, index.buckets), axis=2).astype(np.int32)
+    shared = entries.sparkSession.sparkContext.broadcast((q, own, place))
 
     def scan(batches):
-        queries, own, probes = shared.value
+        queries, own, place = shared.value
+        table = np.arange(params.tables)
         kept = [[] for _ in own]
         for batch in batches:
             x = matrix(batch.column(0), index.dims)
@@ -180,8 +182,7 @@ def tuned_probes(entries: DataFrame, sample: list, index: CrossPolytope) -> int:
             for k, (at, value) in enumerate(zip(best.tolist(), score.tolist(), strict=True)):
                 for a, s in zip(at, value, strict=True):
                     if a >= 0 and (h1[a], h2[a]) != own[k]:
-                        hit = probes[k] == codes[a][:, None]
-                        kept[k].append((s, -int(ids[a]), int(np.where(hit.any(axis=1), hit.argmax(axis=1) + 1, 1 << 30).min())))
+                        kept[k].append((s, -int(ids[a]), int(place[k, table, codes[a] - table * index.buckets].min()) + 1))
                 kept[k] = sorted(kept[k], reverse=True)[: params.k]
         rows = [(k, s, i, n) for k, own_rows in enumerate(kept) for s, i, n in own_rows]
         columns = list(zip(*rows, strict=True)) or [[]] * 4
@@ -193,7 +194,7 @@ def tuned_probes(entries: DataFrame, sample: list, index: CrossPolytope) -> int:
     needs = np.sort([r["need"] for r in found.withColumn("r", rank).where(F.col("r") <= params.k).collect()])
     if not len(needs):
         return 1
-    return int(min(needs[int(np.ceil(params.recall * len(needs))) - 1], params.most_probes, index.buckets))
+    return int(needs[int(np.ceil(params.recall * len(needs))) - 1])
 
 
 def nearest(vectors: DataFrame, is_query: Column, params: AnnParams | None = None) -> DataFrame:

@@ -69,3 +69,14 @@ def test_edges_ties_and_lengths(spark):
     assert [i for i, _ in few[0]] == [i for i, _ in brute({k: vectors[k] for k in range(3)}, [0])[0]]
     assert nearest(table.limit(0), F.col("vec_id") == 0).count() == 0
     assert nearest(table.where("vec_id = 7"), F.col("vec_id") == 7).count() == 0
+
+
+def test_as_many_probes_as_the_recall_takes(spark):
+    rng = np.random.default_rng(3)
+    vectors = {k: rng.normal(size=16).tolist() for k in range(3000)}
+    params = AnnParams(block_rows=1, tables=1)
+    assert CrossPolytope.over(16, 3000, 1.0, 9.0, params).buckets > 2048
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    want = brute(vectors, range(0, 3000, 150))
+    got = collected(nearest(table, F.col("vec_id") % 150 == 0, params))
+    assert recall(got, want) >= params.recall
