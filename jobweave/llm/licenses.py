@@ -1,6 +1,7 @@
 """License scans by conditional compression.
 
-A text's candidate blocks are its lines around license wording. Each block is compressed alone and with each template as a
+A text's candidate blocks are its lines with license wording and, around wording that no single line explains, what lies within twice the
+longest template's words: wherever the lines are cut, a template's words are placed there. Each block is compressed alone and with each template as a
 zstandard raw dictionary; templates are ranked by the share of the block's size that they save. The leading ones are then
 compared with the block word by word: the winner is the one with the fewest differences, if none of its required words is missing
 and enough of the template is there. Differences are returned, so that an altered notice can be told from an exact one.
@@ -9,6 +10,8 @@ and enough of the template is there. Differences are returned, so that an altere
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right, insort
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
 
@@ -50,8 +53,8 @@ CC-BY-ND-4.0 | cc by nd 4.0 !nc | Licensed under CC BY-ND 4.0.
 CC-BY-NC-ND-4.0 | cc by nc nd 4.0 | Licensed under CC BY-NC-ND 4.0.
 Proprietary | rights reserved | All rights reserved.
 """
-#: Wording that makes a line a candidate.
-CUES = r"(?i)licen[sc]e|copyright|all rights reserved|permission (?:is hereby|to use)|redistribut|warrant(?:y|ies)|public domain|creative commons|\bCC BY|\bCC0|\bSPDX\b"
+#: Wording that makes a candidate, in one line or wrapped.
+CUES = r"(?i)licen[sc]e|copyright|all\W+rights\W+reserved|permission\W+(?:is\W+hereby|to\W+use)|redistribut|warrant(?:y|ies)|public\W+domain|creative\W+commons|\bCC\W+BY|\bCC0|\bSPDX\b"
 WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
 
 
@@ -62,7 +65,6 @@ class LicenseParams:
     ranked: int = 4  # leading templates of a block that are compared word by word
     saving: float = 0.2  # least share of a block's size that a template must save
     coverage: float = 0.6  # least share of a template's words that the block must hold in order
-    block_lines: int = 12  # a longer run of candidate lines makes several blocks
     level: int = 3
 
 
@@ -123,9 +125,10 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(t.text.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given.append(zstandard.ZstdCompressor(dict_data=raw, **plain))
         self.cue = re.compile(params.cues)
+        self.longest, self.counts = max(len(t.words) for t in self.templates), [Counter(t.words) for t in self.templates]
         self.best = lru_cache(20_000)(self._best)
 
-    def _best(self, block: str) -> tuple[str, float, float, tuple[str, ...], tuple[str, ...]] | None:
+    def _best(self, block: str) -> tuple[str, float, float, tuple[str, ...], tuple[str, ...], int] | None:
         data, params = block.encode(), self.params
         alone = len(self.alone.compress(data))
         saved = sorted(((1 - len(c.compress(data)) / alone, -k) for k, c in enumerate(self.given)), reverse=True)
@@ -140,34 +143,63 @@ class Scanner:
                 mine, theirs = list(template.words), list(words[first:end])
                 extra = tuple(w for w in theirs if w not in mine)
                 lost = tuple(w for w in mine if w not in theirs)
-                found.append((missing + len(extra), -common, -saving, -k, template.license, saving, common / len(template.words), lost, extra))
+                found.append((missing + len(extra), -common, -saving, -k, template.license, saving, common / len(template.words), lost, extra, common - missing - len(extra)))
         return min(found)[4:] if found else None
 
     def blocks(self, text: str):
         """(start, end, block) of each candidate block, in code points."""
-        start = 0
-        held: list[tuple[int, str]] = []
+        start, lines, taken = 0, [], []
         for line in text.splitlines(keepends=True):
-            if self.cue.search(line) and line.strip():
-                held.append((start, line))
-            elif held:
-                yield from self._cut(held)
-                held = []
+            if self.cue.search(line) and (b := self.best(line.strip())):
+                lines.append((start, start + len(line.rstrip()), b))
             start += len(line)
-        if held:
-            yield from self._cut(held)
-
-    def _cut(self, held):
-        for k in range(0, len(held), self.params.block_lines):
-            part = held[k : k + self.params.block_lines]
-            # Each line that a template explains is one notice; else the run as a whole.
-            single = [(s, line, self.best(line.strip())) for s, line in part]
-            if any(b for _, _, b in single):
-                for s, line, b in single:
-                    if b:
-                        yield s, s + len(line.rstrip()), b
-            elif len(part) > 1 and (b := self.best("".join(line for _, line in part).strip())):
-                yield part[0][0], part[-1][0] + len(part[-1][1].rstrip()), b
+        words = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(text)]
+        # A line that a template explains is one notice, unless it is part of a longer one that explains more.
+        for one in lines:
+            if taken and one[0] < taken[-1][1]:
+                continue
+            wide = self._around(text, words, taken, one[0], one)
+            if wide and wide[2][5] > sum(b[5] for s, e, b in lines if s < wide[1] and wide[0] < e):
+                one = wide
+            taken.append(one)
+        for cue in self.cue.finditer(text):
+            while not any(s < cue.end() and cue.start() < e for s, e, _ in self._near(taken, cue.start())):
+                if (found := self._around(text, words, taken, cue.start())) is None:
+                    break
+                insort(taken, found, key=lambda x: x[0])
+        for s, e, b in taken:
+            yield s, e, b[:5]
+
+    @staticmethod
+    def _near(taken, at: int):
+        """The notices before and after a place."""
+        k = bisect_right(taken, at, key=lambda x: x[0])
+        return taken[max(0, k - 1) : k + 1]
+
+    def _around(self, text, words, taken, at: int, over=None):
+        """The notice with the most words in common, less the differences, among the words around a place that no notice holds yet; over: what it must overlap."""
+        middle = bisect_right(words, at, key=lambda x: x[1])
+        low, high = max(0, middle - 2 * self.longest), min(len(words), middle + 2 * self.longest + 1)
+        for s, e, _ in self._near(taken, at):
+            if e <= at:
+                low = max(low, bisect_left(words, e, key=lambda x: x[0]))
+            else:
+                high = min(high, bisect_right(words, s, key=lambda x: x[1]))
+        region = tuple(w for _, _, w in words[low:high])
+        counts, found = Counter(region), []
+        for template, wanted in zip(self.templates, self.counts, strict=True):
+            least = self.params.coverage * len(template.words)
+            if sum(min(n, counts[w]) for w, n in wanted.items()) < least or not template.required <= counts.keys():
+                continue
+            common, _, first, end = differences(template.words, region)
+            if common >= least:
+                start, stop = words[low + first][0], words[low + end - 1][1]
+                if (over is None or start < over[1] and over[0] < stop) and (b := self.best(text[start:stop])):
+                    found.append((b[5], -start, stop, b))
+        if not found:
+            return None
+        _, start, stop, b = max(found, key=lambda x: x[:3])
+        return -start, stop, b
 
 
 def scan(docs: DataFrame, params: LicenseParams | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 import re
+import textwrap
 
 import pytest
 
@@ -56,3 +57,15 @@ def test_every_planted_line_is_found(spark):
     got = sorted((r.doc_id, r.license) for r in scan(docs).collect() if not r.missing and not r.extra)
     assert want and got == want
     assert all(re.search(r"[a-z]", w) for w in words_of("Version 2.0")[:1])
+
+
+@pytest.mark.parametrize("template", parsed(LicenseParams().templates), ids=lambda t: t.license)
+@pytest.mark.parametrize("prefix", ["", " * "])
+def test_every_template_is_found_wrapped(template, prefix):
+    for width in (30, 80):
+        wrapped = textwrap.fill(template.text, width, initial_indent=prefix, subsequent_indent=prefix, break_long_words=False, break_on_hyphens=False)
+        for before in ("", "\n\n", "Copyright (c) 2020 Some Author\n\n", "some line about a license\n" * 11):
+            text = "plain words stand here\n" + before + wrapped + "\nand some more follow"
+            found = list(Scanner(LicenseParams()).blocks(text))
+            assert [b[0] for *_, b in found] == [template.license] and not found[0][2][3], (width, before, found)
+            assert words_of(text[found[0][0] : found[0][1]]) == template.words
