@@ -4,10 +4,11 @@ import random
 import numpy as np
 import pytest
 
-from jobweave.llm.repeats import RepeatParams, Rolling, deduplicated, merged_blocks, repeated_starts, shard_transform
+from jobweave.llm import queries
+from jobweave.llm.repeats import RepeatParams, Rolling, deduplicated, merged_order, repeated_starts, shard_transform
 
 ROOT = "/root/testdata/sf0.01"
-SMALL = RepeatParams(length=20, gram=10, step=5, longest=12, group=4, batch_bytes=256, shards=3, grains=(4, 2, 1))
+SMALL = RepeatParams(length=20, passage=10, gram=5, step=5, longest=12, group=4, batch_bytes=256, shards=3, grain=4)
 
 
 def brute(texts, length):
@@ -29,10 +30,10 @@ def brute(texts, length):
     return out
 
 
-def summary(t, gone):
+def summary(t, gone, told):
     kept = bytes(b for b, g in zip(t, gone) if not g)
     spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-    return len(t), sum(gone), spans, hashlib.sha256(kept).hexdigest()
+    return len(t), sum(gone), spans, sum(told), hashlib.sha256(kept).hexdigest()
 
 
 def test_merged_order_equals_a_full_sort():
@@ -45,33 +46,38 @@ def test_merged_order_equals_a_full_sort():
         symbol = np.concatenate([symbols[k] for k in mine])
         sizes = np.array([len(symbols[k]) for k in mine])
         start = np.repeat(np.cumsum(sizes) - sizes, sizes)
-        order, before = shard_transform(symbol, start, np.repeat(sizes, sizes), 1, 64)
+        order, before = shard_transform(symbol, start, np.repeat(sizes, sizes), 64)
         where = [(k, i) for k in mine for i in range(len(symbols[k]))]
         suffixes += [where[o] for o in order]
         transforms.append(before)
         members += where
-    place, block, common = merged_blocks(transforms, 64)
+    place, common = merged_order(transforms, 64)
     got = [suffixes[p] for p in place]
     tail = lambda k, i: symbols[k][i:].tolist()
     assert got == sorted(members, key=lambda x: tail(*x))
     for a, b, c in zip(got, got[1:], common[1:].tolist()):
         same = next(n for n, (x, y) in enumerate(zip(tail(*a), tail(*b))) if x != y)
         assert c == same
-    assert len(set(block.tolist())) == len(got)
 
 
-def test_repeated_starts_against_brute_force():
+def test_repeated_starts_against_brute_force(monkeypatch):
     rng = random.Random(1)
-    for _ in range(20):
-        pool = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(3)]
-        texts = [b"".join(rng.choice(pool)[: rng.randrange(10, 31)] for _ in range(4)) for _ in range(6)]
-        seen = {}
-        for t in texts:
-            for k in range(len(t) - 19):
-                seen[t[k : k + 20]] = seen.get(t[k : k + 20], 0) + 1
-        got = repeated_starts([np.frombuffer(t, np.uint8) for t in texts], SMALL, Rolling())
-        for t, flags in zip(texts, got):
-            assert flags.tolist() == [seen[t[k : k + 20]] > 1 for k in range(len(t) - 19)]
+    for collide in (False, True):
+        if collide:  # all hashes equal: the bytes decide
+            monkeypatch.setattr("jobweave.llm.repeats.mix64", lambda x: x & np.uint64(3))
+        for _ in range(20):
+            pool = [bytes(rng.choice(b"ab") for _ in range(30)) for _ in range(3)]
+            texts = [b"".join(rng.choice(pool)[: rng.randrange(10, 31)] for _ in range(4)) for _ in range(6)]
+            starts = [rng.randrange(1, len(t) - 9) for t in texts]
+            seen = {}
+            for t, n in zip(texts, starts):
+                for k in range(n):
+                    for size in (10, 20):
+                        if k + size <= len(t):
+                            seen[t[k : k + size]] = seen.get(t[k : k + size], 0) + 1
+            got = repeated_starts([np.frombuffer(t, np.uint8) for t in texts], np.array(starts), SMALL, Rolling())
+            for t, n, level in zip(texts, starts, got):
+                assert level.tolist() == [sum(k + size <= len(t) and seen[t[k : k + size]] > 1 for size in (10, 20)) for k in range(n)]
 
 
 @pytest.mark.parametrize("hot", [False, True])
@@ -86,28 +92,54 @@ def test_small_strings_and_edges(spark, hot):
     rows = [(k, t, "s", 2) for k, t in enumerate(texts)] + [(5, texts[5], "s", 2), (None, "null id " * 9, "s", 2)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, d string, n int")
     data = [(t or "").encode() for _, t, *_ in rows]
-    want = sorted(((i, *summary(t, g)) for (i, *_), t, g in zip(rows, data, brute(data, 20))), key=str)
+    want = sorted(((i, *summary(t, g, p)) for (i, *_), t, g, p in zip(rows, data, brute(data, 20), brute(data, 10))), key=str)
     out = deduplicated(docs, SMALL, text=True, digest=True)
-    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out.collect()), key=str)
+    got = sorted(((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_passage, r.kept_sha256) for r in out.collect()), key=str)
     assert got == want
     assert all(hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 for r in out.collect())
     assert deduplicated(docs.limit(0), SMALL).count() == 0
 
 
-def test_table_against_brute_force(spark):
-    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
-    rows = [(r.doc_id, (r.text or "").encode()) for r in docs.collect()]
+def covered(texts, length):
+    """brute, for long texts."""
     seen = {}
-    for _, t in rows:
-        for k in range(len(t) - 399):
-            h = hash(t[k : k + 400])
+    for t in texts:
+        for k in range(len(t) - length + 1):
+            h = hash(t[k : k + length])
             seen[h] = seen.get(h, 0) + 1
-    want = {}
-    for i, t in rows:
+    out = []
+    for t in texts:
         gone = np.zeros(len(t), bool)
-        for k in range(len(t) - 399):
-            if seen[hash(t[k : k + 400])] > 1:
-                gone[k : k + 400] = True
-        want[i] = summary(t, gone.tolist())
-    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in deduplicated(docs, text=False, digest=True).collect()}
-    assert got == want and sum(w[1] for w in want.values()) > 0
+        for k in range(len(t) - length + 1):
+            if seen[hash(t[k : k + length])] > 1:
+                gone[k : k + length] = True
+        out.append(gone.tolist())
+    return out
+
+
+def held_against(rows, got):
+    data = [(t or "").encode() for _, t in rows]
+    want = sorted((i, *summary(t, g, p)) for (i, _), t, g, p in zip(rows, data, covered(data, 400), covered(data, 240)))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_passage, r.kept_sha256) for r in got) == want
+    assert sum(w[2] for w in want) > 0 and sum(w[2] == 0 < w[4] for w in want) > 0
+
+
+def test_query_on_the_table_against_brute_force(spark):
+    docs = spark.read.parquet(f"{ROOT}/documents.parquet")
+    got = queries.op6_suffix_dedup(spark, ROOT)
+    assert got.dtypes[:5] == [("doc_id", "bigint"), ("n_bytes", "bigint"), ("n_removed", "bigint"), ("n_spans", "bigint"), ("n_passage", "bigint")]
+    held_against([(r.doc_id, r.text) for r in docs.collect()], got.collect())
+
+
+@pytest.mark.parametrize("size", [300, 700])
+def test_passage_of_very_many_texts(spark, size):
+    """A third of all texts share one passage; more different fragments than a batch holds."""
+    rng = random.Random(size)
+    text = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    passage = text(size)
+    rows = [(k, text(rng.randrange(200, 500)) + (passage if k % 3 == 0 else "") + text(rng.randrange(0, 450))) for k in range(1800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(7)
+    out = deduplicated(docs, RepeatParams(group=64), text=False, digest=True)
+    data = [t.encode() for _, t in rows]
+    want = sorted((i, *summary(t, g, p)) for (i, _), t, g, p in zip(rows, data, covered(data, 400), covered(data, 240)))
+    assert sorted((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.n_passage, r.kept_sha256) for r in out.collect()) == want
