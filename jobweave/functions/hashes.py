@@ -56,7 +56,10 @@ def simhash(description: pd.Series) -> pd.Series:
         words = word.findall(text)
         if len(text) < LEAST_CHARS or len(words) < SHINGLE:
             return None
-        digests = b"".join(hashlib.blake2b(" ".join(words[k : k + SHINGLE]).encode(), digest_size=8).digest() for k in range(len(words) - SHINGLE + 1))
+        # Shingles are stretches of the joined words.
+        joined, ends = " ".join(words).encode(), np.cumsum([len(w) + 1 for w in words]) - 1
+        begins = np.concatenate([[0], ends[: -SHINGLE] + 1]).tolist()
+        digests = b"".join([hashlib.blake2b(joined[a:b], digest_size=8).digest() for a, b in zip(begins, ends[SHINGLE - 1 :].tolist(), strict=True)])
         votes = np.unpackbits(np.frombuffer(digests, np.uint8).reshape(-1, 8), axis=1).astype(np.int64)
         ones = 2 * votes.sum(axis=0) > len(votes)
         return f"{int((ones.astype(np.uint64) << places).sum()):016x}"
@@ -72,16 +75,24 @@ def simhash_md5(rows: DataFrame, key: str, description: Column) -> DataFrame:
     text = cleaned(description)
     grams = rows.select(F.col(key), text.alias("t")).where(F.length("t") >= LEAST_CHARS).select(key, F.explode(shingles(F.col("t"))).alias("s")).select(key, F.md5("s").alias("m"))
     parts = grams.select(key, *[F.conv(F.substring("m", k, 8), 16, 10).cast("long").alias(c) for k, c in ((1, "a"), (9, "b"))])
-    bits = [(c, k) for c in ("a", "b") for k in range(31, -1, -1)]
-    votes = parts.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))).alias(f"{c}{k}") for c, k in bits])
+    bit = lambda c, k: F.shiftright(c, k).bitwiseAND(F.lit(1).cast("long"))
+    # Two counts in one long: a text has fewer shingles than 2**31.
+    votes = parts.groupBy(key).agg(F.count("*").alias("n"), *[F.sum(bit("a", k) + F.shiftleft(bit("b", k), 32)).alias(f"v{k}") for k in range(32)])
 
-    def half(c: str) -> Column:
+    def half(count) -> Column:
         total = F.lit(0).cast("long")
         for k in range(32):
-            total = total + F.when(2 * F.col(f"{c}{k}") > F.col("n"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
+            total = total + F.when(2 * count(F.col(f"v{k}")) > F.col("n"), F.lit(1 << k).cast("long")).otherwise(F.lit(0).cast("long"))
         return F.lpad(F.lower(F.hex(total)), 8, "0")
 
-    return votes.select(key, F.concat(half("a"), half("b")).alias("print"))
+    low = lambda v: v.bitwiseAND(F.lit(0xFFFFFFFF))
+    return votes.select(key, F.concat(half(low), half(lambda v: F.shiftright(v, 32))).alias("print"))
+
+
+def has_simhash(description: Column) -> Column:
+    """Whether there is text enough for a fingerprint."""
+    text = cleaned(description)
+    return (F.length(text) >= LEAST_CHARS) & (F.regexp_count(text, F.lit("[a-z0-9]+")) >= SHINGLE)
 
 
 def halves(fingerprint: Column) -> tuple[Column, Column]:

@@ -13,7 +13,8 @@ def packed(rows: DataFrame, key: str, order: str, size: str, most_rows: int = 8,
     """key, order, batch: sequential packing within each key.
 
     A row opens a new batch if the open one holds most_rows or would grow beyond most_size; a row above that alone is a batch of its own.
-    Each decision depends on the one before, so a key's rows stream through a task in order; memory does not grow with them.
+    Each decision depends on the one before, so a key's rows stream through a task in order; memory does not grow with them. Where a key may hold a large
+    share of all rows, let the key be one of many lanes, as `plans.scoring` does.
     """
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -34,21 +35,9 @@ def packed(rows: DataFrame, key: str, order: str, size: str, most_rows: int = 8,
     return ordered.mapInPandas(scan, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, batch long")
 
 
-def packed_fold(rows: DataFrame, key: str, order: str, size: str, most_rows: int = 8, most_size: int = 24_000) -> DataFrame:
-    """key, batches: the number of batches that `packed` makes, as a fold in generated code; for keys whose rows fit one array."""
-    start = F.struct(F.lit(0).cast("long").alias("b"), F.lit(0).cast("long").alias("n"), F.lit(0).cast("long").alias("s"))
-
-    def step(a: Column, x: Column) -> Column:
-        full = (a["n"] > 0) & ((a["n"] >= most_rows) | (a["s"] + x["v"] > most_size))
-        opens = full | (a["n"] == 0)
-        return F.struct(
-            F.when(opens, a["b"] + 1).otherwise(a["b"]).alias("b"),
-            F.when(full, F.lit(1).cast("long")).otherwise(a["n"] + 1).alias("n"),
-            F.when(full, x["v"]).otherwise(a["s"] + x["v"]).alias("s"),
-        )
-
-    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(size).cast("long").alias("v"))))
-    return rows.groupBy(key).agg(listed.alias("x")).select(key, F.aggregate("x", start, step)["b"].alias("batches"))
+def packed_counts(rows: DataFrame, key: str, order: str, size: str, most_rows: int = 8, most_size: int = 24_000) -> DataFrame:
+    """key, batches: the number of batches that `packed` makes."""
+    return packed(rows, key, order, size, most_rows, most_size).groupBy(key).agg((F.max("batch") + 1).alias("batches"))
 
 
 def chunked(rows: DataFrame, order: str, n: int, by: str) -> DataFrame:

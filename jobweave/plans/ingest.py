@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from jobweave.functions.dates import is_stale
 from jobweave.functions.hashes import NEAR, cross_key, simhash, source_key
 from jobweave.functions.text import normal_company, normal_title
-from jobweave.operators.dedupe import canonical, cut_lineage, first_wins, near_links
+from jobweave.operators.dedupe import canonical, first_wins, near_links
+from jobweave.operators.lineage import cut_lineage
 from jobweave.operators.rules import FilterConfig, classified
 
 OUTCOMES = ["dropped_blacklist", "skipped_duplicate", "stale", "dropped_filter", "skipped_cross_source", "inserted"]

@@ -130,7 +130,7 @@ def chunk_pack(spark, sf_dir):
 
 @query(f"{PACK} SELECT source, max(b) + 1 AS batches FROM s GROUP BY source")
 def chunk_pack_fold(spark, sf_dir):
-    return batching.packed_fold(table(spark, sf_dir, "documents").where("source is not null"), "source", "doc_id", "n_chars")
+    return batching.packed_counts(table(spark, sf_dir, "documents").where("source is not null"), "source", "doc_id", "n_chars")
 
 
 @query("SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 100 AS chunk FROM events")

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from jobweave.functions.hashes import cross_key, simhash, simhash_md5, source_key
+from jobweave.functions.hashes import cross_key, has_simhash, simhash, simhash_md5, source_key
 from jobweave.functions.text import cross_title, normal_company, normal_title
 from jobweave.operators import dedupe
+from jobweave.operators.lineage import cut_lineage
 from jobweave.plans.binding import POSTINGS, postings, table
 from jobweave.plans.registry import query
 
@@ -58,10 +59,10 @@ def dup_groups_keeper(spark, sf_dir):
     return dedupe.keepers(rows, ["p_brand", "title"], "archived", "p_partkey").select("p_partkey", "keeper", "archive")
 
 
-@query("SELECT p_brand, lower(trim(p_name)) AS title, count(*) AS n, array_to_string(list_sort(list(p_partkey)), ',') AS members FROM part GROUP BY ALL HAVING count(*) > 1")
+@query("SELECT p_brand, lower(trim(p_name)) AS title, p_partkey, count(*) OVER (PARTITION BY p_brand, lower(trim(p_name))) AS n FROM part QUALIFY n > 1")
 def dup_groups(spark, sf_dir):
     rows = table(spark, sf_dir, "part").withColumn("title", normal_title(F.col("p_name")))
-    return dedupe.groups(rows, ["p_brand", "title"], "p_partkey").withColumn("members", F.array_join(F.col("members").cast("array<string>"), ","))
+    return dedupe.groups(rows, ["p_brand", "title"], "p_partkey").select("p_brand", "title", "p_partkey", "n")
 
 
 @query("SELECT doc_id, CASE WHEN row_number() OVER (PARTITION BY sha256(coalesce(text, '')) ORDER BY doc_id) = 1 THEN sha256(coalesce(text, '')) END AS hash FROM documents")
@@ -97,11 +98,11 @@ def simhash_in_sql(spark, sf_dir):
 @query()
 def simhash_exact(spark, sf_dir):
     """The fingerprint over BLAKE2b, which the other engine lacks; tests compare it with a plain loop."""
-    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), simhash("text").alias("print")).where("print is not null")
+    return table(spark, sf_dir, "documents").where(has_simhash(F.col("text"))).select(F.col("doc_id").alias("id"), simhash("text").alias("print"))
 
 
 def prints(spark, sf_dir):
-    return dedupe.cut_lineage(simhash_in_sql(spark, sf_dir))
+    return cut_lineage(simhash_in_sql(spark, sf_dir))
 
 
 HALF = "('0x' || substr({}.print, {}, 8))::BIGINT"

@@ -1,17 +1,17 @@
 """Streaming twins, run to the end of what has arrived and written to the shared folder."""
 
-import tempfile
 import uuid
 
 from pyspark.sql import functions as F
 
+from jobweave.operators.lineage import shared_folder
 from jobweave.plans.binding import table
 from jobweave.plans.registry import query
 from jobweave.streaming import streams
 
 
 def folder(spark):
-    return f"{spark.conf.get('spark.checkpoint.dir', None) or tempfile.mkdtemp(prefix='streams-')}/stream-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
 
 
 def events(spark, sf_dir):

@@ -199,7 +199,7 @@ def test_batching(spark):
         want[k] = b
     df = spark.createDataFrame(rows, "key int, ord int, size long")
     assert {r.ord: r.batch for r in batching.packed(df, "key", "ord", "size").collect()} == want
-    assert {r.key: r.batches for r in batching.packed_fold(df, "key", "ord", "size").collect()} == {k: v[0] + 1 for k, v in state_.items()}
+    assert {r.key: r.batches for r in batching.packed_counts(df, "key", "ord", "size").collect()} == {k: v[0] + 1 for k, v in state_.items()}
     score = lambda s, *p: value(spark, batching.reconciled(F.lit(s), [F.lit(x).cast("int") for x in p]))
     assert [score(50, 30, 25, 0, 0, 0), score(50, 30, 26, 0, 0, 0), score(50, None, 26, 0, 0, 0), score(1, 90, 90, 0, 0, 0)] == [50, 56, 50, 100]
 
