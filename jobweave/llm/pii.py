@@ -1,10 +1,13 @@
 """Surrogates for personal data, in DataFrame expressions only.
 
-Detected entities get keyed, type-consistent replacements. The distinct entities of the corpus form a small table; each gets
-a surrogate from a keyed hash of its canonical form, in the format of the original (digit for digit, letter for letter of the same
-script and case, valid octets, a valid check digit where the original has one, names of the same gender and script). A surrogate that
-equals an entity of the corpus, or another's surrogate, is drawn again under the next attempt number until all are distinct, so
-distinct entities stay distinct; and as a surrogate depends on the entity alone, mentions of one entity stay one across documents.
+Detected entities get keyed, type-consistent replacements. The distinct canonical entities of the corpus (digits without their
+separators, addresses in small letters, single name words) form a small table; each gets one surrogate from a keyed hash, drawn again under
+the next attempt number until it equals no entity of the corpus and no other's surrogate. Mentions then render their entity's surrogate in their own
+format. So distinct entities stay distinct, and mentions of one entity stay one, across formats, titles and documents.
+
+Kept: lengths, separators, case and script; the calling code of a phone number; the country of an IBAN, with check digits that hold; the
+validity of a card number's last digit; the prefix of a key; the ending of a domain; the gender of a given name as far as any title in
+the corpus tells it.
 """
 
 from __future__ import annotations
@@ -18,36 +21,75 @@ from jobweave.llm.common import cut_lineage
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1?\d?\d)"
 BREAK = r"[^\p{L}\d\n]{0,6}"
-MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин"]
-FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа", "госпожа"]
+EDGE, STOP = r"(?<![\p{L}\p{N}])", r"(?![\p{L}\p{N}])"
+MALE_TITLES = ["Mr", "Herr", "Monsieur", "Señor", "Sr", "г-н", "господин", "κύριος"]
+FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra", "г-жа", "госпожа", "κυρία"]
 NEUTRAL_TITLES = ["Dr", "Prof"]
 TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True))
-#: Patterns by type, in order of preference where several begin at one place.
+CASED, UNCASED = ["Latin", "Cyrillic", "Greek"], ["Han", "Hangul", "Hiragana", "Katakana", "Arabic", "Hebrew", "Devanagari"]
+#: One word of a name. In scripts without spaces a run of up to four signs, or the first two of a longer one.
+CAPITALISED = rf"[{''.join(rf'\p{{Is{s}}}' for s in CASED)}&&\p{{Lu}}][\p{{Ll}}\p{{M}}'’]++"
+SIGNS = rf"[{''.join(rf'\p{{Is{s}}}' for s in UNCASED[:4])}&&\p{{L}}]"
+SPACED = rf"[{''.join(rf'\p{{Is{s}}}' for s in UNCASED[4:])}&&[\p{{L}}\p{{M}}]]{{2,}}+"
+NAME_WORDS = rf"(?:{CAPITALISED}(?:[ -]{CAPITALISED}){{0,2}}|{SIGNS}{{2,4}}(?!{SIGNS})|{SIGNS}{{2}}|{SPACED}(?: {SPACED}){{0,2}})"
+PREFIX = r"(?:sk|pk|ghp|gho|AKIA)[-_]?"
+#: Patterns by type, in order of preference where several begin at one place. No repetition of a group is longer than a few rounds, so matching needs no
+#: stack that grows with the text.
 PATTERNS = {
-    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]+(?:\.[\p{L}\p{N}-]+)*\.\p{L}{2,}",
+    "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}.-]*\.\p{L}{2,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": r"(?<![\p{L}\p{N}])(?:(?=\p{L}*\d)(?=\d*\p{L})(?:[0-9a-f]{32,}|[0-9A-F]{32,})|(?:sk|pk|ghp|gho|AKIA)[-_]?(?=[A-Za-z]*\d)[A-Za-z0-9]{16,})(?![\p{L}\p{N}])",
+    "secret": rf"{EDGE}(?:(?=\p{{L}}*+\d)(?=\d*+\p{{L}})(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)|{PREFIX}(?=[A-Za-z]*+\d)[A-Za-z0-9]{{16,}}+){STOP}",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
     "phone": rf"(?<!\d)(?:\+\d{{1,3}}{BREAK}\(\d{{1,4}}\){BREAK}\d{{3,4}}[- .]\d{{3,4}}|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{3,5}}|\(\d{{3}}\){BREAK}\d{{3}}[- .]\d{{4}}|(?:\d{{3}}[- .])?\d{{3}}-\d{{4}})(?!\d)",
     "number": r"(?<![\d.,-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{3}-\d{2}-\d{4})(?![\d-])",
-    "name": rf"(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{Ll}}'’]+(?:[ -]\p{{Lu}}[\p{{Ll}}'’]+){{0,2}}",
+    "name": rf"{EDGE}(?:{TITLES})\.? {NAME_WORDS}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
+#: In a text that names someone: also each word that could be that name without its title.
+ANY_OR_WORD = rf"{ANY}|{EDGE}(?:{CAPITALISED}|{SIGNS}{{2,4}}|{SPACED}){STOP}"
 #: Every entity holds an @, a digit or a title: a quick look that spares most texts the patterns.
-MAY_HOLD = rf"[@\d]|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}])(?<![\p{{L}}\p{{N}}])(?:{TITLES})\.? \p{{Lu}}[\p{{Ll}}'’]"
+MAY_HOLD = rf"[@\d]|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]){EDGE}(?:{TITLES})\.? [\p{{Lu}}\p{{Lo}}]"
+#: Calling codes of one and two digits; all others have three.
+CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Given names for the first attempt; later attempts build names from syllables.
 GIVEN = {
-    ("latin", "m"): "Adrian Bruno Caspar Dario Emil Fabian Gideon Hugo Ivo Jonas Konrad Leon Marius Nils Oskar Pascal Quentin Rafael Simon Tobias".split(),
-    ("latin", "f"): "Alma Berta Clara Dora Elena Flora Greta Helena Ines Julia Klara Livia Marta Nora Olga Paula Rosa Silvia Tilda Vera".split(),
-    ("latin", "n"): "Alex Andrea Billie Casey Dominique Eden Francis Jamie Kim Lou Marion Noel Robin Sascha Toni Valery".split(),
-    ("cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев Максим Олег Павел Роман Семён Фёдор".split(),
-    ("cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Раиса Софья".split(),
-    ("cyrillic", "n"): "Саша Женя Валя Слава".split(),
+    ("Latin", "m"): "Adrian Bruno Caspar Dario Emil Fabian Gideon Hugo Ivo Jonas Konrad Leon Marius Nils Oskar Pascal Quentin Rafael Simon Tobias",
+    ("Latin", "f"): "Alma Berta Clara Dora Elena Flora Greta Helena Ines Julia Klara Livia Marta Nora Olga Paula Rosa Silvia Tilda Vera",
+    ("Latin", "n"): "Alex Andrea Billie Casey Dominique Eden Francis Jamie Kim Lou Marion Noel Robin Sascha Toni Valery",
+    ("Cyrillic", "m"): "Антон Борис Виктор Глеб Денис Егор Захар Игорь Кирилл Лев Максим Олег Павел Роман Семён Фёдор",
+    ("Cyrillic", "f"): "Анна Вера Галина Дарья Елена Жанна Зоя Ирина Ксения Лидия Мария Нина Ольга Полина Раиса Софья",
+    ("Cyrillic", "n"): "Саша Женя Валя Слава",
+    ("Greek", "m"): "Γιάννης Νίκος Κώστας Δημήτρης Ανδρέας Πέτρος Σπύρος Μιχάλης",
+    ("Greek", "f"): "Μαρία Ελένη Κατερίνα Σοφία Άννα Δέσποινα Ειρήνη Χριστίνα",
+    ("Arabic", "m"): "أحمد محمود سامي كريم طارق رامي نبيل ياسر",
+    ("Arabic", "f"): "ليلى مريم سلمى هدى نور ريم سارة دينا",
+    ("Hebrew", "m"): "דוד יוסף אורי נועם איתן גיל רון עמית",
+    ("Hebrew", "f"): "שרה רחל נועה תמר מיכל יעל דנה רות",
+    ("Devanagari", "m"): "राहुल अमित रवि संजय विजय अजय मोहन सुनील",
+    ("Devanagari", "f"): "प्रिया अनीता सुनीता कविता नेहा पूजा रीना मीरा",
 }
-SYLLABLES = {"latin": "ba be bo da de do fa fe ga go ka ke la le li lo ma me mi mo na ne no pa ra re ri ro sa so ta te".split(), "cyrillic": "ба бе бо да де до ка ке ко ла ле ли ло ма ме ми мо на не но па ра ре ри ро са со та те".split()}
-ENDINGS = {("latin", "m"): "n", ("latin", "f"): "na", ("latin", "n"): "l", ("latin", "s"): "rt", ("cyrillic", "m"): "н", ("cyrillic", "f"): "на", ("cyrillic", "n"): "ль", ("cyrillic", "s"): "ров"}
-LATIN_LOWER, LATIN_UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
-CYRILLIC_LOWER, CYRILLIC_UPPER = "абвгдежзиклмнопрстуфхцшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦШЭЮЯ"
+#: What built names are made of, and what ends them by gender (s: a family name). In the signs of the Han script and of Hangul a family name leads.
+SYLLABLES = {
+    "Latin": "ba be bo da de do fa fe ga go ka ke la le li lo ma me mi mo na ne no pa ra re ri ro sa so ta te",
+    "Cyrillic": "ба бе бо да де до ка ке ко ла ле ли ло ма ме ми мо на не но па ра ре ри ро са со та те",
+    "Greek": "βα βε βο δα δε δο κα κε κο λα λε λι λο μα με μι μο να νε νο πα ρα ρε ρι ρο σα σο τα τε",
+    "Han": "文 华 新 宁 安 晨 云 林 山 海 天 雨 春 秋 冬 夏",
+    "Hangul": "서 진 하 윤 도 라 온 별 솔 람 누 리 한 결 새 봄",
+    "Hiragana": "あ い う え お か き く け こ さ し す せ そ た ち つ て と な に は ひ",
+    "Katakana": "ア イ ウ エ オ カ キ ク ケ コ サ シ ス セ ソ タ チ ツ テ ト ナ ニ ハ ヒ",
+    "Arabic": "با تا جا دا را سا فا كا لا ما نا وا بي تي دي ري سي لي مي ني",
+    "Hebrew": "בא גא דא לא מא נא רא שא תא בי די לי מי ני רי שי",
+    "Devanagari": "का गा जा ता दा ना पा बा मा रा ला सा कि नि मि रि",
+}
+LEADING = {"Han": "王 李 张 刘 陈 杨 黄 赵 周 吴 徐 孙", "Hangul": "김 이 박 최 정 강 조 윤 장 임"}
+ENDINGS = {
+    ("Latin", "m"): "n", ("Latin", "f"): "na", ("Latin", "n"): "l", ("Latin", "s"): "rt",
+    ("Cyrillic", "m"): "н", ("Cyrillic", "f"): "на", ("Cyrillic", "n"): "ль", ("Cyrillic", "s"): "ров",
+    ("Greek", "m"): "ς", ("Greek", "f"): "να", ("Greek", "n"): "λι", ("Greek", "s"): "κος",
+    ("Han", "m"): "强", ("Han", "f"): "娜", ("Hangul", "m"): "준", ("Hangul", "f"): "희",
+    ("Hiragana", "m"): "お", ("Hiragana", "f"): "こ", ("Katakana", "m"): "オ", ("Katakana", "f"): "コ",
+}
+ALPHABETS = {"Cyrillic": ("абвгдежзиклмнопрстуфхцшэюя", "АБВГДЕЖЗИКЛМНОПРСТУФХЦШЭЮЯ"), "Greek": ("αβγδεζηθικλμνξοπρστυφχψω", "ΑΒΓΔΕΖΗΘΙΚΛΜΝΞΟΠΡΣΤΥΦΧΨΩ"), "Latin": ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ")}
 
 
 @dataclass(frozen=True)
@@ -57,12 +99,13 @@ class PiiParams:
 
 
 def kind_of(mention: Column) -> Column:
-    whole = [F.when(mention.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()]
-    return F.coalesce(*whole)
+    """The type of a mention; null for a word that is none by itself."""
+    return F.coalesce(*[F.when(mention.rlike(f"^(?:{p})$"), F.lit(k)) for k, p in PATTERNS.items()])
 
 
-def pick(pool: list[str], number: Column) -> Column:
-    return F.get(F.array(*map(F.lit, pool)), F.pmod(number, F.lit(len(pool))).cast("int"))
+def pick(pool: Column, number: Column) -> Column:
+    """A member of an array; null of an empty one."""
+    return F.get(pool, F.pmod(number, F.greatest(F.lit(1), F.size(pool))).cast("int"))
 
 
 def drawn(value: Column, attempt: Column, params: PiiParams, salt: Column) -> Column:
@@ -70,120 +113,132 @@ def drawn(value: Column, attempt: Column, params: PiiParams, salt: Column) -> Co
     return F.sha2(F.concat_ws("\x1f", F.lit(params.key), salt, value, attempt.cast("string"), F.lit(params.key)), 512)
 
 
-def byte_at(digest: Column, place: Column) -> Column:
-    return F.conv(F.substring(digest, (F.pmod(place, F.lit(62)) * 2 + 1).cast("int"), F.lit(2)), 16, 10).cast("long") + F.pmod(F.floor(place / 62), F.lit(97))
+def number_at(digest: Column, place: Column, digits: int) -> Column:
+    return F.conv(F.substring(digest, place.cast("int"), F.lit(digits)), 16, 10).cast("long")
 
 
 def reshaped(value: Column, digest: Column, hexadecimal: Column) -> Column:
-    """Each digit and letter replaced by one of its class; all else stays."""
+    """Each digit and letter replaced by one of its class and script; all else stays."""
 
     def one(c: Column, i: Column) -> Column:
-        n = byte_at(digest, F.length(F.regexp_replace(F.substring(value, F.lit(1), i), r"[^\p{L}\d]", "")).cast("long"))
-        letter = lambda alphabet: pick(list(alphabet), n)
-        return (
-            F.when(c.rlike("[0-9]"), letter("0123456789"))
-            .when(hexadecimal & c.rlike("[a-f]"), letter("abcdef"))
-            .when(hexadecimal & c.rlike("[A-F]"), letter("ABCDEF"))
-            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Ll}]"), letter(CYRILLIC_LOWER))
-            .when(c.rlike(r"[\p{IsCyrillic}&&\p{Lu}]"), letter(CYRILLIC_UPPER))
-            .when(c.rlike(r"\p{Lu}"), letter(LATIN_UPPER))
-            .when(c.rlike(r"\p{L}"), letter(LATIN_LOWER))
-            .otherwise(c)
-        )
+        n = number_at(digest, F.pmod(i, F.lit(62)) * 2 + 1, 2) + F.pmod(F.floor(i / 62), F.lit(97))
+        of = F.when(c.rlike("[0-9]"), F.lit("0123456789")).when(hexadecimal & c.rlike("[a-f]"), "abcdef").when(hexadecimal & c.rlike("[A-F]"), "ABCDEF")
+        for case, at in (("Ll", 0), ("Lu", 1)):
+            for script, letters in ALPHABETS.items():
+                of = of.when(c.rlike(rf"[\p{{Is{script}}}&&\p{{{case}}}]"), letters[at])
+            of = of.when(c.rlike(rf"\p{{{case}}}"), ALPHABETS["Latin"][at])
+        for script in UNCASED:
+            of = of.when(c.rlike(rf"[\p{{Is{script}}}&&\p{{L}}]"), "".join(x[0] for x in SYLLABLES[script].split()))
+        of = of.when(c.rlike(r"\p{L}"), ALPHABETS["Latin"][0])
+        return F.coalesce(F.substring(of, F.pmod(n, F.length(of)).cast("int") + 1, F.lit(1)), c)
 
     return F.array_join(F.transform(F.split(value, ""), one), "")
 
 
 def luhn_sum(digits: Column) -> Column:
     """The Luhn sum of a digit string."""
+    doubled = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.get(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int"))))
+    return F.aggregate(doubled, F.lit(0), lambda total, x: total + x)
 
-    def add(total: Column, x: Column) -> Column:
-        return total + x
 
-    doubled = F.transform(F.split(F.reverse(digits), ""), lambda c, i: F.when(i % 2 == 0, c.cast("int")).otherwise(F.get(F.array(*map(F.lit, (0, 2, 4, 6, 8, 1, 3, 5, 7, 9))), c.cast("int"))))
-    return F.aggregate(doubled, F.lit(0), add)
+def with_check_digit(value: Column, plain: Column) -> Column:
+    """Digits; those of a Luhn-valid number get a last digit that makes them valid."""
+    body = F.substring(plain, F.lit(1), F.length(plain) - 1)
+    last = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(body, F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
+    return F.when((F.length(value) >= 13) & (F.pmod(luhn_sum(value), F.lit(10)) == 0), F.concat(body, last)).otherwise(plain)
 
 
-def with_check_digit(value: Column, surrogate: Column) -> Column:
-    """A surrogate of a Luhn-valid number gets a last digit that makes it valid."""
-    digits = lambda c: F.regexp_replace(c, r"\D", "")
-    plain = value.rlike(r"^[\d -]{13,}$")
-    body = F.substring(surrogate, F.lit(1), F.length(surrogate) - 1)
-    last = F.pmod(F.lit(10) - F.pmod(luhn_sum(F.concat(digits(body), F.lit("0"))), F.lit(10)), F.lit(10)).cast("string")
-    valid = F.when(plain, F.pmod(luhn_sum(digits(value)), F.lit(10)) == 0).otherwise(F.lit(False))
-    return F.when(valid, F.concat(body, last)).otherwise(surrogate)
+def remainder_97(value: Column) -> Column:
+    """Of an IBAN's characters, letters as numbers from 10 on."""
+    number = F.transform(F.split(value, ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    return F.aggregate(number, F.lit(0), lambda total, x: F.pmod(total * F.when(x > 9, 100).otherwise(10) + x, F.lit(97)))
 
 
 def ip_surrogate(value: Column, digest: Column) -> Column:
     """Octets of as many digits as the original's."""
 
     def octet(x: Column, i: Column) -> Column:
-        n = F.conv(F.substring(digest, (i * 6 + 1).cast("int"), F.lit(6)), 16, 10).cast("long")
+        n = number_at(digest, i * 6 + 1, 6)
         return F.when(F.length(x) == 3, 100 + F.pmod(n, F.lit(155))).when(F.length(x) == 2, 10 + F.pmod(n, F.lit(90))).otherwise(1 + F.pmod(n, F.lit(9))).cast("string")
 
     return F.array_join(F.transform(F.split(value, r"\."), octet), ".")
 
 
-def name_surrogate(digest: Column, script: str, gender: str, attempt: Column) -> Column:
-    number = F.conv(F.substring(digest, 1, 12), 16, 10).cast("long")
-    syllables = F.array_join(F.transform(F.sequence(F.lit(1), attempt + 2), lambda i: pick(SYLLABLES[script], F.conv(F.substring(digest, (i * 4).cast("int"), F.lit(4)), 16, 10).cast("long"))), "")
-    built = F.initcap(F.concat(syllables, F.lit(ENDINGS[script, gender])))
-    pool = GIVEN.get((script, gender))
-    return built if pool is None else F.when(attempt == 0, pick(pool, number)).otherwise(built)
+def name_tables(script: Column, style: Column) -> dict[str, Column]:
+    """What a name of a script and style (m, f or n for a given name, s for a family name) is made of: four literals, looked up."""
 
+    def found(table: dict[str, str], key: Column) -> Column:
+        return F.try_element_at(F.create_map(*[F.lit(x) for pair in table.items() for x in pair]), key)
 
-def surrogate(kind: Column, value: Column, attempt: Column, params: PiiParams) -> Column:
-    digest = drawn(value, attempt, params, kind)
-    number = F.col("_canonical_digits")
-    shape = reshaped(value, drawn(F.when(number != "", number).otherwise(F.lower(value)), attempt, params, kind), kind == "secret")
-    out = F.when(kind == "ip", ip_surrogate(value, digest)).when(kind == "number", with_check_digit(value, shape))
-    for script in SYLLABLES:
-        for gender in ("m", "f", "n", "s"):
-            out = out.when(kind == f"name:{script}:{gender}", name_surrogate(digest, script, gender, attempt))
-    # An address keeps its domain's shape and ending; the name before the @ and the domain are drawn each from itself, so a domain stays one.
-    local, domain = F.substring_index(value, "@", 1), F.lower(F.substring_index(value, "@", -1))
-    stem, ending = F.regexp_extract(domain, r"^(.*)\.[^.]+$", 1), F.substring_index(F.substring_index(value, "@", -1), ".", -1)
-    email = F.concat(reshaped(local, drawn(F.lower(value), attempt, params, kind), F.lit(False)), F.lit("@"), reshaped(stem, drawn(domain, F.lit(0), params, F.lit("domain")), F.lit(False)), F.lit("."), ending)
-    return out.when(kind == "email", email).when(attempt >= 0, shape)
+    both = {**{f"{s}:{g}": names for (s, g), names in GIVEN.items()}, **{f"{s}:n": f"{GIVEN[s, 'm']} {GIVEN[s, 'f']}" for s, g in GIVEN if g == "m" and (s, "n") not in GIVEN}}
+    key = F.concat_ws(":", script, style)
+    return {
+        "given": F.split(found(both, key), " "),
+        "syllables": F.split(found(SYLLABLES, script), " "),
+        "leading": F.split(found(LEADING, script), " "),
+        "ending": F.coalesce(found({f"{s}:{g}": x for (s, g), x in ENDINGS.items()}, key), F.lit("")),
+    }
 
 
-def name_parts(mention: Column) -> Column:
-    """(kind, value) of each word of a name after its title: given names by gender, the last word a family name."""
-    title = F.regexp_extract(mention, rf"^({TITLES})", 1)
-    words = F.split(F.regexp_replace(mention, rf"^(?:{TITLES})\.? ", ""), "[ -]")
-    gender = F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").otherwise("n")
-    return F.transform(
-        words,
-        lambda w, i: F.struct(
-            F.concat_ws(":", F.lit("name"), F.when(w.rlike(r"\p{IsCyrillic}"), "cyrillic").otherwise("latin"), F.when(i == F.size(words) - 1, "s").otherwise(gender)).alias("kind"),
-            w.alias("value"),
-        ),
+def name_surrogate(value: Column, digest: Column, attempt: int) -> Column:
+    """From the columns of name_tables: a given name on the first attempt where there is a list of them, else one built from syllables.
+
+    Where a sign is a syllable there are as many as in the original, and one more for each two attempts.
+    """
+    signs = F.col("script").isin(UNCASED[:4])
+    size = F.when(signs, F.greatest(F.lit(1), F.length(value) - F.lit(1) - F.length("ending") + attempt // 2)).otherwise(attempt + 2)
+    syllables = F.array_join(F.transform(F.sequence(F.lit(1), size.cast("int")), lambda i: pick(F.col("syllables"), number_at(digest, F.pmod(i, F.lit(30)) * 4 + 1, 4))), "")
+    number = number_at(digest, F.lit(1), 12)
+    built = F.concat(F.coalesce(pick(F.col("leading"), number), F.lit("")), syllables, "ending")
+    built = F.when(F.col("script").isin(CASED), F.initcap(built)).otherwise(built)
+    return F.coalesce(pick(F.col("given"), number), built) if attempt == 0 else built
+
+
+def with_surrogate(entities: DataFrame, attempt: int, params: PiiParams) -> DataFrame:
+    """entities (kind, value, head, tail, script, ... of prepared) with the attempt's canonical surrogate."""
+    kind, value = F.col("kind"), F.col("value")
+    salt = F.when(kind.startswith("email"), F.lit("email")).otherwise(kind)
+    rows = entities.withColumn("digest", drawn(value, F.lit(attempt), params, salt))
+    body = F.substring(value, F.length("head") + F.when(kind == "iban", 3).otherwise(1), F.length(value) - F.length("head") - F.length("tail"))
+    rows = rows.withColumn("plain", F.when(~kind.isin("ip", "name"), reshaped(body, F.col("digest"), (kind == "secret") & (F.col("head") == ""))))
+    check = F.lpad((F.lit(98) - remainder_97(F.concat("plain", "head", F.lit("00")))).cast("string"), 2, "0")
+    out = (
+        F.when(kind == "ip", ip_surrogate(value, F.col("digest")))
+        .when(kind == "number", with_check_digit(value, F.col("plain")))
+        .when(kind == "iban", F.concat("head", check, "plain"))
+        .when(kind == "name", name_surrogate(value, F.col("digest"), attempt))
+        .otherwise(F.concat("head", "plain", "tail"))
     )
+    return rows.withColumn("surrogate", out).drop("digest", "plain")
 
 
-def entities_of(mention: Column) -> Column:
-    kind = kind_of(mention)
-    return F.when(kind == "name", name_parts(mention)).otherwise(F.array(F.struct(kind.alias("kind"), mention.alias("value"))))
+def prepared(entities: DataFrame) -> DataFrame:
+    """kind, value (distinct) with what a surrogate keeps (head and tail of the value) and what a name is made of.
 
+    A name's word is a given name where any mention (style m, f, n) has it so, of the gender that its mentions agree on.
+    """
+    has = lambda s: F.max((F.col("style") == s).cast("int"))
+    merged = entities.groupBy("kind", "value").agg(*(has(s).alias(s) for s in ("m", "f", "n")))
+    style = F.when(F.col("m") + F.col("f") + F.col("n") == 0, "s").when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
+    kind, value = F.col("kind"), F.col("value")
+    head = F.when(kind == "phone", F.regexp_extract(value, CALLING, 0)).when(kind == "secret", F.regexp_extract(value, rf"^{PREFIX}", 0)).when(kind == "iban", F.substring(value, 1, 2)).otherwise("")
+    tail = F.when(kind == "domain", F.concat(F.lit("."), F.substring_index(value, ".", -1))).otherwise("")
+    script = F.when(kind == "name", F.coalesce(*[F.when(value.rlike(rf"\p{{Is{s}}}"), F.lit(s)) for s in [*UNCASED, *CASED[::-1]]]))
+    rows = merged.select("kind", "value", style.alias("style"), head.alias("head"), tail.alias("tail"), script.alias("script"))
+    return rows.withColumns(name_tables(F.col("script"), F.col("style"))).drop("style")
 
-def surrogates(entities: DataFrame, params: PiiParams) -> DataFrame:
-    """kind, value, surrogate: of the distinct entities (kind, value); surrogates are distinct within a kind and equal no entity of it.
 
-    What differs in separators or case only (a number with and without spaces, an address in capitals) draws from one hash, so
-    it gets one surrogate in several formats.
-    """
-    digits = F.when(F.col("kind").isin("number", "phone", "iban"), F.lower(F.regexp_replace("value", r"[^\p{L}\d]", ""))).otherwise(F.lit(""))
-    left = cut_lineage(entities.select("kind", "value").distinct().withColumn("_canonical_digits", digits))
+def surrogates(entities: DataFrame, params: PiiParams) -> DataFrame:
+    """kind, value, surrogate: of the distinct entities of (kind, value, style); surrogates are distinct within a kind and equal no entity of it."""
+    left = cut_lineage(prepared(entities))
     taken = left.select("kind", F.col("value").alias("surrogate"))
     done = None
     for attempt in range(params.attempts + 1):
-        draw = surrogate(F.col("kind"), F.col("value"), F.lit(attempt), params)
+        tried = with_surrogate(left, attempt, params)
         if attempt == params.attempts:  # the format has no room left: a counter from the keyed hash makes it distinct
-            draw = F.concat(draw, F.lit("-"), F.substring(drawn(F.col("value"), F.lit(attempt), params, F.lit("counter")), 1, 16))
-        tried = left.withColumn("surrogate", draw)
+            tried = tried.withColumn("surrogate", F.concat("surrogate", F.lit("-"), F.substring(drawn(F.col("value"), F.lit(attempt), params, F.lit("counter")), 1, 16)))
         free = tried.join(taken, ["kind", "surrogate"], "left_anti")
-        first = free.groupBy("kind", "surrogate").agg(F.min("value").alias("value"))
-        won = cut_lineage(first.select("kind", "value", "surrogate"))
+        won = cut_lineage(free.groupBy("kind", "surrogate").agg(F.min("value").alias("value")).select("kind", "value", "surrogate"))
         done = won if done is None else done.unionByName(won)
         left = cut_lineage(left.join(won, ["kind", "value"], "left_anti"))
         if left.isEmpty():
@@ -192,38 +247,95 @@ def surrogates(entities: DataFrame, params: PiiParams) -> DataFrame:
     return done
 
 
+def name_words(mention: Column) -> Column:
+    return F.split(F.regexp_replace(mention, rf"^(?:{TITLES})\.? ", ""), "[ -]")
+
+
+def entity(kind: Column, value: Column, style: Column) -> Column:
+    return F.struct(kind.alias("kind"), value.alias("value"), style.alias("style"))
+
+
+def entities_of(mention: Column, kind: Column) -> Column:
+    """(kind, canonical value, style) of what a mention is made of.
+
+    Style is what the mention tells of a name's word: m, f or n for a given name, s for a family name (the last word, if its script has spaces).
+    """
+    title = F.regexp_extract(mention, rf"^({TITLES})", 1)
+    gender = F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").otherwise("n")
+    words = name_words(mention)
+    names = F.transform(words, lambda w, i: entity(F.lit("name"), w, F.when((i == F.size(words) - 1) & ~w.rlike(SIGNS), "s").otherwise(gender)))
+    none = F.lit("")
+    domain = F.lower(F.substring_index(mention, "@", -1))
+    address = F.array(entity(F.concat(F.lit("email@"), domain), F.lower(F.substring_index(mention, "@", 1)), none), entity(F.lit("domain"), domain, none))
+    digits = F.regexp_replace(mention, r"\D", "")
+    canonical = F.when(kind == "number", digits).when(kind == "phone", F.concat(F.when(mention.startswith("+"), "+").otherwise(""), digits)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(mention)
+    single = F.array(entity(F.coalesce(kind, F.lit("name")), canonical, none))
+    return F.when(kind == "name", names).when(kind == "email", address).otherwise(single)
+
+
+def with_kind(mention: Column) -> Column:
+    return F.struct(mention.alias("text"), kind_of(mention).alias("kind"))
+
+
+def filled(mention: Column, drawn_: Column) -> Column:
+    """The mention with its digits and capitals replaced one by one by those of a surrogate; what the surrogate has over goes to the end."""
+    held = lambda upto: F.length(F.regexp_replace(F.substring(mention, F.lit(1), upto), "[^0-9A-Z]", ""))
+    out = F.array_join(F.transform(F.split(mention, ""), lambda c, i: F.when(c.rlike("[0-9A-Z]"), F.substring(drawn_, held(i + 1), F.lit(1))).otherwise(c)), "")
+    return F.concat(out, F.substring(drawn_, held(F.length(mention)) + 1, F.length(drawn_)))
+
+
+def in_case_of(mention: Column, drawn_: Column) -> Column:
+    """A surrogate in small letters with the capitals of the mention."""
+    same = lambda c, m: F.when(F.coalesce(m, F.lit("")).rlike(r"\p{Lu}"), F.upper(c)).otherwise(c)
+    return F.array_join(F.zip_with(F.split(drawn_, ""), F.split(mention, ""), same), "")
+
+
+def rendered(mention: Column, own: Column) -> Column:
+    """The replacement of a mention (text, kind, parts); own: the surrogates of its parts. A word that is no entity of its text stays."""
+    text, kind = mention["text"], mention["kind"]
+    first, second = F.get(own, F.lit(0)), F.get(own, F.lit(1))
+    title = F.regexp_extract(text, rf"^((?:{TITLES})\.? )", 1)
+    between = F.regexp_extract_all(F.substring(text, F.length(title) + 1, F.length(text)), F.lit("[ -]"), F.lit(0))
+    names = F.transform(own, lambda s, i: F.concat(s, F.coalesce(F.get(between, i), F.lit(""))))
+    return (
+        F.when(kind.isNull(), F.coalesce(first, text))
+        .when(kind == "name", F.concat(title, F.array_join(names, "")))
+        .when(kind == "email", in_case_of(text, F.concat(first, F.lit("@"), second)))
+        .when(kind.isin("number", "phone", "iban"), filled(text, F.replace(first, F.lit("+"), F.lit(""))))
+        .otherwise(first)
+    )
+
+
 def pseudonymised(docs: DataFrame, params: PiiParams | None = None) -> DataFrame:
     """docs with every detected entity in text replaced by its surrogate, and pii_entities (the number of mentions) appended.
 
-    Null and empty texts pass through with 0 mentions; all other columns and repeated rows pass through, but for a column named
-    pii_entities, which is replaced. Null doc_ids are fine: texts are joined with surrogates by entity and by row hash, not by id.
+    Names are found behind a title, and in the same text also without it, word by word. Null and empty texts pass through with 0 mentions; all other columns
+    and repeated rows pass through, but for a column named pii_entities, which is replaced. Null doc_ids are fine: texts are joined with
+    surrogates by entity and by text hash, not by id. Texts of any length are matched without recursion.
     """
     params = params or PiiParams()
     base = docs.drop("pii_entities")
     text = F.col("text").cast("string")
-    touched = text.rlike(MAY_HOLD) & text.rlike(ANY)
-    mentions = F.regexp_extract_all(text, F.lit(ANY), F.lit(0))
-    # Few texts have an entity: only those are cut out and joined.
-    texts = cut_lineage(base.where(touched).select(text.alias("text")).distinct().select("text", F.sha2("text", 256).alias("_text_key"), mentions.alias("_mentions")))
-    entities = texts.select("_text_key", F.explode(F.array_distinct(F.flatten(F.transform("_mentions", entities_of)))).alias("_entity")).select("_text_key", "_entity.*")
+    # The patterns run over each text once; what they found is kept with the rows.
+    marked = cut_lineage(base.withColumn("_pii_found", F.when(text.rlike(MAY_HOLD), F.regexp_extract_all(text, F.lit(ANY), F.lit(0)))))
+    touched = F.coalesce(F.size("_pii_found"), F.lit(0)) > 0
+    key = F.sha2(text, 256).alias("_pii_key")
+    texts = marked.where(touched).select(key, text.alias("text"), F.transform("_pii_found", with_kind).alias("found")).dropDuplicates(["_pii_key"])
+    names = F.exists("found", lambda m: m["kind"] == "name")
+    again = F.transform(F.regexp_extract_all("text", F.lit(ANY_OR_WORD), F.lit(0)), with_kind)
+    texts = texts.withColumns({"found": F.when(names, again).otherwise(F.col("found")), "rest": F.when(names, F.split("text", ANY_OR_WORD)).otherwise(F.split("text", ANY))})
+    texts = cut_lineage(texts.select("_pii_key", F.transform("found", lambda m: F.struct(m["text"].alias("text"), m["kind"].alias("kind"), entities_of(m["text"], m["kind"]).alias("parts"))).alias("found"), "rest"))
+    listed = F.flatten(F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: m["parts"]))
+    entities = texts.select("_pii_key", F.explode(F.array_distinct(listed)).alias("e")).select("_pii_key", "e.*")
     known = cut_lineage(surrogates(entities, params))
-    maps = (
-        entities.join(known, ["kind", "value"])
-        .groupBy("_text_key")
-        .agg(F.map_from_entries(F.collect_list(F.struct(F.concat_ws("\x1f", "kind", "value"), "surrogate"))).alias("_map"))
-    )
-
-    def replaced(mention: Column) -> Column:
-        parts = F.transform(entities_of(mention), lambda e: F.struct(e["value"].alias("value"), F.element_at(F.col("_map"), F.concat_ws("\x1f", e["kind"], e["value"])).alias("surrogate")))
-        title = F.regexp_extract(mention, rf"^((?:{TITLES})\.? )", 1)
-        name = F.concat(title, F.array_join(F.transform(parts, lambda p: p["surrogate"]), " "))
-        return F.when(kind_of(mention) == "name", name).otherwise(parts[0]["surrogate"])
-
-    between = F.split("text", ANY)
-    swapped = F.transform("_mentions", replaced)
-    rebuilt = F.concat(F.get(between, F.lit(0)), F.array_join(F.transform(F.arrays_zip(swapped.alias("s"), F.slice(between, F.lit(2), F.size("_mentions")).alias("b")), lambda z: F.concat(z["s"], z["b"])), ""))
-    new = texts.join(maps, "_text_key").select("_text_key", rebuilt.alias("_new_text"), F.size("_mentions").alias("_n"))
-    held = base.where(touched).withColumn("_text_key", F.sha2(text, 256)).join(new, "_text_key")
-    order = [F.col("_new_text").alias("text") if c.lower() == "text" else F.col(c) for c in base.columns]
-    out = held.select(*order, F.col("_n").alias("pii_entities"))
-    return out.unionByName(base.where(F.coalesce(~touched, F.lit(True))).withColumn("pii_entities", F.lit(0)))
+    pair = F.struct(F.concat_ws("\x1f", "kind", "value"), "surrogate")
+    maps = entities.select("_pii_key", "kind", "value").distinct().join(known, ["kind", "value"]).groupBy("_pii_key").agg(F.map_from_entries(F.collect_list(pair)).alias("map"))
+    own = lambda m: F.transform(m["parts"], lambda p: F.try_element_at("map", F.concat_ws("\x1f", p["kind"], p["value"])))
+    new = texts.join(maps, "_pii_key").withColumn("own", F.transform("found", own))
+    swapped = F.transform(F.arrays_zip("found", "own"), lambda z: rendered(z["found"], z["own"]))
+    pieces = F.transform(F.arrays_zip(swapped.alias("s"), F.slice("rest", F.lit(2), F.size("found")).alias("b")), lambda z: F.concat(z["s"], z["b"]))
+    count = F.size(F.filter("own", lambda o: F.get(o, F.lit(0)).isNotNull()))
+    new = new.select("_pii_key", F.concat(F.get("rest", F.lit(0)), F.array_join(pieces, "")).alias("_pii_text"), count.alias("_pii_n"))
+    held = marked.where(touched).withColumn("_pii_key", key).join(new, "_pii_key")
+    order = [F.col("_pii_text").alias(c) if c.lower() == "text" else F.col(c) for c in base.columns]
+    return held.select(*order, F.col("_pii_n").alias("pii_entities")).unionByName(marked.where(~touched).select(*base.columns, F.lit(0).alias("pii_entities")))
