@@ -1,7 +1,7 @@
 """Chat formatting with typed content parts.
 
-A visitor turns each part (text, image, audio, document) into its piece of the turn: text with control strings escaped,
-or one placeholder for each attachment, whose reference and expanded token count are recorded in order. A turn is
+A visitor turns each part (text, image, audio, document) into its piece of the turn: text, whose control strings are escaped in each run of
+parts between attachments, or one placeholder for each attachment, whose reference and expanded token count are recorded in order. A turn is
 `<|im_start|>role<|im_sep|>body<|im_end|>` and a line feed. Turns are formatted row by row in built-in functions; a conversation
 is its turns' pieces in order, so even one that holds a large share of all rows is formatted and read back as a stream.
 """
@@ -43,8 +43,12 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(r"\1", text)
 
 
+#: An attachment's place while text is joined; texts that hold these two characters are quoted meanwhile.
+HERE, QUOTE = "\ue000", "\ue001"
+
+
 def visit(part: Column, params: ChatParams) -> Column:
-    """struct(body, attachment): attachment is null for text; unknown types count as text, missing sizes as 0 tokens."""
+    """struct(text, attachment): attachment is null for text; unknown types count as text, missing sizes as 0 tokens."""
     kind = F.lower(F.coalesce(part["type"], F.lit("text")))
     side = lambda c: F.ceil(F.coalesce(c, F.lit(0)) / params.patch)
     tokens = (
@@ -53,12 +57,21 @@ def visit(part: Column, params: ChatParams) -> Column:
         .when(kind == "document", F.coalesce(part["pages"], F.lit(0)).cast("long") * params.document_tokens_per_page)
     )
     attached = kind.isin("image", "audio", "document")
+    quoted = F.replace(F.replace(F.coalesce(part["text"], F.lit("")), F.lit(QUOTE), F.lit(QUOTE + "b")), F.lit(HERE), F.lit(QUOTE + "a"))
     return F.struct(
-        F.when(attached, F.concat(F.lit("<|"), kind, F.lit("|>"))).otherwise(escape(F.coalesce(part["text"], F.lit("")))).alias("body"),
+        F.when(attached, F.lit(HERE)).otherwise(quoted).alias("text"),
         F.when(attached, F.struct(kind.alias("type"), part["uri"].alias("uri"), tokens.cast("long").alias("tokens"))).alias("attachment"),
     )
 
 
+def body_of(seen: Column, attachments: Column) -> Column:
+    """All text between two attachments is escaped as one, so no control string can be put together from several parts."""
+    unquoted = lambda t: F.replace(F.replace(t, F.lit(QUOTE + "a"), F.lit(HERE)), F.lit(QUOTE + "b"), F.lit(QUOTE))
+    runs = F.transform(F.split(F.array_join(F.transform(seen, lambda s: s["text"]), ""), HERE), lambda t: escape(unquoted(t)))
+    placeholders = F.transform(attachments, lambda a: F.concat(F.lit("<|"), a["type"], F.lit("|>")))
+    return F.array_join(F.zip_with(runs, placeholders, lambda t, a: F.concat(t, F.coalesce(a, F.lit("")))), "")
+
+
 def format_turns(turns: DataFrame, params: ChatParams | None = None) -> DataFrame:
     """conv_id, turn, role, formatted, loss_start, loss_end, attachments (type, uri, tokens; in order) and attachment_tokens of each row.
 
@@ -74,8 +87,8 @@ def format_turns(turns: DataFrame, params: ChatParams | None = None) -> DataFram
     role = F.coalesce(F.col("role").cast("string"), F.lit(""))
     seen = turns.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), role.alias("role"), F.transform(parts, lambda p: visit(p, params)).alias("_seen"))
     head = F.concat(F.lit(START), escape(F.col("role")), F.lit(SEPARATOR))
-    body = F.array_join(F.transform("_seen", lambda s: s["body"]), "")
     attachments = F.filter(F.transform("_seen", lambda s: s["attachment"]), lambda a: a.isNotNull())
+    body = body_of(F.col("_seen"), attachments)
     loss = F.col("role") == params.loss_role
     return seen.select(
         "conv_id",
