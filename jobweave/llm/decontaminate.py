@@ -98,12 +98,13 @@ class Lookup:
 
 
 def item_words(items: list[tuple[int, str]]) -> dict[int, np.ndarray]:
+    """The words of each text by its place in items: several texts of one id are several items until the end."""
     hasher, out = WordHasher(SEPARATORS), {}
-    for item_id, text in items:
+    for k, (_, text) in enumerate(items):
         data = np.frombuffer((text or "").encode(), np.uint8)
         words = hasher(data, np.array([0, len(data)]))[0]
         if len(words):
-            out[item_id] = words
+            out[k] = words
     return out
 
 
@@ -229,7 +230,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | N
     """doc_id, item_id, score (share of the item's own alignment score), start and end (bytes of the passage in the text).
 
     One row for each document and item whose best alignment reaches the threshold. Null or empty texts and items, items and
-    documents without words and null ids give no rows; a repeated document gives its rows once. An item under
+    documents without words and null ids give no rows; a repeated document gives its rows once, as does an id that several item texts have. An item under
     `words` words is found where its words stand in a row and fill the document. Other columns are ignored.
     """
     params = params or DecontaminateParams()
@@ -243,7 +244,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | N
         counts = seed_counts(texts, np.unique(np.concatenate(list(words.values()))))
         seeds = rare_seeds({i: w for i, w in words.items() if len(w) >= params.words}, counts, params)
         # At most part_items items: a fixed bound.
-        found = _aligned(texts, spark.sparkContext.broadcast((words, seeds)), params)
+        found = _aligned(texts, spark.sparkContext.broadcast(([i for i, _ in items], words, seeds)), params)
         out = found if out is None else out.unionByName(found)
     if out is None:
         out = spark.createDataFrame([], "doc_id long, item_id long, score double, start long, end long")
@@ -252,7 +253,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | N
 
 def _aligned(texts: DataFrame, shared, params: DecontaminateParams) -> DataFrame:
     def scan(batches):
-        words_of, (seed, item) = shared.value
+        item_ids, words_of, (seed, item) = shared.value
         hasher, seeds = WordHasher(SEPARATORS), Seeds(words_of, seed, item, params)
         short: dict[bytes, list[int]] = {}
         for i, w in words_of.items():
@@ -271,7 +272,7 @@ def _aligned(texts: DataFrame, shared, params: DecontaminateParams) -> DataFrame
                     score, x, y = align(mine, words[begin:end], params)
                     if score >= params.threshold * len(mine):
                         offset = int(part[t] - part[0])
-                        rows.append((ids[first + t].as_py(), i, score / len(mine), int(starts[begin + x]) - offset, int(stops[begin + y - 1]) - offset))
+                        rows.append((ids[first + t].as_py(), item_ids[i], score / len(mine), int(starts[begin + x]) - offset, int(stops[begin + y - 1]) - offset))
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             kinds = (pa.int64(), pa.int64(), pa.float64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "item_id", "score", "start", "end"])
