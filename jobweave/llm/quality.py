@@ -84,7 +84,8 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn, params: QualityPa
         docs.where("text is not null")
         .join(F.broadcast(picked), docs["doc_id"] == picked["_id"])
         .select("_label", F.substring(text, place, F.lit(params.window_chars)).alias("window"), F.xxhash64(F.lit(47), "doc_id").alias("_order"))
-        .dropDuplicates(["_order", "_label"])
+        .groupBy("_order", "_label")
+        .agg(F.min("window").alias("window"))
         .collect()
     )
     return [(r["_label"], r["window"].encode()) for r in sorted(rows, key=lambda r: (r["_order"], r["_label"]))]
@@ -92,7 +93,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn, params: QualityPa
 
 def train(docs: DataFrame, labels: DataFrame, learn=None, params: QualityParams | None = None) -> QualityModel:
     """learn: a predicate on labels' rows that may be learned from. Rows without a label of 0 or 1, or whose
-    document is missing or null, teach nothing. Without both classes every score is the share of label 1 (0.5 without labels).
+    document is missing or null, teach nothing; of several texts of one doc_id the smallest window does. Without both classes, or without a text of both to calibrate on, every score is the share of label 1 (0.5 without labels).
     """
     params = params or QualityParams()
     learn = F.lit(True) if learn is None else learn
@@ -117,6 +118,8 @@ def calibrated(model: QualityModel, unseen: dict[int, list[bytes]], rate: float)
         compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False).compress)
     x = np.array([features(t, *compressors, model.params.block_bytes, model.params.window_chars) for y in (0, 1) for t in unseen[y] if t])
     y = np.array([y for y in (0, 1) for t in unseen[y] if t], float)
+    if len(np.unique(y)) < 2:  # nothing that tells the classes apart: the base rate
+        return (float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))), *(0.0,) * (len(model.weights) - 1))
     weight = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
     w = np.zeros(x.shape[1])
     ridge = 1e-3 * np.eye(len(w))
