@@ -394,33 +394,37 @@ def whole_spans(starts: Column, size: Column, params: RepeatParams) -> Column:
     return F.when(long_ > 0, F.array(span(starts, False), span(long_, True))).otherwise(F.array(span(starts, False)))
 
 
-def resolved(nodes: DataFrame, params: RepeatParams, grains: tuple[int, ...]) -> DataFrame:
-    """key, h1, h2, spans of the repeated strings of each fragment; nodes: key, h1, h2, anchor, starts, size, n, text, a row for each fragment.
-
-    Without grains left, nodes are single starts whose keys are their strings of `passage` bytes.
-    """
-    names = ["key", *NODE, "spans"]
-    whole = nodes.where("n > 1").withColumn("spans", whole_spans(F.col("starts"), F.col("size"), params)).select(names)
-    sizes = nodes.groupBy("key").agg(F.count("*").alias("group"))
-    if not grains:
-        again = nodes.where("n = 1").join(sizes.where("group > 1"), "key")
-        return whole.unionByName(again.withColumn("spans", whole_spans(F.col("starts"), F.lit(0), params)).select(names))
+def by_size(nodes: DataFrame, params: RepeatParams) -> tuple[DataFrame, DataFrame | None]:
+    """nodes (key, h1, ...) of groups within the bound, and of those over it (None if there are none)."""
     # Groups over the bound are few: their keys go to each of a number of lanes, so that a group's rows need not meet for this.
     lanes = 32
-    large = sizes.where(F.col("group") > params.group).select("key", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane"))
-    laned = nodes.withColumn("lane", F.pmod("h1", F.lit(lanes)).cast("int"))
-    out = whole.unionByName(merged_groups(laned.join(large, ["key", "lane"], "left_anti"), params))
+    sizes = nodes.groupBy("key").agg(F.count("*").alias("group")).where(F.col("group") > params.group)
+    large = cut_lineage(sizes.select("key", F.explode(F.sequence(F.lit(0), F.lit(lanes - 1))).alias("lane")))
     if large.isEmpty():
-        return out
-    split = cut_lineage(parts(laned.join(large, ["key", "lane"], "left_semi"), grains[0], params))
+        return nodes, None
+    laned = nodes.withColumn("lane", F.pmod("h1", F.lit(lanes)).cast("int"))
+    return tuple(laned.join(large, ["key", "lane"], how).drop("lane") for how in ("left_anti", "left_semi"))
+
+
+def split_groups(nodes: DataFrame, grains: tuple[int, ...], params: RepeatParams) -> DataFrame:
+    """key, h1, h2, spans of the repeated strings of fragments of groups over the bound; nodes: key, h1, h2, anchor, starts, n, text, a row for each fragment."""
+    split = cut_lineage(parts(nodes, grains[0], params))
     below = split.groupBy("key", *NODE, "starts", "size").agg(F.min("anchor").alias("anchor"), F.least(F.lit(2), F.sum("n")).cast("int").alias("n"), F.min("text").alias("text"))
     below = cut_lineage(below)
+    names = ["key", *NODE, "spans"]
+    found = below.where("n > 1").withColumn("spans", whole_spans(F.col("starts"), F.col("size"), params)).select(names)
     # A part that nothing shares its content with repeats nothing.
-    company = below.groupBy("key").agg(F.count("*").alias("c"), F.max("n").alias("most")).where("c > 1 or most > 1").select("key")
-    found = resolved(below.join(company, "key", "left_semi"), params, grains[1:])
+    company = below.groupBy("key").agg(F.count("*").alias("c")).where("c > 1").select("key")
+    open_ = below.join(company, "key", "left_semi")
+    if grains[0] == 1:  # single starts, whose keys are their strings of `passage` bytes
+        found = found.unionByName(open_.where("n = 1").withColumn("spans", whole_spans(F.col("starts"), F.lit(0), params)).select(names))
+    else:
+        small, large = by_size(open_, params)
+        found = found.unionByName(merged_groups(small, params))
+        found = found if large is None else found.unionByName(split_groups(large, grains[1:], params))
     moved = split.select("from_key", "from_h1", "from_h2", "offset", "key", *NODE).join(found, ["key", *NODE])
     shift = F.transform("spans", lambda s: F.struct((s["first"] + F.col("offset")).alias("first"), (s["last"] + F.col("offset")).alias("last"), s["whole"].alias("whole")))
-    return out.unionByName(moved.select(F.col("from_key").alias("key"), F.col("from_h1").alias("h1"), F.col("from_h2").alias("h2"), shift.alias("spans")))
+    return moved.select(F.col("from_key").alias("key"), F.col("from_h1").alias("h1"), F.col("from_h2").alias("h2"), shift.alias("spans"))
 
 
 def keyed(docs: DataFrame) -> DataFrame:
@@ -433,7 +437,8 @@ def text_digest() -> Column:
 
 
 def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
-    """key, h1, h2, anchor, starts, size, n, text: the fragments that wanted (d, f) lists, out of the texts (d, text)."""
+    """key, h1, h2, anchor, starts, n, text: the fragments wanted (with their place d, at and size), out of the texts (d, text)."""
+    listed_ = wanted.groupBy("d").agg(F.collect_list(F.struct("anchor", *NODE, "starts", "size", "at", "n")).alias("f"))
 
     def scan(batches):
         for batch in batches:
@@ -443,10 +448,10 @@ def cut_out(texts: DataFrame, wanted: DataFrame) -> DataFrame:
             for k, listed in enumerate(batch.column(1).to_pylist()):
                 for f in listed:
                     a = int(bounds[k]) + f["at"]
-                    out.append((f["anchor"], f["h1"], f["h2"], f["anchor"], f["starts"], f["size"], f["n"], bytes(body[a : a + f["size"]])))
-            yield record(out, ["key", *NODE, "anchor", "starts", "size", "n", "text"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.binary()))
+                    out.append((f["anchor"], f["h1"], f["h2"], f["anchor"], f["starts"], f["n"], bytes(body[a : a + f["size"]])))
+            yield record(out, ["key", *NODE, "anchor", "starts", "n", "text"], (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.binary()))
 
-    return texts.join(wanted, "d").select("text", "f").mapInArrow(scan, "key long, h1 long, h2 long, anchor long, starts int, size int, n int, text binary")
+    return texts.join(listed_, "d").select("text", "f").mapInArrow(scan, "key long, h1 long, h2 long, anchor long, starts int, n int, text binary")
 
 
 def repeats(docs: DataFrame, params: RepeatParams | None = None) -> DataFrame:
@@ -460,9 +465,12 @@ def repeats(docs: DataFrame, params: RepeatParams | None = None) -> DataFrame:
     fragment = cut_lineage(shared(long_, params))
     # The bytes of the fragments, from the one text that each names; equal texts are one here. Where all fragments of an anchor occur twice there is nothing to compare.
     open_ = fragment.groupBy("anchor").agg(F.min("n").alias("least")).where("least = 1").select("anchor")
-    wanted = fragment.join(open_, "anchor").groupBy("d").agg(F.collect_list(F.struct("anchor", *NODE, "starts", "size", "at", "n")).alias("f"))
-    nodes = cut_lineage(cut_out(long_.dropDuplicates(["d"]), wanted))
-    compared = resolved(nodes, params, (params.grain, 1)).select(*NODE, "spans")
+    texts = long_.dropDuplicates(["d"])
+    small, large = by_size(fragment.join(open_, "anchor").withColumn("key", F.col("anchor")), params)
+    compared = merged_groups(cut_out(texts, small), params)
+    if large is not None:
+        compared = compared.unionByName(split_groups(cut_out(texts, large), (params.grain, 1), params))
+    compared = compared.select(*NODE, "spans")
     whole = fragment.where("n > 1").withColumn("spans", whole_spans(F.col("starts"), F.col("size"), params)).select(*NODE, "spans")
     # One row for each fragment: its spans are bounded by its starts.
     found = cut_lineage(compared.unionByName(whole).groupBy(*NODE).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
