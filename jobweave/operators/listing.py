@@ -127,6 +127,49 @@ def pending(postings: DataFrame, scores: DataFrame, active_resume: int | None =
     return joined.where(F.col("_job").isNull() | stale).drop("_job", "_resume")
 
 
+def pending_page(rows: DataFrame, order: list[Column], limit: int = 25) -> DataFrame:
+    """The first of the pending, as many as one run takes."""
+    return page(rows, order, limit)
+
+
+def with_canonical(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """rows with canonical: those columns of the posting that a duplicate points to, null for others."""
+    target = rows.select(F.col("id").alias("_canonical"), F.struct("id", *columns).alias("canonical"))
+    return rows.join(target, rows["duplicate_of"] == target["_canonical"], "left").drop("_canonical")
+
+
+def top_matches(rows: DataFrame, n: int = 6) -> DataFrame:
+    """The best scored of what nobody has looked at."""
+    return rows.where(F.col("score").isNotNull() & is_untriaged(F.col("status"))).orderBy(F.desc("score"), "id").limit(n)
+
+
+def shell_counts(rows: DataFrame, order: list[Column], now: Column, newest: int = 500) -> DataFrame:
+    """One row over the newest postings: active, unreviewed and strong of the active, and follow-ups that are due."""
+    recent = rows.orderBy(*order).limit(newest).where(is_active(F.col("status")))
+    due_ = due_in_client(F.col("next_followup_at"), F.col("outcome"), now)
+    return recent.agg(F.count("*").alias("active"), F.count_if(is_untriaged(F.col("status"))).alias("unreviewed"), F.count_if(F.col("score") >= 80).alias("strong"), F.count_if(due_).alias("followups"))
+
+
+def overdue_count(rows: DataFrame, days: Column, least: int = 14) -> DataFrame:
+    """overdue: how many follow-ups have waited for so many days."""
+    return rows.agg(F.count_if(days >= least).alias("overdue"))
+
+
+def bar_scale(counts: DataFrame, n: str = "n") -> DataFrame:
+    """most: the largest count of a histogram, 1 at least, for the scale of its bars."""
+    return counts.agg(F.greatest(F.lit(1), F.coalesce(F.max(n), F.lit(1))).cast("long").alias("most"))
+
+
+def matching_commands(commands: DataFrame, term: Column) -> DataFrame:
+    """Commands (label, category) that hold the term in either, by small letters; all for an empty term."""
+    return commands.where(F.contains(F.lower(F.concat_ws(" ", "label", "category")), F.lower(F.trim(term))))
+
+
+def rubric_entries(scores: DataFrame, key: str, rubric: str = "rubric") -> DataFrame:
+    """key, bucket, points, note: a row for each part of a score; no rows for a score without parts."""
+    return scores.select(key, F.explode(F.map_entries(rubric)).alias("e")).select(key, F.col("e.key").alias("bucket"), F.col("e.value.points").alias("points"), F.col("e.value.note").alias("note"))
+
+
 def stale_scores(scores: DataFrame, active_resume: int | None) -> DataFrame:
     """stale: how many scores are of another resume than the active one; 0 without one."""
     other = F.lit(False) if active_resume is None else F.coalesce(F.col("resume_id") != active_resume, F.lit(False))

@@ -102,6 +102,66 @@ def listed_names(blacklist: DataFrame, added: DataFrame, key: Column) -> DataFra
     return blacklist.unionByName(new.join(blacklist.select("key"), "key", "left_anti").select(*blacklist.columns))
 
 
+def unlisted(blacklist: DataFrame, removed: DataFrame, key: Column) -> DataFrame:
+    """blacklist without the names of removed, by their keys; unknown ones change nothing."""
+    return blacklist.join(removed.select(key.alias("key")).distinct(), "key", "left_anti")
+
+
+def guarded(names: DataFrame, blacklist: DataFrame, keys: Column) -> DataFrame:
+    """names with refused: one of a name's keys (an array) is on the blacklist (key)."""
+    exploded = names.select("name", F.explode(keys).alias("key")).join(blacklist.select("key").distinct(), "key", "left_semi")
+    hit = exploded.select(F.col("name").alias("_name")).distinct().withColumn("refused", F.lit(True))
+    return names.join(hit, names["name"] == hit["_name"], "left").drop("_name").withColumn("refused", F.coalesce("refused", F.lit(False)))
+
+
+def watched(boards: DataFrame, added: DataFrame, now: Column) -> DataFrame:
+    """boards (source, slug, added_by, label, added_at, enabled) with the user's new ones; of boards that are there already the row stays, enabled again."""
+    key = ["source", "slug"]
+    again = added.select(*key).distinct().withColumn("_again", F.lit(True))
+    kept = boards.join(again, key, "left").withColumn("enabled", F.col("enabled") | F.coalesce("_again", F.lit(False))).select(*boards.columns)
+    new = added.dropDuplicates(key).join(boards.select(*key), key, "left_anti").withColumns({"added_by": F.lit("user"), "added_at": now, "enabled": F.lit(True)})
+    return kept.unionByName(new.select(*boards.columns))
+
+
+def unwatched(boards: DataFrame, removed: DataFrame) -> DataFrame:
+    """boards without those of removed (source, slug) that a user added; seeds and found boards stay."""
+    gone = removed.select("source", "slug").distinct().withColumn("_gone", F.lit(True))
+    return boards.join(gone, ["source", "slug"], "left").where(~(F.coalesce("_gone", F.lit(False)) & (F.col("added_by") == "user"))).select(*boards.columns)
+
+
+def patched(applications: DataFrame, changes: DataFrame, now: Column) -> DataFrame:
+    """applications (job_id, ...) with the values of changes that are not null. A change of a job without an application does nothing."""
+    shared = [c for c in changes.columns if c != "job_id"]
+    new = changes.select(F.col("job_id").alias("_job"), *[F.col(c).alias(f"_new_{c}") for c in shared])
+    joined = applications.join(new, applications["job_id"] == new["_job"], "left")
+    values = {c: F.coalesce(f"_new_{c}", c) for c in shared} | {"updated_at": F.when(F.col("_job").isNotNull(), now).otherwise(F.col("updated_at"))}
+    return joined.withColumns(values).select(*applications.columns)
+
+
+def with_score(log: DataFrame, scores: DataFrame, active_resume: int | None) -> DataFrame:
+    """The log with new scores (job_id, score, kind, at) appended: a baseline score carries the active resume, a tailored one none."""
+    resume = F.when(F.col("kind") == "baseline", F.lit(active_resume)).cast("long")
+    return log.unionByName(scores.withColumn("resume_id", resume).select(*log.columns))
+
+
+def with_statuses(postings: DataFrame, applications: DataFrame) -> DataFrame:
+    """postings with status: that of their application (job_id, status), null without one."""
+    own = applications.select(F.col("job_id").alias("_job"), "status")
+    return postings.join(own, postings["id"] == own["_job"], "left").drop("_job")
+
+
+def prune_stats(pruned_rows: DataFrame) -> DataFrame:
+    """scanned, lightened, bytes_freed of what `pruned` returns."""
+    return pruned_rows.agg(F.count("*").alias("scanned"), F.count_if(F.col("bytes_freed") > 0).alias("lightened"), F.coalesce(F.sum("bytes_freed"), F.lit(0)).cast("long").alias("bytes_freed"))
+
+
+def backfill_stats(before: DataFrame, after: DataFrame) -> DataFrame:
+    """fingerprinted, flagged: rows (id, jd_fingerprint, duplicate_of) that a backfill gave a fingerprint or a link."""
+    old = before.select("id", F.col("jd_fingerprint").alias("_print"), F.col("duplicate_of").alias("_dup"))
+    rows = after.join(old, "id")
+    return rows.agg(F.count_if(F.col("jd_fingerprint").isNotNull() & F.col("_print").isNull()).alias("fingerprinted"), F.count_if(F.col("duplicate_of").isNotNull() & F.col("_dup").isNull()).alias("flagged"))
+
+
 def prunable(status: Column, posted: Column, ingested: Column, now: Column, posted_days: int = 30, ingested_days: int = 14) -> Column:
     """Archived or rejected; or posted too long ago; or ingested too long ago and not applied to."""
     before = lambda c, days: F.coalesce(c < now - F.make_interval(days=F.lit(days)), F.lit(False))

@@ -2,9 +2,10 @@
 
 from pyspark.sql import functions as F
 
-from jobweave.operators import batching, boards, state
-from jobweave.plans.binding import JOBS, NOW, jobs, one_of, sql_one_of, table
+from jobweave.operators import batching, boards, profile, state
+from jobweave.plans.binding import JOBS, NOW, POSTINGS, jobs, one_of, postings, sql_one_of, table
 from jobweave.plans.registry import query
+from jobweave.plans.scoring import keyword_scorer, results, scored
 
 TODAY = NOW[:10]
 
@@ -182,7 +183,7 @@ def ordered_dedupe_ids(spark, sf_dir):
 )
 def profile_merge(spark, sf_dir):
     own = F.when(F.pmod("c_custkey", F.lit(2)) == 0, F.array(one_of(["a", "b", "c"], F.col("c_custkey")))).otherwise(F.array(F.lit("x")))
-    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(F.array_union(own, F.array(F.lit("x"))), ",").alias("terms"))
+    return table(spark, sf_dir, "customer").select("c_custkey", F.array_join(profile.merged(own, F.array(F.lit(" X "), F.lit("x"))), ",").alias("terms")).withColumn("terms", F.lower("terms"))
 
 
 @query("SELECT s_suppkey, s_suppkey % 2 = 0 OR (s_suppkey % 3 = 0 AND s_suppkey % 5 > 0) AS present FROM supplier")
@@ -193,11 +194,24 @@ def board_proof(spark, sf_dir):
     return table(spark, sf_dir, "supplier").select("s_suppkey", boards.board_exists(source, ok, F.pmod(k, F.lit(5))).alias("present"))
 
 
-@query()
-def score_pending(spark, sf_dir):
-    """Scores by the word scorer over packed batches: no engine has it in SQL; tests compare it with a loop."""
-    from jobweave.plans.binding import postings
-    from jobweave.plans.scoring import keyword_scorer, results, scored
+SHARE = "((description ILIKE '%react%')::INTEGER + (description ILIKE '%node%')::INTEGER + (description ILIKE '%vue%')::INTEGER + (description ILIKE '%team%')::INTEGER) / 4.0"
+
 
+@query(f"SELECT id, score, score < 60 AS archive FROM (SELECT id, (floor(30 * s) + floor(25 * s) + floor(20 * s) + floor(15 * s) + floor(10 * s))::INTEGER AS score FROM (SELECT id, {SHARE} AS s FROM ({POSTINGS})))")
+def score_pending(spark, sf_dir):
     rows = postings(spark, sf_dir).select("id", "description")
     return results(rows, scored(rows, keyword_scorer(["react", "node", "vue", "team"]))).select("id", "score", "archive")
+
+
+@query(f"SELECT id, CASE WHEN description ILIKE '%solidity%' THEN NULL ELSE (floor(30 * s) + floor(25 * s) + floor(20 * s) + floor(15 * s) + floor(10 * s))::INTEGER END AS score FROM (SELECT id, description, {SHARE} AS s FROM ({POSTINGS}))")
+def score_fallback(spark, sf_dir):
+    """A scorer that fails wherever a batch holds one kind of text: all other jobs are scored one by one."""
+    plain = keyword_scorer(["react", "node", "vue", "team"])
+
+    def touchy(batch):
+        if batch["description"].str.contains("Solidity").any():
+            raise RuntimeError("refused")
+        return plain(batch)
+
+    rows = postings(spark, sf_dir).select("id", "description")
+    return results(rows, scored(rows, touchy, most_errors=1 << 30)).select("id", "score")

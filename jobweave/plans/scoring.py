@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from jobweave.functions.text import USAGE_LIMIT
 from jobweave.operators.batching import RUBRIC, matched, packed, reconciled
 from jobweave.operators.state import to_archive
 
@@ -27,32 +29,84 @@ def keyword_scorer(words: list[str]) -> Scorer:
     return score
 
 
-def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int = 2) -> DataFrame:
-    """Answers (ANSWER) for postings (id, ingested_at, description): lanes are packed in order, and each batch is one call, tried again once if it fails."""
-    sized = pending.select("id", "description", F.pmod("id", F.lit(lanes)).alias("lane"), F.length("description").alias("size"))
-    batches = packed(sized.select("lane", "id", "size"), "lane", "id", "size")
-    rows = sized.join(batches.select("id", "batch"), "id").repartition("lane", "batch").sortWithinPartitions("lane", "batch", "id")
+class Caller:
+    """Calls the scorer for the batches of one lane: failed batches and jobs that an answer leaves out go one by one, and the lane stops where calling on makes no sense."""
 
-    def call(group: pd.DataFrame) -> pd.DataFrame:
+    def __init__(self, scorer: Scorer, attempts: int, most_errors: int):
+        self.scorer, self.attempts, self.most_errors = scorer, attempts, most_errors
+        self.errors, self.stopped = 0, None
+
+    def tried(self, group: pd.DataFrame) -> tuple[pd.DataFrame | None, str | None]:
+        """The usable answers to a group, or why there are none."""
         error = None
-        for _ in range(attempts):
+        for _ in range(self.attempts):
             try:
-                return scorer(group[["id", "description"]])
-            except Exception as e:  # noqa: BLE001  a scorer may fail in any way; its batch is reported as failed
+                answer = self.scorer(group[["id", "description"]])
+                return answer[answer["id"].isin(group["id"]) & answer["error"].isna() & answer["score"].between(0, 100)], None
+            except Exception as e:  # noqa: BLE001  a scorer may fail in any way
                 error = str(e)[:400]
-        return pd.DataFrame({"id": group["id"], "score": None, "rubric": None, "reasoning": None, "error": error, "position": 0})
+                if re.search(USAGE_LIMIT, error):
+                    self.stopped = error
+                    break
+        return None, error
+
+    def __call__(self, group: pd.DataFrame) -> pd.DataFrame:
+        if self.stopped:
+            return failed(group, self.stopped)
+        answer, error = self.tried(group)
+        missing = group if answer is None else group[~group["id"].isin(answer["id"])]
+        out = [] if answer is None else [answer]
+        for _, job in missing.groupby("id", sort=False):
+            if not self.stopped and len(group) > 1:
+                answer, error = self.tried(job)
+            if self.stopped:
+                out.append(failed(job, self.stopped))
+                continue
+            if answer is not None and len(answer) and len(group) > 1:
+                self.errors = 0
+                out.append(answer)
+                continue
+            out.append(failed(job, error or "no usable answer"))
+            self.errors += 1
+            if self.errors >= self.most_errors:
+                self.stopped = f"stopped after {self.errors} failures in a row"
+        if len(missing) < len(group):
+            self.errors = 0 if not len(missing) else self.errors
+        return pd.concat(out)
+
+
+def failed(group: pd.DataFrame, error: str) -> pd.DataFrame:
+    return pd.DataFrame({"id": group["id"], "score": None, "rubric": None, "reasoning": None, "error": error, "position": 0})
+
+
+def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int = 2, most_errors: int = 3) -> DataFrame:
+    """Answers (ANSWER) for postings (id, ingested_at, description).
+
+    Lanes are packed in order, and each batch is one call, tried again once if it fails. Jobs of a batch that failed, or that its answer leaves out, are called one
+    by one. A lane stops after `most_errors` failed jobs in a row, or at once where the error tells of a usage limit; its other jobs carry that error.
+    """
+    sized = pending.select("id", "description", F.pmod("id", F.lit(lanes)).alias("lane"), F.length("description").alias("size"))
+    batches = packed(sized.select("lane", "id", "size"), "lane", "id", "size")
+    rows = sized.join(batches.select("id", "batch"), "id").repartition("lane").sortWithinPartitions("lane", "batch", "id")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held = None
+        held, lane, caller = None, None, None
+
+        def answers(group: pd.DataFrame) -> pd.DataFrame:
+            nonlocal lane, caller
+            if caller is None or group["lane"].iloc[0] != lane:
+                lane, caller = group["lane"].iloc[0], Caller(scorer, attempts, most_errors)
+            return caller(group)
+
         for part in parts:
             part = part if held is None else pd.concat([held, part])
             keys = list(zip(part["lane"], part["batch"]))
             open_ = [k == keys[-1] for k in keys] if keys else []
             held = part[open_]
             for _, group in part[[not o for o in open_]].groupby(["lane", "batch"], sort=False):
-                yield call(group)
+                yield answers(group)
         if held is not None and len(held):
-            yield call(held)
+            yield answers(held)
 
     return rows.select("lane", "batch", "id", "description").mapInPandas(run, ANSWER)
 

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.plans import queries_changes, queries_dedupe, queries_listing, queries_rules, queries_streams, queries_text
+from jobweave.plans import queries_changes, queries_dedupe, queries_listing, queries_more, queries_rules, queries_streams, queries_text
 from jobweave.plans.registry import QUERIES, SQL
 
-FAMILIES = [queries_rules, queries_listing, queries_dedupe, queries_text, queries_changes, queries_streams]
+FAMILIES = [queries_rules, queries_listing, queries_dedupe, queries_text, queries_changes, queries_streams, queries_more]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
