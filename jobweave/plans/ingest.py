@@ -20,7 +20,7 @@ OUTCOMES = ["dropped_blacklist", "skipped_duplicate", "stale", "dropped_filter",
 @dataclass(frozen=True)
 class Ingested:
     rows: DataFrame  # all records, each with its outcome
-    new: DataFrame  # the postings to append, with duplicate_of
+    new: DataFrame  # the postings to append, with duplicate_of (a stored id) or duplicate_of_ord (one of these)
     companies: DataFrame  # names seen for the first time
 
 
@@ -86,7 +86,9 @@ def ingested(records: DataFrame, stored: DataFrame, now: Column, config: FilterC
     links = near_links(ordered, NEAR, None).where(F.col("id").startswith("t"))
     roots = canonical(links)
     stored_root = old.select(F.col("id").alias("root"), F.col("root").alias("stored_root"))
-    linked = roots.join(stored_root, "root", "left").select(F.col("id").alias("_id"), F.coalesce("stored_root", "root").alias("duplicate_of"))
+    number = lambda c, kind: F.when(c.startswith(kind), F.substring(c, F.lit(2), F.length(c))).cast("long")
+    root = F.coalesce("stored_root", "root")
+    linked = roots.join(stored_root, "root", "left").select(F.col("id").alias("_id"), number(root, "s").alias("duplicate_of"), number(root, "t").alias("duplicate_of_ord"))
     own = F.concat(F.lit("t"), F.lpad(F.col("ord").cast("string"), 20, "0"))
     new = new.join(linked, own == linked["_id"], "left").drop("_id")
     names = flagged.where(~F.col("is_blacklisted") & ~F.col("is_stale") & (F.col("filter_status") != "dropped")).select("company_key", "company_name").dropDuplicates(["company_key"])
@@ -97,7 +99,7 @@ def stats(result: Ingested) -> DataFrame:
     """One row of counts: fetched, each outcome, flagged_jd_similar, passed_filter and manual_review of what is inserted."""
     counts = result.rows.agg(F.count("*").alias("fetched"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])
     more = result.new.agg(
-        F.count("duplicate_of").alias("flagged_jd_similar"), F.count_if(F.col("filter_status") == "passed").alias("passed_filter"), F.count_if(F.col("filter_status") == "manual").alias("manual_review")
+        F.count(F.coalesce("duplicate_of", "duplicate_of_ord")).alias("flagged_jd_similar"), F.count_if(F.col("filter_status") == "passed").alias("passed_filter"), F.count_if(F.col("filter_status") == "manual").alias("manual_review")
     )
     # One row each.
     return counts.crossJoin(more)

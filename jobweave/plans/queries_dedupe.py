@@ -3,20 +3,20 @@
 from pyspark.sql import functions as F
 
 from jobweave.functions.hashes import cross_key, has_simhash, simhash, simhash_md5, source_key
-from jobweave.functions.text import cross_title, normal_company, normal_title
+from jobweave.functions.text import COMPANY_SUFFIXES, TITLE_NOISE, cross_title, normal_company, normal_title
 from jobweave.operators import dedupe
 from jobweave.operators.lineage import cut_lineage
 from jobweave.plans.binding import POSTINGS, postings, table
 from jobweave.plans.registry import query
 
-SUFFIX = r"(?i)[,\s]+(inc|incorporated|llc|ltd|limited|corp|corporation|co|company|plc|gmbh|s\.?a\.?|s\.?l\.?|pty|ag|nv|bv)\.?$"
+SUFFIX = rf"(?i)[,\s]+({COMPANY_SUFFIXES})\.?$"
 COMPANY = f"regexp_replace(lower(regexp_replace(trim(company_name), '{SUFFIX}', '')), '[^a-z0-9]+', '', 'g')"
 PART = "[^,\\-–—]{1,40}"
 STRIPPED = f"regexp_replace(title, '\\s*[\\-–—]\\s*{PART},\\s*{PART}(?:,\\s*{PART})?\\s*$', '')"
 # The titles' own locations have no pattern characters but full stops and parentheses, which these tables lack.
 OWN = f"CASE WHEN coalesce(location, '') <> '' AND regexp_matches(title, '(?i)\\s*[\\-–—]\\s*' || location || '\\s*$') THEN regexp_replace(title, '(?i)\\s*[\\-–—]\\s*' || location || '\\s*$', '') ELSE {STRIPPED} END"
 TITLE = f"trim(regexp_replace(lower({OWN}), '\\s+', ' ', 'g'))"
-NOISE = r"(?i)\b(remote|us|usa|united\s+states|anywhere|global|emea|apac|americas|\(remote\)|\(us\)|\(usa\)|m/?f/?d|f/?m/?d|h/?f|m/?w/?d)\b"
+NOISE = rf"(?i)\b({TITLE_NOISE})\b"
 SPELT = f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower({OWN}), '\\bsr\\.?\\b', 'senior', 'g'), '\\bjr\\.?\\b', 'junior', 'g'), '\\beng\\.?\\b', 'engineer', 'g'), '\\bdev\\.?\\b', 'developer', 'g')"
 CROSS = f"regexp_replace(regexp_replace({SPELT}, '{NOISE}', '', 'g'), '[^a-z0-9]+', '', 'g')"
 
@@ -123,15 +123,3 @@ def hamming_pairs(spark, sf_dir):
 def near_dup_canonical(spark, sf_dir):
     at = F.date_add(F.lit("2000-01-01").cast("date"), F.pmod("id", F.lit(60)).cast("int"))
     return dedupe.canonical(dedupe.near_links(prints(spark, sf_dir).withColumn("at", at)))
-
-
-@query()
-def ingest_outcomes(spark, sf_dir):
-    """The whole ingest plan over postings: how many records have each outcome. Its rules depend on order; tests compare it with a sequential model."""
-    from jobweave.plans.ingest import ingested
-    from jobweave.plans.queries_rules import CONFIG
-
-    records = postings(spark, sf_dir).withColumnRenamed("id", "ord").drop("ingested_at")
-    stored = spark.createDataFrame([], "id long, dedupe_hash string, title_key string, cross_source_hash string, jd_fingerprint string, ingested_at timestamp, duplicate_of long")
-    done = ingested(records, stored, F.lit("2000-05-01").cast("date"), CONFIG, spark.createDataFrame([("nova",)], "key string"), spark.createDataFrame([("blueskylabs",)], "key string"))
-    return done.rows.groupBy("outcome").agg(F.count("*").alias("n"))

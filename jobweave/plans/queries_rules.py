@@ -17,7 +17,7 @@ def words(terms: list[str]) -> str | None:
     return rf"\b({rules.alternation(terms)})\b" if terms else None
 
 
-def cascade_sql(c: rules.FilterConfig) -> str:
+def cascade_sql(c: rules.FilterConfig, rows_sql: str = POSTINGS) -> str:
     """The rules as a CASE over the postings, in the other engine's dialect."""
     loc, text = "coalesce(location, '')", "title || chr(10) || description || chr(10) || array_to_string(tags, ' ') || chr(10) || coalesce(location, '')"
     home = f"({rx(loc, rules.HOME_COUNTRY)} OR {rx(loc, rules.HOME_CODE, 'c')} OR {rx(loc, rules.HOME_STATE, 'c')})"
@@ -42,7 +42,7 @@ def cascade_sql(c: rules.FilterConfig) -> str:
         (f"{rx('description', words(c.excluded))} AND NOT {rx('description', words(c.long_terms))}", "manual", rules.EXCLUDED_MENTION),
     ]
     case = lambda k, end: "CASE " + " ".join(f"WHEN {r[0]} THEN {sql_text(r[k])}" for r in rows) + f" ELSE {end} END"
-    return f"SELECT *, {case(1, chr(39) + 'passed' + chr(39))} AS filter_status, {case(2, 'NULL')} AS filter_reason FROM ({POSTINGS})"
+    return f"SELECT *, {case(1, chr(39) + 'passed' + chr(39))} AS filter_status, {case(2, 'NULL')} AS filter_reason FROM ({rows_sql})"
 
 
 CASCADE = cascade_sql(CONFIG)

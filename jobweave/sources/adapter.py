@@ -11,14 +11,15 @@ import json
 import time
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import count
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-#: How long a limited source is given before its one retry, and how many pages are read at most.
-BACKOFF_SECONDS, MOST_PAGES = 10, 100
+#: How long a limited source is given before its one retry.
+BACKOFF_SECONDS = 10
 
 
 @dataclass(frozen=True)
@@ -61,6 +62,7 @@ class BoardReader(DataSourceReader):
         self.fetcher, self.slugs = options["fetcher"], json.loads(options["slugs"])
         self.limited = options.get("limited", "false").lower() == "true"
         self.wait = float(options.get("wait", BACKOFF_SECONDS))
+        self.pages = int(options["pages"]) if "pages" in options else None  # the source's own bound; without one the fetcher says when there is no more
 
     def partitions(self) -> list[Slug]:
         return [Slug(self.slugs)] if self.limited else [Slug([s]) for s in self.slugs]
@@ -68,7 +70,7 @@ class BoardReader(DataSourceReader):
     def read(self, partition: Slug) -> Iterator[tuple]:
         fetch = with_retry(named(self.fetcher), self.wait)
         for slug in partition.slugs:
-            for page in range(MOST_PAGES):
+            for page in count() if self.pages is None else range(self.pages):
                 answer = fetch(slug, page)
                 if answer.status == 429 and self.limited:
                     return
@@ -93,9 +95,11 @@ class BoardSource(DataSource):
         return BoardReader(self.options)
 
 
-def answers(spark: SparkSession, fetcher: str, slugs: list[str], limited: bool = False, wait: float = BACKOFF_SECONDS) -> DataFrame:
+def answers(spark: SparkSession, fetcher: str, slugs: list[str], limited: bool = False, wait: float = BACKOFF_SECONDS, pages: int | None = None) -> DataFrame:
+    """slug, payload, page; pages: how many of a slug are read at most, as the source has it (none: as many as there are)."""
     spark.dataSource.register(BoardSource)
     reader = spark.read.format("jobboard").option("fetcher", fetcher).option("slugs", json.dumps(slugs))
+    reader = reader if pages is None else reader.option("pages", str(pages))
     return reader.option("limited", str(limited).lower()).option("wait", str(wait)).load()
 
 

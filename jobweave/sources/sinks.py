@@ -20,7 +20,7 @@ def snapshot(df: DataFrame, root: str) -> str:
 
 
 def current(spark: SparkSession, root: str) -> DataFrame:
-    newest = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at")).first()
+    newest = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at"), F.desc("path")).first()
     return spark.read.parquet(newest["path"])
 
 
@@ -45,7 +45,8 @@ def print_html(rows: DataFrame) -> DataFrame:
     body = F.regexp_replace(escaped, r"\[([^\]]*)\]\([^)]*\)", "$1")
     for level in (3, 2, 1):
         body = F.regexp_replace(body, rf"(?m)^{'#' * level} +(.*)$", f"<h{level}>$1</h{level}>")
-    body = F.regexp_replace(F.regexp_replace(body, r"(?m)^[-*] +(.*)$", "<li>$1</li>"), r"((?:<li>.*</li>\n?)+)", "<ul>$1</ul>")
+    # Each item is a list, and lists that follow each other are one.
+    body = F.regexp_replace(F.regexp_replace(body, r"(?m)^[-*] +(.*)$", "<ul><li>$1</li></ul>"), r"</li></ul>\n<ul><li>", "</li>\n<li>")
     body = F.regexp_replace(F.regexp_replace(body, r"\*\*(.+?)\*\*", "<strong>$1</strong>"), r"\*(.+?)\*", "<em>$1</em>")
     body = F.regexp_replace(body, r"(?m)^(?!<h|<ul|<li|</ul|\s*$)(.+)$", "<p>$1</p>")
     return rows.select("job_id", "kind", F.concat(F.lit("<!doctype html><html><head><meta charset='utf-8'><title>"), "kind", F.lit("</title></head><body>"), body, F.lit("</body></html>")).alias("html"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -17,14 +18,17 @@ def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 100, k
 
 
 def ingest(stream: DataFrame, plan: Callable[[DataFrame, int], DataFrame], table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch through a batch plan, appended where its key is new. A batch that is run again after a failure adds nothing twice."""
+    """Each micro-batch through a batch plan, appended where its key is new. A batch that is run again after a failure adds nothing twice.
+    Of the stored rows only the keys are read."""
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         new = plan(batch, batch_id).withColumn("batch_id", F.lit(batch_id).cast("long"))
         try:
             stored = spark.read.parquet(table)
-        except Exception:  # noqa: BLE001  the first batch finds no table
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no table; any other error is one
+                raise
             stored = None
         if stored is not None:
             new = new_members(new, stored, lambda c: c, key)

@@ -178,8 +178,8 @@ def test_ingest_outcomes(spark):
     done = ingested(spark.createDataFrame(records, schema), stored, F.lit("2024-01-05").cast("timestamp"), None, names("evil"), names("shut"))
     got = {r.ord: r.outcome for r in done.rows.collect()}
     assert got == {0: "inserted", 1: "skipped_duplicate", 2: "skipped_duplicate", 3: "skipped_cross_source", 4: "stale", 5: "dropped_filter", 6: "dropped_blacklist", 7: "dropped_filter", 8: "skipped_duplicate", 9: "inserted", 10: "skipped_duplicate", 11: "inserted"}
-    new = {r.ord: r.duplicate_of for r in done.new.collect()}
-    assert new.keys() == {0, 9, 11} and new[9] == "t" + "0" * 20 and new[0] is None and new[11] is None
+    new = {r.ord: (r.duplicate_of, r.duplicate_of_ord) for r in done.new.collect()}
+    assert new == {0: (None, None), 9: (None, 0), 11: (None, None)}
     total = stats(done).first()
     assert (total.fetched, total.inserted, total.flagged_jd_similar, total.passed_filter) == (12, 3, 1, 3)
     again = spark.createDataFrame([(k, None, body + str(k % 2), dt.datetime(2024, 1, 1 + k), None) for k in range(4)], "id long, jd_fingerprint string, description string, ingested_at timestamp, duplicate_of long")
@@ -345,3 +345,84 @@ def test_adapter_and_verification(spark):
 
     rows = spark.createDataFrame([("lever", "abc"), ("lever", "bad")], "source string, slug string")
     assert sorted((r.slug, r.ok, r.job_count, r.error) for r in adapter.verified(rows, check).collect()) == [("abc", True, 3, None), ("bad", False, None, "no")]
+
+
+def test_scoring_falls_back_and_stops(spark):
+    from jobweave.plans import scoring
+
+    rows = spark.createDataFrame([(k, "bad" if k in (3, 10, 11, 12) else "react") for k in range(20)], "id long, description string")
+    plain = scoring.keyword_scorer(["react"])
+
+    def touchy(batch):
+        if batch["description"].eq("bad").any():
+            raise RuntimeError("refused")
+        return plain(batch)
+
+    got = {r.id: (r.score, r.error) for r in scoring.scored(rows, touchy, lanes=1).collect()}
+    # Jobs go one by one where their batch failed; three failures in a row end the lane.
+    assert {k: v[0] for k, v in got.items()} == {k: None if k == 3 or k >= 10 else 100 for k in range(20)}
+    assert got[3][1] == "refused" and got[12][1] == "refused" and "in a row" in got[13][1] and "in a row" in got[19][1]
+
+    def forgetful(batch):
+        return plain(batch)[lambda a: a["id"] % 2 == (0 if len(batch) > 1 else a["id"].iloc[0] % 2)]
+
+    assert all(r.score == 100 for r in scoring.scored(rows.where("description = 'react'"), forgetful, lanes=1).collect())
+
+    def limited(batch):
+        if batch["id"].ge(8).any():
+            raise RuntimeError("usage limit reached, resets at 5pm")
+        return plain(batch)
+
+    got = {r.id: (r.score, r.error) for r in scoring.scored(rows, limited, lanes=1).collect()}
+    assert all(got[k] == (0 if k == 3 else 100, None) for k in range(8))
+    assert all(got[k][0] is None and "usage limit" in got[k][1] for k in range(8, 20))
+    assert scoring.scored(rows.limit(0), plain).count() == 0
+
+
+@pytest.mark.parametrize("days", [None, 5])
+def test_near_links_against_all_pairs(spark, days):
+    rng = random.Random(9)
+    bases = [rng.getrandbits(64) for _ in range(12)]
+    rows = []
+    for k in range(300):
+        value = rng.choice(bases)
+        for _ in range(rng.randrange(0, 5)):
+            value ^= 1 << rng.randrange(64)
+        rows.append((k, f"{value:016x}" if k % 37 else None, dt.datetime(2024, 1, 1 + rng.randrange(28), rng.randrange(3))))
+    rows += [(1000 + k, f"{bases[0]:016x}", dt.datetime(2024, 1, 1 + k % 28)) for k in range(200)]
+    apart = lambda a, b: bin(int(a, 16) ^ int(b, 16)).count("1")
+    want = {}
+    for i, p, at in rows:
+        before = [(b, j) for j, q, b in rows if p and q and (b, j) < (at, i) and apart(p, q) <= 3 and (days is None or b >= at - dt.timedelta(days=days))]
+        if before:
+            want[i] = min(before)[1]
+    got = {r.id: r.parent for r in dedupe.near_links(spark.createDataFrame(rows, "id long, print string, at timestamp"), 3, days).collect()}
+    assert got == want
+
+
+@pytest.mark.parametrize("blocks", [4, 5, 6, 7, 8])
+def test_near_pairs_with_every_number_of_blocks(spark, blocks, monkeypatch):
+    rng = random.Random(blocks)
+    monkeypatch.setattr(dedupe, "blocks_for", lambda n, distance: blocks)
+    values = {rng.getrandbits(64) for _ in range(40)}
+    for v in list(values):
+        for _ in range(4):
+            w = v
+            for _ in range(rng.randrange(1, 5)):
+                w ^= 1 << rng.randrange(64)
+            values.add(w)
+    values |= {0, 2**64 - 1, 2**63}
+    prints = sorted(f"{v:016x}" for v in values)
+    want = {(a, b) for a in prints for b in prints if a < b and bin(int(a, 16) ^ int(b, 16)).count("1") <= 3}
+    got = {(r.print_a, r.print_b) for r in dedupe.near_pairs(spark.createDataFrame([(p,) for p in prints], "print string")).collect()}
+    assert got == want
+
+
+def test_keys_grow_with_the_data():
+    assert [dedupe.blocks_for(n) for n in (0, 1000, 10**6, 10**9, 10**12)] == [4, 4, 5, 6, 8]
+
+
+def test_lists_of_a_megabyte_and_pages(spark):
+    text = "".join(f"- item {k}\n" for k in range(100_000)) + "end"
+    page = sinks.print_html(spark.createDataFrame([(1, "resume", text)], "job_id long, kind string, markdown string")).first().html
+    assert page.count("<ul>") == 1 and page.count("<li>") == 100_000
