@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from jobweave.llm import bpe, decontaminate, minhash, pii, quality
 from jobweave.llm.queries import TOKENIZER, table
-from jobweave.operators.lineage import shared_folder
+from jobweave.operators.lineage import removed, shared_folder
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,13 +51,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each one's rows are written as Parquet to the shared folder and read again."""
+    """All stages over documents; each one's rows are written as Parquet to the shared folder and read again. A stage's folder goes once the next is written."""
     folder = shared_folder(spark)
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), None
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             path = f"{folder}/pipeline-{uuid.uuid4().hex}-{name}"
             docs.write.parquet(path)
             docs = spark.read.parquet(path)
+            if before:
+                removed(spark, before)
+            before = path
     return docs

@@ -24,3 +24,9 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """The rows of df, checkpointed in the shared folder."""
     shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    """Removes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
