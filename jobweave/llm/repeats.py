@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.llm.common import U64, WordHasher, chunks, cut_lineage, mix64, seeded, text_or_empty, utf8_buffers
+from jobweave.operators.lineage import written
 
 NODE = ["h1", "h2"]
 SPANS = "array<struct<first:int,last:int,whole:boolean>>"
@@ -408,9 +409,9 @@ def by_size(nodes: DataFrame, params: RepeatParams) -> tuple[DataFrame, DataFram
 
 def split_groups(nodes: DataFrame, grains: tuple[int, ...], params: RepeatParams) -> DataFrame:
     """key, h1, h2, spans of the repeated strings of fragments of groups over the bound; nodes: key, h1, h2, anchor, starts, n, text, a row for each fragment."""
-    split = cut_lineage(parts(nodes, grains[0], params))
+    split = written(parts(nodes, grains[0], params))
     below = split.groupBy("key", *NODE, "starts", "size").agg(F.min("anchor").alias("anchor"), F.least(F.lit(2), F.sum("n")).cast("int").alias("n"), F.min("text").alias("text"))
-    below = cut_lineage(below)
+    below = written(below)
     names = ["key", *NODE, "spans"]
     found = below.where("n > 1").withColumn("spans", whole_spans(F.col("starts"), F.col("size"), params)).select(names)
     # A part that nothing shares its content with repeats nothing.
@@ -462,18 +463,18 @@ def repeats(docs: DataFrame, params: RepeatParams | None = None) -> DataFrame:
     """
     params = params or RepeatParams()
     long_ = keyed(docs).where(F.octet_length("text") >= params.passage)
-    fragment = cut_lineage(shared(long_, params))
+    fragment = written(shared(long_, params))
     # The bytes of the fragments, from the one text that each names; equal texts are one here. Where all fragments of an anchor occur twice there is nothing to compare.
     open_ = fragment.groupBy("anchor").agg(F.min("n").alias("least")).where("least = 1").select("anchor")
-    texts = long_.dropDuplicates(["d"])
-    small, large = by_size(fragment.join(open_, "anchor").withColumn("key", F.col("anchor")), params)
-    compared = merged_groups(cut_out(texts, small), params)
+    nodes = written(cut_out(long_.dropDuplicates(["d"]), fragment.join(open_, "anchor")))
+    small, large = by_size(nodes, params)
+    compared = merged_groups(small, params)
     if large is not None:
-        compared = compared.unionByName(split_groups(cut_out(texts, large), (params.grain, 1), params))
+        compared = compared.unionByName(split_groups(large, (params.grain, 1), params))
     compared = compared.select(*NODE, "spans")
     whole = fragment.where("n > 1").withColumn("spans", whole_spans(F.col("starts"), F.col("size"), params)).select(*NODE, "spans")
     # One row for each fragment: its spans are bounded by its starts.
-    found = cut_lineage(compared.unionByName(whole).groupBy(*NODE).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
+    found = written(compared.unionByName(whole).groupBy(*NODE).agg(F.array_distinct(F.flatten(F.collect_list("spans"))).alias("spans")))
     places = occurrences(long_, params, False).join(found, NODE).select("d", "at", "spans").dropDuplicates(["d", "at"])
     shift = F.transform("spans", lambda s: F.struct((s["first"] + F.col("at")).alias("first"), (s["last"] + F.col("at")).alias("last"), s["whole"].alias("whole")))
     return places.select("d", shift.alias("spans"))
