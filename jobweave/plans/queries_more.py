@@ -352,7 +352,7 @@ def drafted(spark, sf_dir):
     return drafting.generated(asked, apps, "{{title}}\n{{company_name}}: {{description}}", writer, "n0nce"), rows
 
 
-@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids, sum(value)::BIGINT AS total FROM events")
+@query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids, sum(floor(value))::BIGINT AS total FROM events")
 def stream_ingest(spark, sf_dir):
     """Events land twice; each is stored once."""
     import uuid
@@ -363,7 +363,7 @@ def stream_ingest(spark, sf_dir):
     root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     for k in range(2):
         streams.ingest(events(spark, sf_dir), lambda batch, _: batch.select("event_id", "value").dropDuplicates(["event_id"]), f"{root}/table", "event_id", f"{root}/state-{k}").awaitTermination()
-    return spark.read.parquet(f"{root}/table").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.sum("value").cast("long").alias("total"))
+    return spark.read.parquet(f"{root}/table").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.sum(F.floor("value")).cast("long").alias("total"))
 
 
 @query("SELECT p_partkey AS job_id, '<!doctype html><html><head><meta charset=''utf-8''><title>resume</title></head><body><h1>' || p_name || '</h1>' || chr(10) || '<p>a <strong>b</strong> &lt;c&gt; ' || p_brand || '</p></body></html>' AS html FROM part")

@@ -61,7 +61,7 @@ BODY = "CASE WHEN id % 5 = 3 THEN 'Acme Thread | Lead Engineer ' || id || ' | RE
     CASE s WHEN 'hackernews' THEN 'Lead Engineer ' || id ELSE title END AS title,
     CASE s WHEN 'workday' THEN 'Acme' WHEN 'oracle' THEN 'Acme Oracle' WHEN 'weworkremotely' THEN 'Acme Feed' WHEN 'hackernews' THEN 'Acme Thread' ELSE 'Acme Page' END AS company_name, {BODY} AS description,
     CASE s WHEN 'weworkremotely' THEN coalesce(location, 'Remote') WHEN 'hackernews' THEN 'Berlin' WHEN 'ycombinator' THEN concat_ws(', ', location, 'US') ELSE location END AS location,
-    CASE s WHEN 'workday' THEN remote OR coalesce(location, '') ILIKE '%remote%' WHEN 'oracle' THEN remote OR coalesce(location, '') ILIKE '%remote%' OR description ILIKE '%work from home%' WHEN 'ycombinator' THEN remote ELSE true END AS remote,
+    CASE s WHEN 'workday' THEN remote OR coalesce(location, '') ILIKE '%remote%' WHEN 'oracle' THEN remote OR coalesce(location, '') ILIKE '%remote%' OR description ILIKE '%work from home%' OR title ILIKE '%(remote)%' WHEN 'ycombinator' THEN remote ELSE true END AS remote,
     CASE s WHEN 'workday' THEN 'Full time' WHEN 'oracle' THEN 'Regular' WHEN 'ycombinator' THEN 'FULL_TIME' END AS employment_type, CASE s WHEN 'hackernews' THEN '2000-01-01' ELSE strftime(posted_at, '%Y-%m-%d') END AS posted,
     CASE s WHEN 'workday' THEN CASE WHEN remote THEN 'Full time,remote' ELSE 'Full time' END WHEN 'oracle' THEN 'Eng,' || CASE WHEN remote THEN 'ORA_REMOTE' ELSE 'ORA_ONSITE' END WHEN 'weworkremotely' THEN 'Programming' WHEN 'hackernews' THEN 'hn-whoishiring' ELSE 'yc,acme' END AS tags
     FROM (SELECT *, (['workday', 'oracle', 'weworkremotely', 'hackernews', 'ycombinator'])[1 + id % 5] AS s FROM ({POSTINGS}))"""
