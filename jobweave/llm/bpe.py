@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 NEVER = 1 << 60
 BATCH_CHARS = 2_000_000
-CACHE_WORDS = 400_000
+CACHE_WORDS, CACHE_BYTES = 400_000, 1 << 26  # of words and ids that a worker remembers between batches
 ENDING = 4
 SHORT = tuple(range(ENDING, 0, -1))
 
@@ -67,6 +67,7 @@ class ByteBPE:
         self.sizes = list(map(len, self.bytes_of))
         self.joins: dict[int, bool] = {}
         self.cache: dict[str, bytes] = {}
+        self.held = 0
 
     def _spines(self, parts: dict[int, tuple[int, int, int]]) -> None:
         """For each token, the pieces at its right and at its left border with the rank that uses each up."""
@@ -142,14 +143,16 @@ class ByteBPE:
                 tokens.append(last[depth])
                 depth -= sizes[last[depth]]
             self.cache[text] = np.array(tokens[::-1], "<u4").tobytes()
+            self.held += len(text) + 4 * len(tokens)
         if len(joins) > 4 * CACHE_WORDS:
             joins.clear()
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         """Each text's ids as little-endian 32-bit integers."""
         findall, cache = self.pattern.findall, self.cache
-        if len(cache) > CACHE_WORDS:
+        if len(cache) > CACHE_WORDS or self.held > CACHE_BYTES:
             cache.clear()
+            self.held = 0
         pieces: list[list[tuple[bytes, list[str]]]] = []
         new: set[str] = set()
         for text in texts:
