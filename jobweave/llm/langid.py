@@ -24,6 +24,7 @@ UNKNOWN = "und"
 @dataclass(frozen=True)
 class LangParams:
     sample_per_language: int = 1500  # labelled documents of each language that reach the driver
+    most_languages: int = 1000  # values of lang that may be learned; more are an error, as they are no languages
     sample_chars: int = 600  # of each, one stretch at a place that a hash picks
     window: int = 256
     filters: int = 12  # of each width
@@ -141,7 +142,9 @@ def train(docs: DataFrame, learn: Column | None = None, params: LangParams | Non
     rows = docs.where(F.col("lang").isNotNull() & text.rlike(r"\p{L}") & (F.lit(True) if learn is None else learn))
     order = F.xxhash64(F.lit(params.seed), "doc_id")
     # Languages are few. Of a frequent one only rows with low hashes go on, many times the sample, so that the ranking below stays small.
-    counts = {r.lang: r.n for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy(F.col("lang").cast("string").alias("lang")).agg(F.count("*").alias("n")).limit(params.most_languages + 1).collect()}
+    if len(counts) > params.most_languages:
+        raise ValueError(f"more than {params.most_languages} different languages: clean the column or raise most_languages")
     shares = [F.lit(x) for lang, n in counts.items() for x in (lang, min(1.0, 4 * params.sample_per_language / n))]
     if shares:
         place = F.shiftrightunsigned(order, 11) / float(1 << 53)
