@@ -1,5 +1,7 @@
 import numpy as np
+import pytest
 
+from jobweave.llm import queries
 from jobweave.llm.ann import AnnParams, CrossPolytope, hadamard, nearest
 from pyspark.sql import functions as F
 
@@ -80,3 +82,22 @@ def test_as_many_probes_as_the_recall_takes(spark):
     want = brute(vectors, range(0, 3000, 150))
     got = collected(nearest(table, F.col("vec_id") % 150 == 0, params))
     assert recall(got, want) >= params.recall
+
+
+@pytest.mark.parametrize("n, dims", [(150, 8), (1500, 32), (6000, 24)])
+def test_recall_at_several_sizes(spark, n, dims):
+    rng = np.random.default_rng(n)
+    vectors = {k: (rng.normal(size=dims) * rng.uniform(0.5, 2)).tolist() for k in range(n)}
+    table = spark.createDataFrame(list(vectors.items()), "vec_id long, embedding array<double>")
+    want = brute(vectors, range(0, n, 20))
+    got = collected(nearest(table, F.col("vec_id") % 20 == 0, AnnParams(block_rows=64)))
+    assert recall(got, want) >= 0.9
+
+
+def test_query_against_its_contract(spark):
+    out = queries.op7_cross_polytope(spark, "/root/testdata/sf0.001")
+    assert out.dtypes[:4] == [("query_id", "bigint"), ("rank", "int"), ("vec_id", "bigint"), ("score", "double")]
+    vectors = {r.vec_id: r.embedding for r in spark.read.parquet("/root/testdata/sf0.001/embeddings.parquet").collect()}
+    want = brute(vectors, [i for i in vectors if i % 20 == 0])
+    got = collected(out)
+    assert got.keys() == want.keys() and all(len(own) == 20 for own in got.values()) and recall(got, want) >= 0.9

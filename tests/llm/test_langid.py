@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from jobweave.llm.langid import LangParams, fit, predict, train
@@ -31,3 +32,36 @@ def test_tables_are_the_convolution():
         pooled.append(np.stack([sum(own[j][windows[:, t + j]] for j in range(w)) for t in range(13)]).max(axis=0))
     want = np.maximum(np.concatenate(pooled, axis=1) + model.bias, 0) @ model.dense + model.dense_bias
     assert np.allclose(model.logits(windows, model.tables()), want, atol=1e-4)
+
+
+def test_dirty_languages_are_refused(spark):
+    docs = spark.range(60).select(F.col("id").alias("doc_id"), F.lit("some words").alias("text"), F.concat(F.lit("l"), (F.col("id") % 30).cast("string")).alias("lang"))
+    with pytest.raises(ValueError, match="more than 20"):
+        train(docs, None, LangParams(most_languages=20))
+    assert len(train(docs, None, LangParams(most_languages=30, epochs=1)).languages) == 30
+
+
+def test_predictions_against_plain_loops(spark):
+    """Window by window, filter by filter, place by place."""
+    params = LangParams(window=24, filters=2, epochs=1)
+    model = fit([("a", "abc abd abe " * 9), ("b", "xyz xyw é " * 9)], params)
+    texts = ["abc", "x", "xyz é" * 17, "abd xyw " * 30, "é"]
+    for r in predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect():
+        data = texts[r.doc_id].encode()
+        total, weight, at = np.zeros(2), 0, 0
+        while True:
+            window = data[at : at + 24]
+            padded = window + bytes(24 - len(window))
+            pooled = []
+            for w, own in zip((2, 3, 4), model.filters):
+                for f in range(2):
+                    pooled.append(max(sum(own[j][padded[p + j]][f] for j in range(w)) for p in range(24 - 3)))
+            hidden = np.maximum(np.array(pooled) + model.bias, 0)
+            total += (hidden @ model.dense + model.dense_bias) * len(window)
+            weight += len(window)
+            at += 24 - 3
+            if at + 3 >= len(data):
+                break
+        p = np.exp(total / weight - (total / weight).max())
+        p /= p.sum()
+        assert r.lang_pred == model.languages[int(p.argmax())] and abs(r.score - p.max()) < 1e-4
