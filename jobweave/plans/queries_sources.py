@@ -1,14 +1,18 @@
 """Sources whose answers nest, and rules and cleaning over real texts and pages."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from jobweave.functions import text
 from jobweave.operators import rules
+from jobweave.operators.lineage import shared_folder
 from jobweave.plans.binding import DESCRIPTIONS, LOCATIONS, POSTINGS, TAGS, TITLES, one_of, postings, sql_one_of, table
 from jobweave.plans.ingest import ingested, keyed
 from jobweave.plans.queries_dedupe import COMPANY, CROSS, TITLE
 from jobweave.plans.queries_rules import CASCADE, CONFIG, cascade_sql
 from jobweave.plans.registry import query
+from jobweave.sources import readers, sinks
 from jobweave.sources.readers import all_postings, items
 
 DEEP = ["workday", "oracle", "weworkremotely", "hackernews", "ycombinator"]
@@ -132,3 +136,52 @@ def lists_of_texts(spark, sf_dir):
     """Typed lists out of real texts: items by commas and line feeds."""
     rows = table(spark, sf_dir, "documents").where(~F.coalesce("text", F.lit("")).rlike(r"[^\x20-\x7e\n]"))
     return rows.select("doc_id", F.posexplode(text.listed(F.col("text"))).alias("k", "line")).select("doc_id", (F.col("k") + 1).cast("long").alias("place"), "line")
+
+
+@query("SELECT s_name AS slug FROM supplier WHERE s_suppkey % 2 = 0 AND s_suppkey % 3 = 0")
+def enabled_slugs(spark, sf_dir):
+    k = F.col("s_suppkey")
+    boards = table(spark, sf_dir, "supplier").select(F.when(F.pmod(k, F.lit(2)) == 0, "lever").otherwise("ashby").alias("source"), F.col("s_name").alias("slug"), (F.pmod(k, F.lit(3)) == 0).alias("enabled"))
+    return readers.enabled_slugs(boards, "lever")
+
+
+@query("SELECT page_id FROM pages WHERE page_id % 4 <> 3")
+def personal_paths(spark, sf_dir):
+    k = F.col("page_id")
+    path = F.when(F.pmod(k, F.lit(4)) == 0, "data/jobs.db-wal").when(F.pmod(k, F.lit(4)) == 1, F.concat(F.lit("applications/"), k.cast("string"), F.lit("/cover.md"))).when(F.pmod(k, F.lit(4)) == 2, "x/resumes/me.pdf").otherwise("src/db.py")
+    return readers.personal_files(table(spark, sf_dir, "pages").select("page_id", path.alias("path"))).select("page_id")
+
+
+@query("SELECT p_partkey AS id FROM part WHERE p_partkey % 50 = 0 ORDER BY p_partkey DESC LIMIT 2")
+def hiring_threads(spark, sf_dir):
+    k = F.col("p_partkey")
+    threads = table(spark, sf_dir, "part").select(k.alias("id"), F.when(F.pmod(k, F.lit(50)) == 0, "Ask HN: Who is hiring? (May)").otherwise("Ask HN: Who wants to be hired?").alias("title"), k.alias("created"))
+    return readers.hiring_threads(threads).select("id")
+
+
+OWN = rules.FilterConfig.active({"required_tech": ["Go", "vue"], "seniority_terms": ["senior", "lead"], "excluded_tech": ["express"], "home_state": "tx"})
+
+
+@query(f"SELECT id, filter_status, filter_reason FROM ({cascade_sql(OWN)})")
+def filter_own_profile(spark, sf_dir):
+    """The rules as a stored profile sets them."""
+    return rules.classified(postings(spark, sf_dir), OWN).select("id", "filter_status", "filter_reason")
+
+
+@query("SELECT page_id::VARCHAR AS slug, html AS payload FROM pages WHERE page_id % 5 <> 0 AND html IS NOT NULL")
+def landed_answers(spark, sf_dir):
+    """Answers as they land, every fifth line broken: it costs nobody else."""
+    path = f"{shared_folder(spark)}/landed-{uuid.uuid4().hex}"
+    line = F.to_json(obj(slug=F.col("page_id").cast("string"), payload=F.col("html"), page=F.lit(0)))
+    table(spark, sf_dir, "pages").select(F.when(F.pmod("page_id", F.lit(5)) == 0, '{"slug": "x", "payload": ').otherwise(line).alias("value")).write.text(path)
+    return readers.landed(spark, path).select("slug", "payload")
+
+
+@query("SELECT n_nationkey, n_name FROM nation WHERE n_nationkey % 2 = 1")
+def snapshot_read(spark, sf_dir):
+    """Two snapshots are written: readers see the last one."""
+    root = f"{shared_folder(spark)}/snapshots-{uuid.uuid4().hex}"
+    rows = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    for part in (0, 1):
+        sinks.snapshot(rows.where(F.pmod("n_nationkey", F.lit(2)) == part), root)
+    return sinks.current(spark, root)
