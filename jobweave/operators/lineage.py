@@ -35,6 +35,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(scan: DataFrame) -> DataFrame:
+    """A table's scan dealt to as many partitions as there are cores, if it has fewer: for work that costs far more than moving the rows. Large tables have more and stay as they are."""
+    cores = scan.sparkSession.sparkContext.defaultParallelism
+    return scan.repartition(cores) if scan.rdd.getNumPartitions() < cores else scan
+
+
 def removed(spark: SparkSession, path: str) -> None:
     """Removes a folder that nothing reads any more."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.hashes import cross_key, has_simhash, simhash, simhash_md5, source_key
 from jobweave.functions.text import COMPANY_SUFFIXES, TITLE_NOISE, cross_title, normal_company, normal_title
 from jobweave.operators import dedupe
-from jobweave.operators.lineage import cut_lineage
+from jobweave.operators.lineage import cut_lineage, spread
 from jobweave.plans.binding import POSTINGS, postings, table
 from jobweave.plans.registry import query
 
@@ -92,13 +92,13 @@ prints AS (SELECT id, lpad(lower(to_hex(list_sum(list_transform(va, lambda v, i:
 
 @query(f"{DIGESTS} SELECT id, print FROM prints")
 def simhash_in_sql(spark, sf_dir):
-    return simhash_md5(table(spark, sf_dir, "documents").withColumnRenamed("doc_id", "id"), "id", F.col("text"))
+    return simhash_md5(spread(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")), "id", F.col("text"))
 
 
 @query()
 def simhash_exact(spark, sf_dir):
     """The fingerprint over BLAKE2b, which the other engine lacks; tests compare it with a plain loop."""
-    return table(spark, sf_dir, "documents").where(has_simhash(F.col("text"))).select(F.col("doc_id").alias("id"), simhash("text").alias("print"))
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text")).where(has_simhash(F.col("text"))).select(F.col("doc_id").alias("id"), simhash("text").alias("print"))
 
 
 def prints(spark, sf_dir):
