@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm import ann, bpe, chat, decontaminate, langid, licenses, minhash, pii, quality, repeats
+from jobweave.operators.lineage import spread
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LINKS = minhash.MinHashParams(words=3, percent=85)
@@ -32,7 +33,7 @@ def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_bpe_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.encode(table(spark, sf_dir, "documents"), TOKENIZER, ids=False, digests=True)
+    return bpe.encode(spread(table(spark, sf_dir, "documents").select("doc_id", "text")), TOKENIZER, ids=False, digests=True)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,7 +44,7 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     model = langid.train(docs, remainder(4) != 2)
     held = F.when(F.col("doc_id").isNotNull(), remainder(4) == 2).otherwise(F.lit(False)).alias("held_out")
-    return langid.predict(docs.select("doc_id", "text"), model).select("doc_id", held, "lang_pred", "score")
+    return langid.predict(spread(docs.select("doc_id", "text")), model).select("doc_id", held, "lang_pred", "score")
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +68,7 @@ def op9_minhash_bbit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan(table(spark, sf_dir, "documents"))
+    return licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
 def queries():
