@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from jobweave.llm import ann, bpe, chat, decontaminate, langid, licenses, minhash, pii, quality, repeats
+from jobweave.llm import ann, bpe, chat, decontaminate, descent, langid, licenses, merkle, minhash, pii, quality, repeats, whitening
+from jobweave.llm.manifest_sql import MANIFEST_SQL
 from jobweave.operators.lineage import spread
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -71,9 +72,25 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(spread(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = F.col("text")
+    tampered = F.when(remainder(2) == 0, F.replace(text, F.lit("\n"), F.lit(""))).otherwise(text)
+    return merkle.manifest(table(spark, sf_dir, "documents"), tampered)
+
+
+def op12_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return descent.near_duplicates(spread(table(spark, sf_dir, "embeddings").select("vec_id", "embedding")))
+
+
+def op13_jacobi_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = whitening.components(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    # Null beyond 64 bits.
+    return out.withColumn("deviation", F.col("deviation").try_cast("long"))
+
+
 def queries():
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_merkle_manifest": MANIFEST_SQL}
