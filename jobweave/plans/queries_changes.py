@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from jobweave.operators import batching, boards, profile, state
 from jobweave.plans.binding import JOBS, NOW, POSTINGS, jobs, one_of, postings, sql_one_of, table
 from jobweave.plans.registry import query
-from jobweave.plans.scoring import keyword_scorer, results, scored
+from jobweave.plans.scoring import ProviderError, keyword_scorer, results, scored
 
 TODAY = NOW[:10]
 
@@ -214,4 +214,29 @@ def score_fallback(spark, sf_dir):
         return plain(batch)
 
     rows = postings(spark, sf_dir).select("id", "description")
-    return results(rows, scored(rows, touchy, most_errors=1 << 30)).select("id", "score")
+    return results(rows, scored(rows, touchy)).select("id", "score")
+
+
+@query("SELECT 3::BIGINT AS refused, count(*) - 3 AS stopped, 0::BIGINT AS scored FROM part")
+def score_provider_down(spark, sf_dir):
+    """A provider that fails for every job: three failures in all, and the run ends."""
+
+    def down(batch):
+        raise ProviderError("unknown model")
+
+    answers = scored(postings(spark, sf_dir).select("id", "description"), down)
+    return answers.agg(F.count_if(F.col("error") == "unknown model").alias("refused"), F.count_if(F.col("error").startswith("stopped")).alias("stopped"), F.count("score").alias("scored"))
+
+
+@query(f"SELECT id, CASE WHEN id % 3 = 0 THEN NULL ELSE (floor(30 * s) + floor(25 * s) + floor(20 * s) + floor(15 * s) + floor(10 * s))::INTEGER END AS score FROM (SELECT id, description, {SHARE} AS s FROM ({POSTINGS}))")
+def score_flaky_provider(spark, sf_dir):
+    """A provider that fails for a third of the jobs of a healthy run: only these have no score."""
+    plain = keyword_scorer(["react", "node", "vue", "team"])
+
+    def flaky(batch):
+        if batch["id"].mod(3).eq(0).any():
+            raise ProviderError("timeout")
+        return plain(batch)
+
+    rows = postings(spark, sf_dir).select("id", "description")
+    return results(rows, scored(rows, flaky)).select("id", "score")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.text import USAGE_LIMIT
 from jobweave.operators.batching import RUBRIC, matched, packed, reconciled
+from jobweave.operators.lineage import cut_lineage
 from jobweave.operators.state import to_archive
 
 ANSWER = "id long, score int, rubric map<string,struct<points:int,note:string>>, reasoning string, error string, position int"
@@ -29,74 +31,132 @@ def keyword_scorer(words: list[str]) -> Scorer:
     return score
 
 
+class ProviderError(RuntimeError):
+    """What a scorer raises where calling itself failed (an unknown model, an expired login): it would fail for every job alike."""
+
+
+@dataclass
+class Streak:
+    """Runs of jobs that failed by the provider's fault, of a stretch of a run: at its start, at its end, the longest, and whether there is anything else in it."""
+
+    first: int = 0
+    last: int = 0
+    longest: int = 0
+    whole: bool = True  # nothing but such failures
+
+    def add(self, provider_failed: bool) -> None:
+        self.last = self.last + 1 if provider_failed else 0
+        self.whole = self.whole and provider_failed
+        self.longest = max(self.longest, self.last)
+        self.first = self.last if self.whole else self.first
+
+    def then(self, other: Streak) -> Streak:
+        """Both stretches, one behind the other."""
+        return Streak(
+            self.first + other.first if self.whole else self.first,
+            self.last + other.last if other.whole else other.last,
+            max(self.longest, other.longest, self.last + other.first),
+            self.whole and other.whole,
+        )
+
+
 class Caller:
-    """Calls the scorer for the batches of one lane: failed batches and jobs that an answer leaves out go one by one, and the lane stops where calling on makes no sense."""
+    """Calls the scorer for batches in order. A batch that fails, and jobs that an answer leaves out, go one by one.
+
+    While nothing is scored (armed), a streak of provider's failures as long as the limit ends the calling: what is left is handed back. Once anything is scored no
+    failure ends it but a usage limit, which ends it at once.
+    """
 
-    def __init__(self, scorer: Scorer, attempts: int, most_errors: int):
-        self.scorer, self.attempts, self.most_errors = scorer, attempts, most_errors
-        self.errors, self.stopped = 0, None
+    def __init__(self, scorer: Scorer, attempts: int, most_errors: int, armed: bool, streak: Streak | None = None):
+        self.scorer, self.attempts, self.most_errors, self.armed = scorer, attempts, most_errors, armed
+        self.streak, self.scored, self.limit = streak or Streak(), False, None
 
-    def tried(self, group: pd.DataFrame) -> tuple[pd.DataFrame | None, str | None]:
-        """The usable answers to a group, or why there are none."""
+    @property
+    def tripped(self) -> bool:
+        return self.armed and not self.scored and self.streak.last >= self.most_errors
+
+    def tried(self, group: pd.DataFrame) -> tuple[pd.DataFrame | None, str | None, bool]:
+        """The usable answers to a group; or why there are none, and whether the provider is at fault. Only what the scorer made of an answer is tried again."""
         error = None
         for _ in range(self.attempts):
             try:
                 answer = self.scorer(group[["id", "description"]])
-                return answer[answer["id"].isin(group["id"]) & answer["error"].isna() & answer["score"].between(0, 100)], None
+                return answer[answer["id"].isin(group["id"]) & answer["error"].isna() & answer["score"].between(0, 100)], None, False
             except Exception as e:  # noqa: BLE001  a scorer may fail in any way
                 error = str(e)[:400]
                 if re.search(USAGE_LIMIT, error):
-                    self.stopped = error
-                    break
-        return None, error
+                    self.limit = error
+                    return None, error, True
+                if isinstance(e, ProviderError):
+                    return None, error, True
+        return None, error, False
 
     def __call__(self, group: pd.DataFrame) -> pd.DataFrame:
-        if self.stopped:
-            return failed(group, self.stopped)
-        answer, error = self.tried(group)
-        missing = group if answer is None else group[~group["id"].isin(answer["id"])]
-        out = [] if answer is None else [answer]
+        """Answers, failures with their error; jobs that were not called for are left out."""
+        answer, error, provider = self.tried(group)
+        out, missing = [], group
+        if answer is not None and len(answer):
+            out, missing = [answer], group[~group["id"].isin(answer["id"])]
+            self.scored = True
+            self.streak.add(False)
         for _, job in missing.groupby("id", sort=False):
-            if not self.stopped and len(group) > 1:
-                answer, error = self.tried(job)
-            if self.stopped:
-                out.append(failed(job, self.stopped))
+            if self.limit:
+                out.append(failed(job, self.limit))
                 continue
-            if answer is not None and len(answer) and len(group) > 1:
-                self.errors = 0
+            if self.tripped:
+                break
+            if len(group) > 1:
+                answer, error, provider = self.tried(job)
+            if answer is not None and len(answer):
+                self.scored = True
                 out.append(answer)
-                continue
-            out.append(failed(job, error or "no usable answer"))
-            self.errors += 1
-            if self.errors >= self.most_errors:
-                self.stopped = f"stopped after {self.errors} failures in a row"
-        if len(missing) < len(group):
-            self.errors = 0 if not len(missing) else self.errors
-        return pd.concat(out)
+            else:
+                out.append(failed(job, error or "no usable answer"))
+            self.streak.add(provider and error is not None)
+        return pd.concat(out) if out else failed(group.iloc[:0], "")
 
 
 def failed(group: pd.DataFrame, error: str) -> pd.DataFrame:
     return pd.DataFrame({"id": group["id"], "score": None, "rubric": None, "reasoning": None, "error": error, "position": 0})
 
 
-def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int = 2, most_errors: int = 3) -> DataFrame:
-    """Answers (ANSWER) for postings (id, ingested_at, description).
+TOLD = "lane int, batch long, upto long, scored boolean, usage string, first int, last int, longest int, whole boolean"
+
+
+def called(rows: DataFrame, scorer: Scorer, attempts: int, most_errors: int, armed: bool, streak: Streak | None) -> DataFrame:
+    """ANSWER and `told` (TOLD): answers to rows, and behind those of each lane how far it came (batch, and id within it) and what it met.
 
-    Lanes are packed in order, and each batch is one call, tried again once if it fails. Jobs of a batch that failed, or that its answer leaves out, are called one
-    by one. A lane stops after `most_errors` failed jobs in a row, or at once where the error tells of a usage limit; its other jobs carry that error.
+    With a streak, all lanes are one stretch in one task, which goes on from the streak and ends as soon as anything is scored or the breaker trips. Without one, lanes are
+    stretches of their own. rows: lane, batch, id, description.
     """
-    sized = pending.select("id", "description", F.pmod("id", F.lit(lanes)).alias("lane"), F.length("description").alias("size"))
-    batches = packed(sized.select("lane", "id", "size"), "lane", "id", "size")
-    rows = sized.join(batches.select("id", "batch"), "id").repartition("lane").sortWithinPartitions("lane", "batch", "id")
+    alone = streak is not None
+    ordered = (rows.coalesce(1) if alone else rows.repartition("lane")).sortWithinPartitions("lane", "batch", "id")
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held, lane, caller = None, None, None
-
-        def answers(group: pd.DataFrame) -> pd.DataFrame:
-            nonlocal lane, caller
-            if caller is None or group["lane"].iloc[0] != lane:
-                lane, caller = group["lane"].iloc[0], Caller(scorer, attempts, most_errors)
-            return caller(group)
+        caller, lane, told, held = None, None, (-1, -1), None
+
+        def closed() -> pd.DataFrame:
+            end = failed(pd.DataFrame({"id": [None]}), "")
+            s = caller.streak
+            end["told"] = [{"lane": lane, "batch": told[0], "upto": told[1], "scored": caller.scored, "usage": caller.limit, "first": s.first, "last": s.last, "longest": s.longest, "whole": s.whole}]
+            return end
+
+        def answers(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
+            nonlocal caller, lane, told
+            over = caller is not None and (caller.limit is not None or caller.tripped or (alone and caller.scored))
+            if over and (alone or group["lane"].iloc[0] == lane):
+                return
+            if group["lane"].iloc[0] != lane:
+                if caller is not None:
+                    yield closed()
+                lane, told = int(group["lane"].iloc[0]), (-1, -1)
+                caller = Caller(scorer, attempts, most_errors, armed, (caller.streak if caller else streak) if alone else None)
+            out = caller(group)
+            if len(out):
+                # Jobs are left out only where nothing was scored, so those that were called come first.
+                told = int(group["batch"].iloc[0]), int(out["id"].max())
+                out["told"] = None
+                yield out
 
         for part in parts:
             part = part if held is None else pd.concat([held, part])
@@ -104,11 +164,67 @@ def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int =
             open_ = [k == keys[-1] for k in keys] if keys else []
             held = part[open_]
             for _, group in part[[not o for o in open_]].groupby(["lane", "batch"], sort=False):
-                yield answers(group)
+                yield from answers(group)
         if held is not None and len(held):
-            yield answers(held)
+            yield from answers(held)
+        if lane is not None:
+            yield closed()
+
+    return cut_lineage(ordered.mapInPandas(run, f"{ANSWER}, told struct<{', '.join(c.replace(' ', ':', 1) for c in TOLD.split(', '))}>"))
 
-    return rows.select("lane", "batch", "id", "description").mapInPandas(run, ANSWER)
+
+def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int = 2, most_errors: int = 3) -> DataFrame:
+    """Answers (ANSWER) for postings (id, ingested_at, description), ids unique.
+
+    Jobs go in lanes, packed in order, each batch one call; jobs of a batch that failed, or that its answer leaves out, are called one by one. The run goes in epochs of
+    batches, each twice as long as the one before, whose answers are stored before the next begins, so no job is paid for twice. The breaker is shared by all lanes through them: the
+    first epoch is one stretch, which ends with the first score; `most_errors` provider's failures (ProviderError) in a row before anything is scored end the
+    run. If the first epoch scores nothing without tripping, lanes go on side by side, each handing back what it left when it trips by itself, and their streaks are joined in
+    order. Once anything is scored no job is lost to the breaker. A usage limit ends its lane at once and the run after the epoch. Jobs that are not called for carry the reason.
+    """
+    sized = pending.select("id", "description", F.pmod("id", F.lit(lanes)).cast("int").alias("lane"), F.length("description").alias("size"))
+    batches = packed(sized.select("lane", "id", "size"), "lane", "id", "size")
+    rows = cut_lineage(sized.join(batches.select("id", "batch"), "id").select("lane", "batch", "id", "description"))
+    last = rows.agg(F.max("batch").alias("b")).first()["b"]
+    answer = [c.split(" ")[0] for c in ANSWER.split(", ")]
+    out, done, streak, armed, upto = [], {}, Streak(), True, 1
+    stop = None
+
+    def left() -> DataFrame:
+        """Rows behind where their lane came to: a comparison with at most `lanes` places."""
+        if not done:
+            return rows
+        at = F.create_map(*[F.lit(x) for lane, place in done.items() for x in (lane, F.struct(F.lit(place[0]).cast("long").alias("batch"), F.lit(place[1]).cast("long").alias("id")))])
+        place = F.element_at(at, F.col("lane"))
+        return rows.where(place.isNull() | (F.struct("batch", "id") > place))
+
+    while last is not None:
+        alone = armed and not out
+        part = called(left().where(F.col("batch") < upto), scorer, attempts, most_errors, armed, Streak() if alone else None)
+        out.append(part.where("told is null").select(*answer))
+        told = sorted((r["told"] for r in part.where("told is not null").select("told").collect()), key=lambda t: t["lane"])
+        done |= {t["lane"]: (t["batch"], t["upto"]) for t in told if t["batch"] >= 0}
+        stop = next((t["usage"] for t in told if t["usage"]), None)
+        if armed and any(t["scored"] for t in told):
+            armed = False
+        elif armed and told:
+            for t in told[-1:] if alone else told:
+                streak = streak.then(Streak(t["first"], t["last"], t["longest"], t["whole"]))
+            if streak.longest >= most_errors:
+                stop = stop or f"stopped after {most_errors} provider failures in a row with nothing scored"
+        if stop or (upto > last and left().isEmpty()):
+            break
+        upto = min(upto * 2, last + 1) if upto <= last else upto
+    if stop:
+        rest = left().select("id", F.lit(stop).alias("error"))
+        kinds = dict(pair.split(" ", 1) for pair in ANSWER.split(", "))
+        out.append(rest.select(*[F.col(c) if c in ("id", "error") else F.lit(0 if c == "position" else None).cast(kinds[c]).alias(c) for c in answer]))
+    if not out:
+        return pending.sparkSession.createDataFrame([], ANSWER)
+    total = out[0]
+    for more in out[1:]:
+        total = total.unionByName(more)
+    return total
 
 
 def results(pending: DataFrame, answers: DataFrame, status: Column | None = None) -> DataFrame:

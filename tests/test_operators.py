@@ -348,8 +348,6 @@ def test_adapter_and_verification(spark):
 
 
 def test_scoring_falls_back_and_stops(spark):
-    from jobweave.plans import scoring
-
     rows = spark.createDataFrame([(k, "bad" if k in (3, 10, 11, 12) else "react") for k in range(20)], "id long, description string")
     plain = scoring.keyword_scorer(["react"])
 
@@ -358,10 +356,10 @@ def test_scoring_falls_back_and_stops(spark):
             raise RuntimeError("refused")
         return plain(batch)
 
-    got = {r.id: (r.score, r.error) for r in scoring.scored(rows, touchy, lanes=1).collect()}
-    # Jobs go one by one where their batch failed; three failures in a row end the lane.
-    assert {k: v[0] for k, v in got.items()} == {k: None if k == 3 or k >= 10 else 100 for k in range(20)}
-    assert got[3][1] == "refused" and got[12][1] == "refused" and "in a row" in got[13][1] and "in a row" in got[19][1]
+    for lanes in (1, 3):
+        got = {r.id: (r.score, r.error) for r in scoring.scored(rows, touchy, lanes=lanes).collect()}
+        # Jobs go one by one where their batch failed; what is wrong with some jobs costs no other.
+        assert got == {k: (None, "refused") if k in (3, 10, 11, 12) else (100, None) for k in range(20)}
 
     def forgetful(batch):
         return plain(batch)[lambda a: a["id"] % 2 == (0 if len(batch) > 1 else a["id"].iloc[0] % 2)]
@@ -379,6 +377,64 @@ def test_scoring_falls_back_and_stops(spark):
     assert scoring.scored(rows.limit(0), plain).count() == 0
 
 
+def provider(calls, fails):
+    """A scorer that notes its calls and fails by the provider's fault where `fails` says so of its ids."""
+    plain = scoring.keyword_scorer(["react"])
+
+    def call(batch):
+        with open(calls, "a") as f:
+            f.write(f"{len(batch)}\n")
+        error = fails(batch["id"].tolist())
+        if error:
+            raise error
+        return plain(batch)
+
+    return call
+
+
+@pytest.mark.parametrize("lanes", [1, 64])
+def test_a_failing_provider_ends_the_run_at_once(spark, tmp_path, lanes):
+    rows = spark.createDataFrame([(k, "react") for k in range(300)], "id long, description string")
+    out = scoring.scored(rows, provider(f"{tmp_path}/calls", lambda ids: scoring.ProviderError("unknown model")), lanes=lanes).collect()
+    assert len(out) == 300 == len({r.id for r in out}) and all(r.score is None for r in out)
+    refused = [r for r in out if r.error == "unknown model"]
+    assert len(refused) == 3 and all("in a row" in r.error for r in out if r not in refused)
+    calls = open(f"{tmp_path}/calls").read().split()
+    # A batch before its jobs does not count, as in a run of batches of one.
+    assert calls.count("1") == 3 and len(calls) <= 4
+
+
+@pytest.mark.parametrize("lanes", [1, 5])
+def test_a_healthy_run_loses_no_job(spark, tmp_path, lanes):
+    rows = spark.createDataFrame([(k, "react") for k in range(200)], "id long, description string")
+    # The first two jobs of the run and all from 100 to 139 fail by the provider's fault, others by their own.
+    bad = lambda ids: scoring.ProviderError("timeout") if any(i in (0, lanes) or 100 <= i < 140 for i in ids) else ValueError("odd") if any(i % 17 == 16 for i in ids) else None
+    got = {r.id: (r.score, r.error) for r in scoring.scored(rows, provider(f"{tmp_path}/calls", bad), lanes=lanes).collect()}
+    assert got == {i: (None, "timeout") if i in (0, lanes) or 100 <= i < 140 else (None, "odd") if i % 17 == 16 else (100, None) for i in range(200)}
+
+
+def test_other_failures_break_a_streak(spark, tmp_path):
+    rows = spark.createDataFrame([(k, "react") for k in range(40)], "id long, description string")
+    never = lambda ids: ValueError("odd") if len(ids) > 1 or ids[0] % 3 == 2 else scoring.ProviderError("timeout")
+    out = scoring.scored(rows, provider(f"{tmp_path}/calls", never), lanes=1).collect()
+    assert len(out) == 40 and {r.error for r in out} == {"odd", "timeout"}  # two in a row at most: all are tried
+    late = lambda ids: ValueError("odd") if ids[0] < 20 else scoring.ProviderError("timeout")
+    out = {r.id: r.error for r in scoring.scored(rows, provider(f"{tmp_path}/calls", late), lanes=1).collect()}
+    assert all(out[i] == "odd" for i in range(20)) and [out[i] for i in (20, 21, 22)] == ["timeout"] * 3 and all("in a row" in out[i] for i in range(23, 40))
+
+
+def test_streaks_join(spark):
+    rng = random.Random(3)
+    for _ in range(300):
+        marks = [rng.random() < 0.7 for _ in range(rng.randrange(12))]
+        cut = rng.randrange(len(marks) + 1)
+        whole, a, b = scoring.Streak(), scoring.Streak(), scoring.Streak()
+        for k, m in enumerate(marks):
+            whole.add(m)
+            (a if k < cut else b).add(m)
+        assert a.then(b) == whole
+
+
 @pytest.mark.parametrize("days", [None, 5])
 def test_near_links_against_all_pairs(spark, days):
     rng = random.Random(9)
