@@ -51,8 +51,8 @@ def blocks_for(n: int, distance: int = NEAR) -> int:
     return blocks
 
 
-def banded(prints: DataFrame, blocks: int, distance: int = NEAR) -> DataFrame:
-    """print, high, low, band, value: a row for each choice of `blocks` - `distance` blocks of the bits; two prints that near agree in one choice at least."""
+def banded(prints: DataFrame, blocks: int, distance: int = NEAR, keep: tuple[str, ...] = ()) -> DataFrame:
+    """print, high, low, the columns to keep, band, value: a row for each choice of `blocks` - `distance` blocks of the bits; two prints that near agree in one choice at least."""
     edges = [round(64 * k / blocks) for k in range(blocks + 1)]
 
     def piece(a: int, b: int) -> Column:
@@ -71,7 +71,7 @@ def banded(prints: DataFrame, blocks: int, distance: int = NEAR) -> DataFrame:
         for k in chosen:
             key = F.shiftleft(key, widths[k]).bitwiseOR(pieces[k])
         keys.append(key)
-    return prints.select("print", "high", "low", F.posexplode(F.array(*keys)).alias("band", "value"))
+    return prints.select("print", "high", "low", *keep, F.posexplode(F.array(*keys)).alias("band", "value"))
 
 
 def near_pairs(fingerprints: DataFrame, distance: int = NEAR) -> DataFrame:
@@ -133,9 +133,11 @@ def canonical(links: DataFrame) -> DataFrame:
 
 
 def keepers(rows: DataFrame, group: list[str], archived: str, order: str) -> DataFrame:
-    """rows with keeper (the group's first row that is not archived, else its first) and archive (others that are to be archived now)."""
-    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.col(archived).asc(), F.col(order).asc()))
-    return rows.withColumn("_rank", rank).withColumns({"keeper": F.col("_rank") == 1, "archive": (F.col("_rank") > 1) & ~F.col(archived)}).drop("_rank")
+    """rows with keeper (the group's first row that is not archived, else its first) and archive (others that are to be archived now). order: unique. A minimum for each group, so a group may
+    be large; keepers are found by their order, so its rows need not meet."""
+    first = rows.groupBy(*group).agg(F.min(F.struct(F.col(archived), F.col(order).alias("_o"))).alias("_first")).select(F.col("_first._o").alias("_keeper"))
+    marked = rows.join(first, rows[order] == first["_keeper"], "left").withColumn("keeper", F.col("_keeper").isNotNull()).drop("_keeper")
+    return marked.withColumn("archive", ~F.col("keeper") & ~F.col(archived))
 
 
 def groups(rows: DataFrame, group: list[str], member: str) -> DataFrame:

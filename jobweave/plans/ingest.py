@@ -12,6 +12,7 @@ from jobweave.functions.hashes import NEAR, cross_key, simhash, source_key
 from jobweave.functions.text import normal_company, normal_title
 from jobweave.operators.dedupe import canonical, first_wins, near_links
 from jobweave.operators.lineage import cut_lineage
+from jobweave.operators.print_index import PrintIndex
 from jobweave.operators.rules import FilterConfig, classified
 
 OUTCOMES = ["dropped_blacklist", "skipped_duplicate", "stale", "dropped_filter", "skipped_cross_source", "inserted"]
@@ -38,12 +39,13 @@ def keyed(records: DataFrame, config: FilterConfig | None, now: Column) -> DataF
     )
 
 
-def ingested(records: DataFrame, stored: DataFrame, now: Column, config: FilterConfig | None = None, blacklist: DataFrame | None = None, blocked: DataFrame | None = None, days: int = 14) -> Ingested:
+def ingested(records: DataFrame, stored: DataFrame, now: Column, config: FilterConfig | None = None, blacklist: DataFrame | None = None, blocked: DataFrame | None = None, days: int = 14, index: PrintIndex | None = None) -> Ingested:
     """records against the stored postings (id, dedupe_hash, title_key, cross_source_hash, jd_fingerprint, ingested_at, duplicate_of).
 
     blacklist (key) and blocked (key) hold company keys. A record is accepted in order of arrival unless an earlier accepted or stored one shares its source id,
     its title within company and source, or its cross-source key. Outcomes are told in the order of the rules: blacklist, source id, stale, filter, blocked,
-    title, cross-source. Near-duplicate descriptions are linked to the first one of the last `days` days, not dropped.
+    title, cross-source. Near-duplicate descriptions are linked to the first one of the last `days` days, not dropped. With an index of the stored fingerprints only what lies in
+    the new ones' cells is read of them; `remembered` adds the new ones.
     """
     spark = records.sparkSession
     none = spark.createDataFrame([], "key string")
@@ -77,24 +79,39 @@ def ingested(records: DataFrame, stored: DataFrame, now: Column, config: FilterC
     )
     rows = told.withColumn("outcome", outcome).drop(*[f"had_{k}" for k in known])
     new = cut_lineage(accepted.withColumn("jd_fingerprint", simhash("description")))
-    # Stored fingerprints of the window come first, in order of their ids; links end at the stored row's own canonical one.
-    recent = stored.where(F.col("ingested_at") >= now - F.make_interval(days=F.lit(days)))
-    first_id = F.concat(F.lit("s"), F.lpad(F.coalesce("duplicate_of", "id").cast("string"), 20, "0"))
-    old = recent.select(F.concat(F.lit("s"), F.lpad(F.col("id").cast("string"), 20, "0")).alias("id"), F.col("jd_fingerprint").alias("print"), F.lit(0).cast("long").alias("at"), first_id.alias("root"))
+    since = now - F.make_interval(days=F.lit(days))
+    stored_id = lambda c: F.concat(F.lit("s"), F.lpad(c.cast("string"), 20, "0"))
     fresh = new.select(F.concat(F.lit("t"), F.lpad(F.col("ord").cast("string"), 20, "0")).alias("id"), F.col("jd_fingerprint").alias("print"), F.col("ord").cast("long").alias("at"))
-    ordered = old.select("id", "print", F.lit(-1).cast("long").alias("at")).unionByName(fresh).where("print is not null")
-    links = near_links(ordered, NEAR, None).where(F.col("id").startswith("t"))
+    # Stored fingerprints of the window come first, in order of their ids; links end at the stored row's own canonical one.
+    hits = index.first_near(fresh.select("print"), since) if index is not None else None
+    if index is not None:
+        links, old = near_links(fresh, NEAR, None), None
+        if hits is not None:
+            met = cut_lineage(fresh.join(hits.select("print", stored_id(F.col("root")).alias("parent")), "print").select("id", "parent"))
+            links = links.join(met.select("id"), "id", "left_anti").unionByName(met)
+    else:
+        recent = stored.where(F.col("ingested_at") >= since)
+        old = recent.select(stored_id(F.col("id")).alias("id"), F.col("jd_fingerprint").alias("print"), stored_id(F.coalesce("duplicate_of", "id")).alias("root"))
+        ordered = old.select("id", "print", F.lit(-1).cast("long").alias("at")).unionByName(fresh).where("print is not null")
+        links = near_links(ordered, NEAR, None).where(F.col("id").startswith("t"))
     roots = canonical(links)
-    stored_root = old.select(F.col("id").alias("root"), F.col("root").alias("stored_root"))
     number = lambda c, kind: F.when(c.startswith(kind), F.substring(c, F.lit(2), F.length(c))).cast("long")
-    root = F.coalesce("stored_root", "root")
-    linked = roots.join(stored_root, "root", "left").select(F.col("id").alias("_id"), number(root, "s").alias("duplicate_of"), number(root, "t").alias("duplicate_of_ord"))
+    root = F.col("root")
+    if old is not None:
+        roots = roots.join(old.select(F.col("id").alias("root"), F.col("root").alias("stored_root")), "root", "left")
+        root = F.coalesce("stored_root", "root")
+    linked = roots.select(F.col("id").alias("_id"), number(root, "s").alias("duplicate_of"), number(root, "t").alias("duplicate_of_ord"))
     own = F.concat(F.lit("t"), F.lpad(F.col("ord").cast("string"), 20, "0"))
     new = new.join(linked, own == linked["_id"], "left").drop("_id")
     names = flagged.where(~F.col("is_blacklisted") & ~F.col("is_stale") & (F.col("filter_status") != "dropped")).select("company_key", "company_name").dropDuplicates(["company_key"])
     return Ingested(rows, new, names)
 
 
+def remembered(index: PrintIndex, new: DataFrame, batch: str) -> bool:
+    """Adds what was stored to the index: new rows with id, jd_fingerprint, ingested_at and duplicate_of, the stored id that their links end at (none: their own)."""
+    return index.add(new.select("id", F.col("jd_fingerprint").alias("print"), F.col("ingested_at").alias("at"), F.col("duplicate_of").alias("root")), batch)
+
+
 def stats(result: Ingested) -> DataFrame:
     """One row of counts: fetched, each outcome, flagged_jd_similar, passed_filter and manual_review of what is inserted."""
     counts = result.rows.agg(F.count("*").alias("fetched"), *[F.count_if(F.col("outcome") == o).alias(o) for o in OUTCOMES])

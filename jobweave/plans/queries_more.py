@@ -358,12 +358,13 @@ def stream_ingest(spark, sf_dir):
     import uuid
 
     from jobweave.plans.queries_streams import events
+    from jobweave.sources import sinks
     from jobweave.streaming import streams
 
     root = f"{shared_folder(spark)}/ingest-{uuid.uuid4().hex}"
     for k in range(2):
         streams.ingest(events(spark, sf_dir), lambda batch, _: batch.select("event_id", "value").dropDuplicates(["event_id"]), f"{root}/table", "event_id", f"{root}/state-{k}").awaitTermination()
-    return spark.read.parquet(f"{root}/table").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.sum(F.floor("value")).cast("long").alias("total"))
+    return sinks.current(spark, f"{root}/table").agg(F.count("*").alias("n"), F.count_distinct("event_id").alias("ids"), F.sum(F.floor("value")).cast("long").alias("total"))
 
 
 @query("SELECT p_partkey AS job_id, '<!doctype html><html><head><meta charset=''utf-8''><title>resume</title></head><body><h1>' || p_name || '</h1>' || chr(10) || '<p>a <strong>b</strong> &lt;c&gt; ' || p_brand || '</p></body></html>' AS html FROM part")

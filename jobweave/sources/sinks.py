@@ -1,27 +1,22 @@
-"""Where results go: snapshot tables with an atomic pointer, appended logs, files of drafts."""
+"""Where results go: tables that change as a whole, appended logs, files of drafts."""
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.functions.text import sanitised, without_exfil
+from jobweave.operators.ledger import Ledger
 
 
-def snapshot(df: DataFrame, root: str) -> str:
-    """Writes a new snapshot directory, then names it in the pointer table; readers see the old or the new one, never a part."""
-    path = f"{root}/v-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    at = F.current_timestamp()
-    df.sparkSession.range(1).select(F.lit(path).alias("path"), at.alias("at")).coalesce(1).write.mode("append").parquet(f"{root}/pointer")
-    return path
+def snapshot(df: DataFrame, root: str) -> None:
+    """Makes df the table at root: readers see the old rows or the new ones, never a part."""
+    Ledger(df.sparkSession, root).replace(df)
 
 
-def current(spark: SparkSession, root: str) -> DataFrame:
-    newest = spark.read.parquet(f"{root}/pointer").orderBy(F.desc("at"), F.desc("path")).first()
-    return spark.read.parquet(newest["path"])
+def current(spark: SparkSession, root: str) -> DataFrame | None:
+    """The table at root; none where nothing was published."""
+    return Ledger(spark, root).read()
 
 
 def appended(df: DataFrame, path: str, by: list[str] | None = None) -> None:

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from jobweave.operators.dedupe import new_members
+from jobweave.operators.ledger import Ledger
 
 
 def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 100, kind: str = "json") -> DataFrame:
@@ -18,21 +19,23 @@ def files(spark: SparkSession, path: str, schema: str, per_trigger: int = 100, k
 
 
 def ingest(stream: DataFrame, plan: Callable[[DataFrame, int], DataFrame], table: str, key: str, checkpoint: str) -> StreamingQuery:
-    """Each micro-batch through a batch plan, appended where its key is new. A batch that is run again after a failure adds nothing twice.
-    Of the stored rows only the keys are read."""
+    """Each micro-batch through a batch plan, published in the table (a ledger's) where its key is new.
+
+    A batch is named by its stream (its checkpoint) and number, so one that is run again after a failure is not published twice, and one that was killed half way is not there at all. Of the stored
+    rows only the keys are read.
+    """
+
+    # Two streams into one table count their batches each for itself.
+    source = hashlib.sha256(checkpoint.encode()).hexdigest()[:16]
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
+        ledger = Ledger(batch.sparkSession, table)
+        name = f"{source}-{batch_id}"
+        if ledger.published(name):
+            return
         new = plan(batch, batch_id).withColumn("batch_id", F.lit(batch_id).cast("long"))
-        try:
-            stored = spark.read.parquet(table)
-        except AnalysisException as e:
-            if e.getCondition() != "PATH_NOT_FOUND":  # the first batch finds no table; any other error is one
-                raise
-            stored = None
-        if stored is not None:
-            new = new_members(new, stored, lambda c: c, key)
-        new.write.mode("append").parquet(table)
+        stored = ledger.read()
+        ledger.append(new if stored is None else new_members(new, stored, lambda c: c, key), name)
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

@@ -305,7 +305,7 @@ def test_stream_ingest_is_idempotent(spark, tmp_path):
     run = lambda: streams.ingest(streams.files(spark, f"{tmp_path}/in", "id long", 1), lambda b, _: b.dropDuplicates(["id"]), f"{tmp_path}/out", "id", f"{tmp_path}/state").awaitTermination()
     run()
     run()
-    assert sorted(r.id for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [1, 2, 3]
+    assert sorted(r.id for r in sinks.current(spark, f"{tmp_path}/out").collect()) == [1, 2, 3]
 
 
 def test_scoring_survives_a_failing_scorer(spark):
