@@ -40,6 +40,11 @@ def listed(rows: DataFrame, filter_status: str | None = "passed", status: str |
     return out.where(F.col("score").isNull()) if unscored else out
 
 
+def order_of(listing: str) -> list[Column]:
+    """The orders of plain listings: companies by name, blacklisted names by key, watched boards newest first; ties by id."""
+    return {"companies": [F.asc("name")], "blacklist": [F.asc("key")], "watched": [F.desc("added_at")]}[listing] + [F.asc("id")]
+
+
 def page(rows: DataFrame, order: list[Column], limit: int, offset: int = 0) -> DataFrame:
     """A page: a bounded top-k in each partition, then of those."""
     return rows.orderBy(*order).offset(offset).limit(limit)

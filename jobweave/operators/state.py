@@ -206,3 +206,9 @@ def setting(settings: DataFrame, key: str, value: str) -> DataFrame:
     """The key-value table with one value set."""
     new = settings.sparkSession.createDataFrame([(key, value)], "key string, value string")
     return settings.where(F.col("key") != key).unionByName(new)
+
+
+def known_ids(asked: DataFrame, key: str, ids: str, known: DataFrame) -> DataFrame:
+    """key, ids: the ids of each list that are known (id), each once, at its first place; lists of unknown ids alone go. A list is small: what a caller asks for at once."""
+    each = asked.select(key, F.posexplode(F.array_distinct(ids)).alias("place", "id")).join(known.select("id").distinct(), "id", "left_semi")
+    return each.groupBy(key).agg(F.transform(F.sort_array(F.collect_list(F.struct("place", "id"))), lambda x: x["id"]).alias(ids))

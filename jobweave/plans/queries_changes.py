@@ -118,20 +118,24 @@ def rubric_reconcile(spark, sf_dir):
 
 
 PACK = """
-WITH RECURSIVE r AS (SELECT source, doc_id, n_chars::BIGINT AS v, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM documents WHERE source IS NOT NULL),
+WITH RECURSIVE r AS (SELECT source, doc_id, n_chars::BIGINT AS v, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k FROM (SELECT coalesce(source, 'none') AS source, doc_id, n_chars FROM documents)),
 s(source, k, b, n, t) AS (SELECT source, 1::BIGINT, 0::BIGINT, 1::BIGINT, v FROM r WHERE k = 1
   UNION ALL SELECT r.source, r.k, CASE WHEN s.n >= 8 OR s.t + v > 24000 THEN b + 1 ELSE b END, CASE WHEN s.n >= 8 OR s.t + v > 24000 THEN 1 ELSE s.n + 1 END, CASE WHEN s.n >= 8 OR s.t + v > 24000 THEN v ELSE s.t + v END
   FROM s JOIN r ON r.source = s.source AND r.k = s.k + 1)"""
 
 
+def named_sources(spark, sf_dir):
+    return table(spark, sf_dir, "documents").withColumn("source", F.coalesce("source", F.lit("none")))
+
+
 @query(f"{PACK} SELECT source, doc_id, b AS batch FROM s JOIN r USING (source, k)")
 def chunk_pack(spark, sf_dir):
-    return batching.packed(table(spark, sf_dir, "documents").where("source is not null"), "source", "doc_id", "n_chars")
+    return batching.packed(named_sources(spark, sf_dir), "source", "doc_id", "n_chars")
 
 
 @query(f"{PACK} SELECT source, max(b) + 1 AS batches FROM s GROUP BY source")
 def chunk_pack_fold(spark, sf_dir):
-    return batching.packed_counts(table(spark, sf_dir, "documents").where("source is not null"), "source", "doc_id", "n_chars")
+    return batching.packed_counts(named_sources(spark, sf_dir), "source", "doc_id", "n_chars")
 
 
 @query("SELECT user_id, event_id, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1) // 100 AS chunk FROM events")

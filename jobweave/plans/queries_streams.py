@@ -32,9 +32,8 @@ def ran(spark, stream, mode):
 
 @query("SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_tumbling(spark, sf_dir):
-    # Days of the session's zone, as times without a zone are read in it.
-    days = events(spark, sf_dir).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
-    return ran(spark, days.groupBy("day", "event_type").agg(F.count("*").alias("n")), "complete")
+    found = ran(spark, streams.tumbling(events(spark, sf_dir), "ts", "1 day", ["event_type"], "1000 days"), "complete")
+    return found.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "event_type", "n")
 
 
 @query("SELECT user_id, arg_max(event_id, (ts, event_id)) AS event_id, arg_max(event_type, (ts, event_id)) AS event_type FROM events GROUP BY user_id")
@@ -49,8 +48,8 @@ def stream_latest(spark, sf_dir):
 def stream_sessions(spark, sf_dir):
     from pyspark.sql import Window
 
-    found = ran(spark, events(spark, sf_dir).groupBy(F.session_window("ts", "6 hours").alias("w"), "user_id").agg(F.count("*").alias("n")), "complete")
-    return found.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("w.start")).cast("long").alias("session"), "n")
+    found = ran(spark, streams.sessions(events(spark, sf_dir), "ts", "6 hours", ["user_id"], "1000 days"), "complete")
+    return found.select("user_id", F.row_number().over(Window.partitionBy("user_id").orderBy("session_window.start")).cast("long").alias("session"), "n")
 
 
 @query("SELECT DISTINCT user_id, event_type FROM events")

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from jobweave.plans import queries_changes, queries_dedupe, queries_listing, queries_more, queries_reading, queries_rules, queries_sources, queries_streams, queries_text
+from jobweave.plans import queries_changes, queries_dedupe, queries_listing, queries_more, queries_reading, queries_rules, queries_sources, queries_stored, queries_streams, queries_text
 from jobweave.plans.registry import QUERIES, SQL
 
-FAMILIES = [queries_rules, queries_listing, queries_dedupe, queries_text, queries_changes, queries_streams, queries_more, queries_sources, queries_reading]
+FAMILIES = [queries_rules, queries_listing, queries_dedupe, queries_text, queries_changes, queries_streams, queries_more, queries_sources, queries_reading, queries_stored]
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
