@@ -2,30 +2,37 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from itertools import combinations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.functions.hashes import NEAR, halves
+from jobweave.operators.components import components
 from jobweave.operators.lineage import cut_lineage
 
 
-def first_wins(rows: DataFrame, keys: list[str], order: str, known: dict[str, DataFrame] | None = None) -> DataFrame:
-    """The rows that a pass in `order` (unique) accepts: those that share no key with an earlier accepted row, nor with the known ones.
+def first_wins(rows: DataFrame, keys: list[str], order: str, known: dict[str, DataFrame] | None = None, rounds: int = 6, most: int = 200_000) -> DataFrame:
+    """The rows that a pass in `order` (unique, a number) accepts: those that share no key with an earlier accepted row, nor with the known ones.
 
     A row that is not accepted blocks nobody, so no single ranking gives this. Each round accepts the undecided rows that come first
-    under all of their keys (no undecided row can overtake them) and removes those that share a key with them. A null key is shared with none.
-    Only keys and order are shuffled; the number of rounds is the length of the longest chain of rows that unblock each other
-    (4 rounds for the 20,000 parts of the benchmark's query).
+    under all of their keys (no undecided row can overtake them) and removes those that share a key with them. A null key is shared with none. Only keys and order are shuffled.
+
+    A chain of rows that unblock one another takes a round for each two of its rows. What is undecided after `rounds` is therefore cut into components of rows that
+    keys lead to one another, and components of at most `most` rows are decided at once, each by one pass in order; only larger ones go on by rounds.
     """
     slim = rows.select(order, *keys)
     for key, old in (known or {}).items():
         taken = old.select(F.col(key).alias("_old")).distinct()
         slim = slim.join(taken, slim[key] == taken["_old"], "left_anti")
-    undecided, accepted = cut_lineage(slim), None
+    undecided, accepted, done = cut_lineage(slim), None, 0
     while not undecided.isEmpty():
+        if done and done % rounds == 0:
+            won, undecided = by_component(undecided, keys, order, most)
+            accepted = won if accepted is None else accepted.unionByName(won)
+        done += 1
         low = undecided
         for key in keys:
             least = undecided.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias(f"_low_{key}"))
@@ -43,6 +50,39 @@ def first_wins(rows: DataFrame, keys: list[str], order: str, known: dict[str, Da
     return rows.join(accepted.select(order), order) if accepted is not None else rows.limit(0)
 
 
+def by_component(rows: DataFrame, keys: list[str], order: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (order, keys) those accepted by a pass over each component of at most `most` rows, and the rows of larger components, undecided."""
+    edges = None
+    for key in keys:
+        # A star for each key: its first row with each other one.
+        least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("src"))
+        star = rows.join(least, key).select("src", F.col(order).alias("dst"))
+        edges = star if edges is None else edges.unionByName(star)
+    homes = components(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")))
+    placed = rows.join(homes.withColumnRenamed("id", "_id"), rows[order] == F.col("_id"), "left").select(order, *keys, F.coalesce("component", F.col(order).cast("long")).alias("_home"))
+    sizes = placed.groupBy("_home").agg(F.count("*").alias("_n"))
+    placed = cut_lineage(placed.join(sizes, "_home"))
+    kinds = dict(rows.dtypes)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """A component's rows come in order; what is held are the keys that it has taken so far."""
+        home, taken = None, set()
+        for batch in batches:
+            kept = []
+            for row in batch.itertuples(index=False):
+                if row[0] != home:
+                    home, taken = row[0], set()
+                own = {(k, v) for k, v in enumerate(row[2:]) if not pd.isna(v)}
+                kept.append(not own & taken)
+                if kept[-1]:
+                    taken |= own
+            yield batch[kept][[order, *keys]]
+
+    small = placed.where(F.col("_n") <= most).select("_home", order, *keys).repartition("_home").sortWithinPartitions("_home", order)
+    won = cut_lineage(small.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [order, *keys])))
+    return won, cut_lineage(placed.where(F.col("_n") > most).select(order, *keys))
+
+
 def blocks_for(n: int, distance: int = NEAR) -> int:
     """Into how many blocks the bits of n fingerprints are cut: so many that keys of all but `distance` of them are about as many as fingerprints."""
     blocks = distance + 1

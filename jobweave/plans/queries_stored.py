@@ -7,14 +7,17 @@ from pyspark.sql import functions as F
 
 from jobweave.functions.text import normal_title
 from jobweave.operators import batching, companies, dedupe, listing, state
+from jobweave.operators.changelog import ChangeLog
 from jobweave.operators.ledger import Ledger
 from jobweave.operators.lineage import cut_lineage, shared_folder
 from jobweave.operators.print_index import PrintIndex
+from jobweave.operators.search_index import SearchIndex
 from jobweave.plans.binding import table
 from jobweave.plans.ingest import ingested, remembered, stats
 from jobweave.plans.queries_dedupe import DIGESTS, DISTANCE, prints
 from jobweave.plans.queries_rules import CONFIG
 from jobweave.plans.registry import query
+from jobweave.plans.structured import BATCH_SCORES, structured
 from jobweave.sources import sinks
 from jobweave.streaming import lookback
 
@@ -171,3 +174,80 @@ def known_ids_in_order(spark, sf_dir):
     asked = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"]).alias("ids"))
     known = table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("id"))
     return state.known_ids(asked, "l_orderkey", "ids", known).select("l_orderkey", F.array_join("ids", ",").alias("parts"))
+
+
+TERMS = ["brand#1", "brand#23", "re", "e", "zzz", "#", "tion", "part", "brand#55"]
+RANKED = "CASE WHEN n = t OR b = t THEN 0 WHEN n LIKE t || '%' OR b LIKE t || '%' THEN 1 ELSE 2 END::INTEGER"
+
+
+@query(f"SELECT t AS term, p_partkey AS id, {RANKED} AS rank FROM (SELECT p_partkey, lower(p_name) AS n, lower(p_brand) AS b FROM part), (SELECT unnest({TERMS}) AS t) WHERE contains(n, t) OR contains(b, t)")
+def search_index_hits(spark, sf_dir):
+    """Parts by name and brand out of the index alone, in two batches, for terms of one letter and more."""
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), "p_name", "p_brand")
+    index = SearchIndex(spark, folder(spark, "search"))
+    for k in (0, 1):
+        index.add(rows.where(F.pmod("id", F.lit(2)) == k), f"batch-{k}", ["p_name", "p_brand"])
+    out = None
+    for term in TERMS:
+        found = index.search(term).select(F.lit(term).alias("term"), "id", "rank")
+        out = found if out is None else out.unionByName(found)
+    return out
+
+
+@query(
+    """SELECT c_custkey, CASE WHEN c_custkey % 3 = 0 THEN 'changed' ELSE c_mktsegment END AS segment, CASE WHEN c_custkey % 3 <> 0 THEN floor(c_acctbal)::BIGINT END AS balance, CASE WHEN c_custkey % 3 = 0 AND c_custkey % 4 = 0 THEN c_name END AS note
+    FROM customer WHERE c_custkey % 5 <> 0 OR c_custkey % 10 = 0"""
+)
+def changelog_reads(spark, sf_dir):
+    """A table of appended changes: rows, rows over them, rows that go, a compaction, rows with a new column, and some that come back."""
+    rows = table(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("segment"), F.floor("c_acctbal").alias("balance"), "c_name")
+    log = ChangeLog(spark, folder(spark, "changes"), ["c_custkey"])
+    own, k = rows.drop("c_name"), F.col("c_custkey")
+    changed = own.withColumns({"segment": F.lit("changed"), "balance": F.lit(None).cast("long")})
+    log.change(own, "all")
+    log.change(changed.where(k % 3 == 0), "third")
+    log.change(own.where(k % 5 == 0), "fifth", gone=True)
+    log.compact()
+    noted = rows.where((k % 3 == 0) & (k % 4 == 0) & (k % 5 != 0)).select("c_custkey", F.lit("changed").alias("segment"), F.lit(None).cast("long").alias("balance"), F.col("c_name").alias("note"))
+    log.change(noted, "noted")
+    back = F.when((k % 3 == 0) & (k % 4 == 0), F.col("c_name"))
+    returned = rows.where(k % 10 == 0).select("c_custkey", F.when(k % 3 == 0, "changed").otherwise(F.col("segment")).alias("segment"), F.when(k % 3 != 0, F.col("balance")).alias("balance"), back.alias("note"))
+    log.change(returned, "back")
+    log.change(returned, "back")  # the same batch once more
+    return log.read()
+
+
+@query(
+    """SELECT p_partkey AS id, CASE WHEN p_partkey % 6 < 2 THEN p_partkey % 101 END::BIGINT AS score, CASE p_partkey % 6 WHEN 1 THEN 2 WHEN 0 THEN 1 WHEN 4 THEN 1 ELSE 2 END AS attempts,
+    CASE p_partkey % 6 WHEN 2 THEN 'invalid JSON after retry: $.results[0].score: is over 100' WHEN 3 THEN 'invalid JSON after retry: $.results[0].id: is missing; $.results[0].rubric.fit.points: is string, not integer'
+      WHEN 4 THEN 'RuntimeError: no such model' WHEN 5 THEN 'invalid JSON after retry: $.results: is object, not array' END AS error FROM part"""
+)
+def structured_answers(spark, sf_dir):
+    """Answers of a model that are right, right at the second time, wrong in three ways, or do not come."""
+
+    def model(prompt):
+        k = int(prompt.split()[1])
+        good = f'{{"results": [{{"id": {k}, "score": {k % 101}}}]}}'
+        if k % 6 == 4:
+            raise RuntimeError("no such model")
+        return [
+            f"Sure:\n```json\n{good}\n```",
+            good if "holds no JSON object" in prompt else "I cannot say.",
+            f'{{"results": [{{"id": {k}, "score": 400}}]}}',
+            '{"results": [{"score": 4, "rubric": {"fit": {"points": "9"}}}]}',
+            "",
+            f'{{"results": {{"id": {k}}}}}',
+        ][k % 6]
+
+    prompts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("job "), F.col("p_partkey").cast("string")).alias("prompt"))
+    out = structured(prompts, model, BATCH_SCORES)
+    return out.select("id", F.get_json_object("answer", "$.results[0].score").cast("long").alias("score"), "attempts", "error")
+
+
+@query("SELECT o AS id FROM (SELECT p_partkey AS o FROM part) WHERE (o - (SELECT min(p_partkey) FROM part)) % 2 = 0")
+def greedy_chain(spark, sf_dir):
+    """One chain of all rows, each of which shares a key with the next: every second one stays."""
+    low = F.lit(table(spark, sf_dir, "part").agg(F.min("p_partkey")).first()[0] or 0)
+    k = F.col("p_partkey") - low
+    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("a"), F.floor(k / 2).cast("string")).alias("a"), F.concat(F.lit("b"), F.floor((k + 1) / 2).cast("string")).alias("b"))
+    return dedupe.first_wins(rows, ["a", "b"], "id").select("id")
