@@ -135,7 +135,7 @@ def error_runs(rows: DataFrame, by: str, order: str, failed: Column, limit: int
     first = seen.groupBy(by).agg(F.min(F.when(~F.col("_failed"), F.col("_o"))).alias("_first"))
     joined = seen.join(first.withColumnRenamed(by, "_by"), F.col(by).eqNullSafe(F.col("_by")))
     out = joined.groupBy(by).agg(F.count_if(F.col("_first").isNull() | (F.col("_o") < F.col("_first"))).alias("leading"), F.first("_first").isNotNull().alias("won"))
-    return out.select(by, F.when(F.col("won"), F.col("leading") + 1).alias("first_success"), F.col("leading").cast("long").alias("leading_errors"), (F.col("leading") >= limit).alias("aborts"))
+    return out.select(by, F.when(F.col("won"), F.col("leading") + 1).cast("int").alias("first_success"), F.col("leading").cast("long").alias("leading_errors"), (F.col("leading") >= limit).alias("aborts"))
 
 
 def error_islands(rows: DataFrame, by: str, order: str, failed: Column) -> DataFrame:
