@@ -121,6 +121,17 @@ def differences(template: tuple[str, ...], block: tuple[str, ...]) -> tuple[int,
     return common, len(template) - common, int(start[end]) if common else 0, end
 
 
+def common_words(template: tuple[str, ...], places: dict[str, int], n: int) -> int:
+    """The length of a longest common subsequence with a stretch of n words, given as bits of each word's places: a step of long integers for each word of the template."""
+    whole = (1 << n) - 1
+    open_ = whole
+    for word in template:
+        hit = open_ & places.get(word, 0)
+        if hit:
+            open_ = (open_ + hit | open_ - hit) & whole
+    return n - open_.bit_count()
+
+
 class Scanner:
     """Compares blocks with all templates; equal blocks are compared once."""
 
@@ -170,9 +181,10 @@ class Scanner:
             if wide and wide[2][5] > sum(b[5] for s, e, b in lines if s < wide[1] and wide[0] < e):
                 one = wide
             taken.append(one)
+        barren = set()  # stretches of words in which no template was found: cues that stand in one share the search
         for cue in self.cue.finditer(text):
             while not any(s < cue.end() and cue.start() < e for s, e, _ in self._near(taken, cue.start())):
-                if (found := self._around(text, words, taken, cue.start())) is None:
+                if (found := self._around(text, words, taken, cue.start(), barren=barren)) is None:
                     break
                 insort(taken, found, key=lambda x: x[0])
         for s, e, b in taken:
@@ -184,27 +196,34 @@ class Scanner:
         k = bisect_right(taken, at, key=lambda x: x[0])
         return taken[max(0, k - 1) : k + 1]
 
-    def _around(self, text, words, taken, at: int, over=None):
-        """The notice with the most words in common, less the differences, among the words around a place that no notice holds yet; over: what it must overlap."""
-        middle = bisect_right(words, at, key=lambda x: x[1])
-        low, high = max(0, middle - 2 * self.longest), min(len(words), middle + 2 * self.longest + 1)
+    def _around(self, text, words, taken, at: int, over=None, barren=None):
+        """The notice with the most words in common, less the differences, among the words around a place that no notice holds yet; over: what it must overlap. The words are those of two
+        longest templates before and behind the place, from and to the next multiple of one, so that places near one another have the same."""
+        middle = bisect_right(words, at, key=lambda x: x[1]) // self.longest
+        low, high = max(0, (middle - 2) * self.longest), min(len(words), (middle + 3) * self.longest + 1)
         for s, e, _ in self._near(taken, at):
             if e <= at:
                 low = max(low, bisect_left(words, e, key=lambda x: x[0]))
             else:
                 high = min(high, bisect_right(words, s, key=lambda x: x[1]))
+        if barren is not None and (low, high) in barren:
+            return None
         region = tuple(w for _, _, w in words[low:high])
-        counts, found = Counter(region), []
+        counts, found, places = Counter(region), [], {}
+        for k, word in enumerate(region):
+            places[word] = places.get(word, 0) | 1 << k
         for template, wanted in zip(self.templates, self.counts, strict=True):
             least = self.params.coverage * len(template.words)
             if sum(min(n, counts[w]) for w, n in wanted.items()) < least or not template.required <= counts.keys():
                 continue
-            common, _, first, end = differences(template.words, region)
-            if common >= least:
+            if common_words(template.words, places, len(region)) >= least:
+                _, _, first, end = differences(template.words, region)
                 start, stop = words[low + first][0], words[low + end - 1][1]
                 if (over is None or start < over[1] and over[0] < stop) and (b := self.best(text[start:stop])):
                     found.append((b[5], -start, stop, b))
         if not found:
+            if barren is not None:
+                barren.add((low, high))
             return None
         _, start, stop, b = max(found, key=lambda x: x[:3])
         return -start, stop, b

@@ -3,7 +3,7 @@ import textwrap
 
 import pytest
 
-from jobweave.llm.licenses import LicenseParams, Scanner, differences, parsed, scan, words_of
+from jobweave.llm.licenses import LicenseParams, Scanner, common_words, differences, parsed, scan, words_of
 
 ROOT = "/root/testdata/sf0.01"
 PLANTED = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Proprietary": "All rights reserved."}
@@ -28,6 +28,10 @@ def test_differences_against_the_plain_recurrence():
         common, missing, first, end = differences(a, b)
         assert (common, missing) == (lcs(a, b), len(a) - lcs(a, b))
         assert lcs(a, b[first:end]) == common
+        places = {}
+        for k, w in enumerate(b):
+            places[w] = places.get(w, 0) | 1 << k
+        assert common_words(a, places, len(b)) == common
 
 
 @pytest.mark.parametrize("template", parsed(LicenseParams().templates), ids=lambda t: t.license)
@@ -69,3 +73,18 @@ def test_every_template_is_found_wrapped(template, prefix):
             found = list(Scanner(LicenseParams()).blocks(text))
             assert [b[0] for *_, b in found] == [template.license] and not found[0][2][3], (width, before, found)
             assert words_of(text[found[0][0] : found[0][1]]) == template.words
+
+
+def test_shuffled_license_words_do_not_hold_a_task():
+    """100 KB of nothing but license words in random order: some 5 s here, 170 s before searches were shared and bounded."""
+    import random
+    import time
+
+    rng, scanner = random.Random(1), Scanner(LicenseParams())
+    every = [w for t in scanner.templates for w in t.text.split()]
+    text = " ".join(rng.choice(every) for _ in range(16_000))
+    notice = next(t.text for t in scanner.templates if t.license == "MIT" and len(t.words) > 60)
+    began = time.process_time()
+    found = list(scanner.blocks(f"{text}\n\n{notice}\n\n{text[:2000]}"))
+    assert len(text) > 100_000 and time.process_time() - began < 60
+    assert any(b[0] == "MIT" and words_of(notice)[:20] == words_of(f"{text}\n\n{notice}"[s:e])[:20] for s, e, b in found)
