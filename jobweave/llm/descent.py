@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from jobweave.llm.ann import matrix, usable
-from jobweave.llm.common import connected_components, cut_lineage
+from jobweave.llm.common import cut_lineage
+from jobweave.operators.components import components as connected_components
 
 LOOSE = 1e-4  # under the threshold: single precision finds, double precision decides
 BINS = 40  # that the link's angle is cut into, for angles to a family's centre
