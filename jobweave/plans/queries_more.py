@@ -257,12 +257,12 @@ def ld_pages(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", ld.alias("ld")).where("ld is not null").select("page_id", F.get_json_object("ld", "$.title").alias("title"), F.get_json_object("ld", "$.org").alias("company"))
 
 
-@query("SELECT s_suppkey, CASE WHEN s_suppkey % 3 = 2 THEN NULL ELSE s_suppkey % 3 = 0 END AS ok, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS slug_key, 'Acme' AS company, 'https://x.org/' || s_suppkey AS first_url FROM supplier WHERE s_suppkey % 3 <> 2")
+@query("SELECT s_suppkey, s_suppkey % 3 <> 1 AS ok, lower(regexp_replace(s_name, '[^A-Za-z0-9]', '', 'g')) AS slug_key, 'Org' || s_suppkey AS company, 'https://x.org/' || s_suppkey AS first_url FROM supplier")
 def slug_checks(spark, sf_dir):
-    slug = F.when(mod("s_suppkey", 3) == 0, "t|wd1|Site").otherwise("t||Site")
+    third, host = mod("s_suppkey", 3), F.concat(F.lit("jobs.org"), F.col("s_suppkey").cast("string"), F.lit(".com"))
+    slug = F.when(third == 0, "t|wd1|Site").when(third == 1, "t||Site").otherwise(F.concat(F.lower(F.regexp_replace("s_name", "[^A-Za-z0-9]", "")), F.lit("|wd5|Careers")))
     comment = F.concat(F.lit("see https://x.org/"), F.col("s_suppkey").cast("string"), F.lit(" or http://y.org"))
-    rows = table(spark, sf_dir, "supplier").where(mod("s_suppkey", 3) != 2)
-    return rows.select("s_suppkey", boards.is_valid_slug(F.lit("workday"), slug).alias("ok"), boards.slug_key(F.concat("s_name", F.lit("|x"))).alias("slug_key"), boards.company_from_host(F.lit("jobs.acme.com")).alias("company"), boards.first_url(comment).alias("first_url"))
+    return table(spark, sf_dir, "supplier").select("s_suppkey", boards.is_valid_slug(F.lit("workday"), slug).alias("ok"), boards.slug_key(F.concat("s_name", F.lit("|x"))).alias("slug_key"), boards.company_from_host(host).alias("company"), boards.first_url(comment).alias("first_url"))
 
 
 @query("SELECT s_name AS name, s_suppkey AS id, 'lever' AS source FROM supplier WHERE s_suppkey % 2 = 0")

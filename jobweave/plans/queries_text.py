@@ -67,12 +67,12 @@ def company_spellings(spark, sf_dir):
 
 @query(
     r"""SELECT doc_id, trim(p[1]) AS company, trim(list_filter(p[2:], lambda x: regexp_matches(x, '(?i)\b(engineer|developer|architect|sde|swe|designer|manager|director|lead|principal|staff|founder|cto|ceo|head|scientist|researcher|analyst)\b') AND NOT regexp_matches(x, 'https?://'))[1]) AS title
-    FROM (SELECT doc_id, list_filter(string_split('Org ' || source || ' | Lead Engineer ' || lang || ' | REMOTE | $100k', '|'), lambda x: trim(x) <> '') AS p FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL)"""
+    FROM (SELECT doc_id, list_filter(string_split('Org ' || coalesce(source, 'none') || ' | Lead Engineer ' || coalesce(lang, '-') || ' | REMOTE | $100k', '|'), lambda x: trim(x) <> '') AS p FROM documents)"""
 )
 def header_parse(spark, sf_dir):
-    line = F.concat(F.lit("Org "), "source", F.lit(" | Lead Engineer "), "lang", F.lit(" | REMOTE | $100k"))
+    line = F.concat(F.lit("Org "), F.coalesce("source", F.lit("none")), F.lit(" | Lead Engineer "), F.coalesce("lang", F.lit("-")), F.lit(" | REMOTE | $100k"))
     h = normalise.header(line)
-    return table(spark, sf_dir, "documents").where("source is not null and lang is not null").select("doc_id", h["company"].alias("company"), h["title"].alias("title"))
+    return table(spark, sf_dir, "documents").select("doc_id", h["company"].alias("company"), h["title"].alias("title"))
 
 
 TRANSLATED = "translate(replace(text, '…', '...'), '—–“”‘’ •▪▶★​‌‍﻿', '--\"\"'''' ----')"
