@@ -5,8 +5,8 @@ separators, addresses in small letters, single name words) form a small table; e
 the next attempt number until it equals no entity of the corpus and no other's surrogate. Mentions then render their entity's surrogate in their own
 format. So distinct entities stay distinct, and mentions of one entity stay one, across formats, titles and documents.
 
-Kept: lengths, separators, case and script; the calling code of a phone number; the country of an IBAN, with check digits that hold; the
-validity of a card number's last digit; the prefix of a key; the ending of a domain; the gender of a given name as far as any title in
+Kept: lengths, separators, case and script; the calling code of a phone number or its leading zero; the first group of an IPv6 address; the country of an IBAN, with check digits that hold; the
+validity of a card number's last digit; the prefix of a key and the label before a password or key; the ending of a domain; the gender of a given name as far as any title in
 the corpus tells it.
 """
 
@@ -27,28 +27,57 @@ FEMALE_TITLES = ["Mrs", "Ms", "Miss", "Frau", "Mme", "Madame", "Señora", "Sra",
 NEUTRAL_TITLES = ["Dr", "Prof"]
 TITLES = "|".join(sorted(MALE_TITLES + FEMALE_TITLES + NEUTRAL_TITLES, key=len, reverse=True))
 CASED, UNCASED = ["Latin", "Cyrillic", "Greek"], ["Han", "Hangul", "Hiragana", "Katakana", "Arabic", "Hebrew", "Devanagari"]
-#: One word of a name. In scripts without spaces a run of up to four signs, or the first two of a longer one.
-CAPITALISED = rf"[{''.join(rf'\p{{Is{s}}}' for s in CASED)}&&\p{{Lu}}][\p{{Ll}}\p{{M}}'’]++"
+#: What may stand between the words of a name and is kept: degrees behind a title, particles, initials.
+DEGREES = "med|phil|rer|nat|jur|h\\.c"
+PARTICLES = "van|von|vom|zum|zur|zu|der|den|dem|ten|ter|della|del|de|di|da|dos|das|du|la|le|af|av|bin|ibn|al|el"
+UPPER, LOWER = rf"[{''.join(rf'\p{{Is{s}}}' for s in CASED)}&&\p{{Lu}}]", r"[\p{Ll}\p{M}]"
+#: One word of a name, with inner capitals and apostrophes, but without a genitive's ending.
+CAPITALISED = rf"{UPPER}(?:{LOWER}++|['’]{UPPER}{LOWER}++)(?:{UPPER}{LOWER}++|['’]{UPPER}{LOWER}++|['’](?!s{STOP}){LOWER}++|{UPPER}++(?!{LOWER})){{0,2}}+"
+CAPITALS = rf"{UPPER}['’]?{UPPER}++(?!{LOWER})"
+#: In scripts without spaces a run of up to four signs, or the first two of a longer one.
 SIGNS = rf"[{''.join(rf'\p{{Is{s}}}' for s in UNCASED[:4])}&&\p{{L}}]"
 SPACED = rf"[{''.join(rf'\p{{Is{s}}}' for s in UNCASED[4:])}&&[\p{{L}}\p{{M}}]]{{2,}}+"
-NAME_WORDS = rf"(?:{CAPITALISED}(?:[ -]{CAPITALISED}){{0,2}}|{SIGNS}{{2,4}}(?!{SIGNS})|{SIGNS}{{2}}|{SPACED}(?: {SPACED}){{0,2}})"
-PREFIX = r"(?:sk|pk|ghp|gho|AKIA)[-_]?"
+NAME_WORD = rf"{CAPITALISED}|{CAPITALS}|{SIGNS}{{2,4}}|{SPACED}"
+TITLE_RUN = rf"(?:{TITLES})\.? (?:(?:{TITLES}|{DEGREES})\.? ){{0,4}}+"
+LINK = rf"(?:{UPPER}\. ?){{0,2}}+(?:(?:{PARTICLES}) ){{0,3}}+(?:d['’])?+"
+NEXT = rf"(?:-| {LINK})"
+CASED_NAME = rf"{LINK}(?:{CAPITALISED}(?:{NEXT}{CAPITALISED}){{0,2}}(?: {LINK}{UPPER}{{4,}}+(?!{LOWER}))?|{CAPITALS}(?:{NEXT}{CAPITALS}){{0,2}})"
+NAME_WORDS = rf"(?:{CASED_NAME}|{SIGNS}{{2,4}}(?!{SIGNS})|{SIGNS}{{2}}|{SPACED}(?: {SPACED}){{0,2}})"
+LONG_PREFIX = r"(?:sk-(?:proj|ant|or|live|test)-|(?:sk|pk|rk)_(?:live|test)_|github_pat_|glpat-|xox[abeoprs]-)"
+SHORT_PREFIX = r"(?:sk|pk|ghp|gho|ghs|ghu|ghr|hf|AKIA|ASIA|AIza)[-_]?"
+KEY = rf"(?:{LONG_PREFIX}(?=[A-Za-z_-]{{0,64}}+\d)[A-Za-z0-9_-]{{16,}}+|{SHORT_PREFIX}(?=[A-Za-z]*+\d)[A-Za-z0-9]{{16,}}+)"
+TOKEN = r"eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+"
+#: What names the value behind it; it is kept.
+SECRET_LABEL = r"(?i:pass(?:word|wd|phrase|code)|pwd|(?:client[_ -]?)?secret(?:[_ -]?access)?(?:[_ -]?key)?|api[_ -]?key|access[_ -]?key|auth[_ -]?token|token)[\"']? {0,2}[:=] {0,2}[\"']?"
+PHONE_LABEL = r"(?i:tel(?:efon|ephone)?|phone|fax|mobile?|cell|call)\.?:? {1,2}"
+LABEL = rf"(?:{SECRET_LABEL}|{PHONE_LABEL})"
+HEX = "[0-9A-Fa-f]"
 #: Patterns by type, in order of preference where several begin at one place. No repetition of a group is longer than a few rounds, so matching needs no
 #: stack that grows with the text.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}][\p{L}\p{N}.-]*\.\p{L}{2,}+",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "secret": rf"{EDGE}(?:(?=\p{{L}}*+\d)(?=\d*+\p{{L}})(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)|{PREFIX}(?=[A-Za-z]*+\d)[A-Za-z0-9]{{16,}}+){STOP}",
+    "secret": rf"{EDGE}(?:(?:(?=\p{{L}}*+\d)(?=\d*+\p{{L}})(?:[0-9a-f]{{32,}}+|[0-9A-F]{{32,}}+)|{KEY}|{TOKEN}){STOP}|(?:[A-Za-z]{{1,16}}_){{0,2}}{SECRET_LABEL}(?=[^\s\"',;<>]{{0,128}}?\d)[^\s\"',;<>]{{6,}}+)",
+    "ip6": rf"(?<![\p{{L}}\p{{N}}:.])(?:(?:{HEX}{{1,4}}:){{7}}{HEX}{{1,4}}|(?:[23]{HEX}{{3}}|[Ff][C-Fc-f]{HEX}{{2}})(?::{HEX}{{1,4}}){{0,5}}::{HEX}{{1,4}}(?::{HEX}{{1,4}}){{0,5}})(?![\p{{L}}\p{{N}}:])",
+    "mac": rf"(?<![\p{{L}}\p{{N}}:-])(?=[A-Fa-f:-]{{0,15}}+\d)(?:(?:{HEX}{{2}}:){{5}}{HEX}{{2}}|(?:{HEX}{{2}}-){{5}}{HEX}{{2}})(?![\p{{L}}\p{{N}}:-])",
     "ip": rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\d|\.\d)",
-    "phone": rf"(?<!\d)(?:\+\d{{1,3}}{BREAK}\(\d{{1,4}}\){BREAK}\d{{3,4}}[- .]\d{{3,4}}|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{3,5}}|\(\d{{3}}\){BREAK}\d{{3}}[- .]\d{{4}}|(?:\d{{3}}[- .])?\d{{3}}-\d{{4}})(?!\d)",
-    "number": r"(?<![\d.,-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{3}-\d{2}-\d{4})(?![\d-])",
-    "name": rf"{EDGE}(?:{TITLES})\.? {NAME_WORDS}",
+    "phone": rf"(?<!\d)(?:\+\d{{1,3}}{BREAK}\(\d{{1,4}}\){BREAK}\d{{3,4}}[- .]\d{{3,4}}|\+\d{{1,3}}(?:[ .-]?\d{{2,4}}){{3,5}}|\(\d{{3}}\){BREAK}\d{{3}}[- .]\d{{4}}|(?:\d{{3}}[- .])?\d{{3}}-\d{{4}}|0[1-9]\d{{1,3}}[ /]\d{{6,8}})(?!\d)|{EDGE}{PHONE_LABEL}\d{{10,11}}(?!\d)",
+    "number": r"(?<![\d.,-])(?:\d{13,19}|\d{4}(?:[ -]\d{4}){3}|\d{4}[ -]\d{6}[ -]\d{5}|\d{3}-\d{2}-\d{4})(?![\d-])",
+    "name": rf"{EDGE}{TITLE_RUN}{NAME_WORDS}",
 }
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
-#: In a text that names someone: also each word that could be that name without its title.
-ANY_OR_WORD = rf"{ANY}|{EDGE}(?:{CAPITALISED}|{SIGNS}{{2,4}}|{SPACED}){STOP}"
+#: In a text that names someone: also each run of words that could be that name without its title. A run ends before what another pattern takes.
+GUARD = rf"(?!(?:{TITLES})\.? |[\p{{L}}\p{{N}}._%+-]++@|{LABEL})"
+ANY_OR_WORD = rf"{ANY}|{EDGE}(?:{CAPITALISED}(?:[ -]{GUARD}{CAPITALISED}){{0,3}}|{CAPITALS}|{SIGNS}{{2,4}}|{SPACED}){STOP}"
 #: Every entity holds an @, a digit or a title: a quick look that spares most texts the patterns.
-MAY_HOLD = rf"[@\d]|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]){EDGE}(?:{TITLES})\.? [\p{{Lu}}\p{{Lo}}]"
+MAY_HOLD = rf"[@\d]|(?=[{''.join(sorted({t[0] for t in TITLES.split('|')}))}]){EDGE}(?:{TITLES})\.? (?:[\p{{Lu}}\p{{Lo}}]|(?:{PARTICLES}) |d['’])"
+#: Names that are also common words: alone they are replaced only next to another word of a name.
+ORDINARY = (
+    "april art august bill black brown bush carol chance chase christian church clay cook cross dale dean duke earl faith field fields fisher ford forest "
+    "france frank gene glen grace grant gray green hall hill holly hope hunt hunter iris ivy jack jade joy june king lake lane long lily love march mark "
+    "marsh mason may miles moon nick page park paris pat penny person pierce power price prince rich rick rob robin rock rose ruby rush skip small star stone "
+    "storm summer sue temple terry todd victor violet wade wall ward water waters way white will wood woods young"
+)
 #: Calling codes of one and two digits; all others have three.
 CALLING = r"^\+(?:1|7|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 #: Given names for the first attempt; later attempts build names from syllables.
@@ -94,9 +123,13 @@ ALPHABETS = {"Cyrillic": ("абвгдежзиклмнопрстуфхцшэюя"
 
 @dataclass(frozen=True)
 class PiiParams:
-    key: str = "jobweave"  # the secret: the same key gives the same surrogates
+    key: str  # the secret: the same key gives the same surrogates, and whoever has it can recompute them
     attempts: int = 8  # draws in the original's format, before a counter is built in
 
+    def __post_init__(self):
+        if not self.key:
+            raise ValueError("surrogates need a secret key")
+
 
 def kind_of(mention: Column) -> Column:
     """The type of a mention; null for a word that is none by itself."""
@@ -200,7 +233,7 @@ def with_surrogate(entities: DataFrame, attempt: int, params: PiiParams) -> Data
     salt = F.when(kind.startswith("email"), F.lit("email")).otherwise(kind)
     rows = entities.withColumn("digest", drawn(value, F.lit(attempt), params, salt))
     body = F.substring(value, F.length("head") + F.when(kind == "iban", 3).otherwise(1), F.length(value) - F.length("head") - F.length("tail"))
-    rows = rows.withColumn("plain", F.when(~kind.isin("ip", "name"), reshaped(body, F.col("digest"), (kind == "secret") & (F.col("head") == ""))))
+    rows = rows.withColumn("plain", F.when(~kind.isin("ip", "name"), reshaped(body, F.col("digest"), kind.isin("ip6", "mac") | ((kind == "secret") & (F.col("head") == "")))))
     check = F.lpad((F.lit(98) - remainder_97(F.concat("plain", "head", F.lit("00")))).cast("string"), 2, "0")
     out = (
         F.when(kind == "ip", ip_surrogate(value, F.col("digest")))
@@ -221,7 +254,7 @@ def prepared(entities: DataFrame) -> DataFrame:
     merged = entities.groupBy("kind", "value").agg(*(has(s).alias(s) for s in ("m", "f", "n")))
     style = F.when(F.col("m") + F.col("f") + F.col("n") == 0, "s").when(F.col("m") > F.col("f"), "m").when(F.col("f") > F.col("m"), "f").otherwise("n")
     kind, value = F.col("kind"), F.col("value")
-    head = F.when(kind == "phone", F.regexp_extract(value, CALLING, 0)).when(kind == "secret", F.regexp_extract(value, rf"^{PREFIX}", 0)).when(kind == "iban", F.substring(value, 1, 2)).otherwise("")
+    head = F.when(kind == "phone", F.regexp_extract(value, rf"{CALLING}|^0", 0)).when((kind == "secret") & value.rlike(rf"^(?:{KEY}|{TOKEN})$"), F.regexp_extract(value, rf"^(?:{LONG_PREFIX}|{SHORT_PREFIX}|eyJ)", 0)).when(kind == "ip6", F.substring_index(value, ":", 1)).when(kind == "iban", F.substring(value, 1, 2)).otherwise("")
     tail = F.when(kind == "domain", F.concat(F.lit("."), F.substring_index(value, ".", -1))).otherwise("")
     script = F.when(kind == "name", F.coalesce(*[F.when(value.rlike(rf"\p{{Is{s}}}"), F.lit(s)) for s in [*UNCASED, *CASED[::-1]]]))
     rows = merged.select("kind", "value", style.alias("style"), head.alias("head"), tail.alias("tail"), script.alias("script"))
@@ -247,8 +280,17 @@ def surrogates(entities: DataFrame, params: PiiParams) -> DataFrame:
     return done
 
 
+def without_label(mention: Column) -> Column:
+    """A mention without what only names it."""
+    return F.regexp_replace(mention, rf"^(?:[A-Za-z]{{1,16}}_){{0,2}}{LABEL}", "")
+
+
+def without_title(mention: Column) -> Column:
+    return F.regexp_replace(mention, rf"^{TITLE_RUN}", "")
+
+
 def name_words(mention: Column) -> Column:
-    return F.split(F.regexp_replace(mention, rf"^(?:{TITLES})\.? ", ""), "[ -]")
+    return F.regexp_extract_all(without_title(mention), F.lit(NAME_WORD), F.lit(0))
 
 
 def entity(kind: Column, value: Column, style: Column) -> Column:
@@ -260,17 +302,26 @@ def entities_of(mention: Column, kind: Column) -> Column:
 
     Style is what the mention tells of a name's word: m, f or n for a given name, s for a family name (the last word, if its script has spaces).
     """
-    title = F.regexp_extract(mention, rf"^({TITLES})", 1)
-    gender = F.when(title.isin(MALE_TITLES), "m").when(title.isin(FEMALE_TITLES), "f").otherwise("n")
+    title = F.concat(F.lit(" "), F.regexp_extract(mention, rf"^{TITLE_RUN}", 0))
+    said = lambda titles: title.rlike(rf" (?:{'|'.join(titles)})\.? ")
+    gender = F.when(said(MALE_TITLES), "m").when(said(FEMALE_TITLES), "f").otherwise("n")
     words = name_words(mention)
-    names = F.transform(words, lambda w, i: entity(F.lit("name"), w, F.when((i == F.size(words) - 1) & ~w.rlike(SIGNS), "s").otherwise(gender)))
+    name = lambda w: F.initcap(F.lower(w))
+    names = F.transform(words, lambda w, i: entity(F.lit("name"), name(w), F.when((i == F.size(words) - 1) & ~w.rlike(SIGNS), "s").otherwise(gender)))
     none = F.lit("")
     domain = F.lower(F.substring_index(mention, "@", -1))
     address = F.array(entity(F.concat(F.lit("email@"), domain), F.lower(F.substring_index(mention, "@", 1)), none), entity(F.lit("domain"), domain, none))
     digits = F.regexp_replace(mention, r"\D", "")
-    canonical = F.when(kind == "number", digits).when(kind == "phone", F.concat(F.when(mention.startswith("+"), "+").otherwise(""), digits)).when(kind == "iban", F.replace(mention, F.lit(" "), F.lit(""))).otherwise(mention)
-    single = F.array(entity(F.coalesce(kind, F.lit("name")), canonical, none))
-    return F.when(kind == "name", names).when(kind == "email", address).otherwise(single)
+    canonical = (
+        F.when(kind == "number", digits)
+        .when(kind == "phone", F.concat(F.when(mention.startswith("+"), "+").otherwise(""), digits))
+        .when(kind == "iban", F.replace(mention, F.lit(" "), F.lit("")))
+        .when(kind.isin("ip6", "mac"), F.lower(F.translate(mention, "-", ":")))
+        .when(kind == "secret", without_label(mention))
+        .otherwise(mention)
+    )
+    single = F.array(entity(kind, canonical, none))
+    return F.when(kind.isNull() | (kind == "name"), names).when(kind == "email", address).otherwise(single)
 
 
 def with_kind(mention: Column) -> Column:
@@ -290,30 +341,40 @@ def in_case_of(mention: Column, drawn_: Column) -> Column:
     return F.array_join(F.zip_with(F.split(drawn_, ""), F.split(mention, ""), same), "")
 
 
+def renamed(text: Column, own: Column) -> Column:
+    """A name with its words replaced; a word without a surrogate stays, as does all between the words. Capitals throughout stay so."""
+    body = without_title(text)
+    between, words = F.split(body, NAME_WORD), name_words(text)
+    new = lambda w, s: F.when(w.rlike(rf"^{CAPITALS}$"), F.upper(s)).otherwise(s)
+    pieces = F.transform(F.arrays_zip(words.alias("w"), own.alias("s"), F.slice(between, F.lit(2), F.size(words)).alias("b")), lambda z: F.concat(F.coalesce(new(z["w"], z["s"]), z["w"]), z["b"]))
+    return F.concat(F.regexp_extract(text, rf"^(?:{TITLE_RUN})?", 0), F.get(between, F.lit(0)), F.array_join(pieces, ""))
+
+
 def rendered(mention: Column, own: Column) -> Column:
-    """The replacement of a mention (text, kind, parts); own: the surrogates of its parts. A word that is no entity of its text stays."""
+    """The replacement of a mention (text, kind, parts); own: the surrogates of its parts. Words that are no entity of their text stay."""
     text, kind = mention["text"], mention["kind"]
     first, second = F.get(own, F.lit(0)), F.get(own, F.lit(1))
-    title = F.regexp_extract(text, rf"^((?:{TITLES})\.? )", 1)
-    between = F.regexp_extract_all(F.substring(text, F.length(title) + 1, F.length(text)), F.lit("[ -]"), F.lit(0))
-    names = F.transform(own, lambda s, i: F.concat(s, F.coalesce(F.get(between, i), F.lit(""))))
+    body = without_label(text)
+    label = F.substring(text, F.lit(1), F.length(text) - F.length(body))
     return (
-        F.when(kind.isNull(), F.coalesce(first, text))
-        .when(kind == "name", F.concat(title, F.array_join(names, "")))
+        F.when(kind.isNull() | (kind == "name"), renamed(text, own))
         .when(kind == "email", in_case_of(text, F.concat(first, F.lit("@"), second)))
-        .when(kind.isin("number", "phone", "iban"), filled(text, F.replace(first, F.lit("+"), F.lit(""))))
+        .when(kind.isin("number", "phone", "iban"), F.concat(label, filled(body, F.replace(first, F.lit("+"), F.lit("")))))
+        .when(kind == "mac", in_case_of(text, F.when(F.contains(text, F.lit("-")), F.translate(first, ":", "-")).otherwise(first)))
+        .when(kind == "ip6", in_case_of(text, first))
+        .when(kind == "secret", F.concat(label, first))
         .otherwise(first)
     )
 
 
-def pseudonymised(docs: DataFrame, params: PiiParams | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, params: PiiParams) -> DataFrame:
     """docs with every detected entity in text replaced by its surrogate, and pii_entities (the number of mentions) appended.
 
-    Names are found behind a title, and in the same text also without it, word by word. Null and empty texts pass through with 0 mentions; all other columns
+    Names are found behind titles, and in the same text also without them, word by word. A single word that the text also has in small letters, or that
+    is a common word (ORDINARY), is taken for that word, unless another word of a name stands beside it. Particles and initials stay. Null and empty texts pass through with 0 mentions; all other columns
     and repeated rows pass through, but for a column named pii_entities, which is replaced. Null doc_ids are fine: texts are joined with
     surrogates by entity and by text hash, not by id. Texts of any length are matched without recursion.
     """
-    params = params or PiiParams()
     base = docs.drop("pii_entities")
     text = F.col("text").cast("string")
     # The patterns run over each text once; what they found is kept with the rows.
@@ -324,17 +385,28 @@ def pseudonymised(docs: DataFrame, params: PiiParams | None = None) -> DataFrame
     names = F.exists("found", lambda m: m["kind"] == "name")
     again = F.transform(F.regexp_extract_all("text", F.lit(ANY_OR_WORD), F.lit(0)), with_kind)
     texts = texts.withColumns({"found": F.when(names, again).otherwise(F.col("found")), "rest": F.when(names, F.split("text", ANY_OR_WORD)).otherwise(F.split("text", ANY))})
-    texts = cut_lineage(texts.select("_pii_key", F.transform("found", lambda m: F.struct(m["text"].alias("text"), m["kind"].alias("kind"), entities_of(m["text"], m["kind"]).alias("parts"))).alias("found"), "rest"))
+    small = F.array_union(F.regexp_extract_all("text", F.lit(rf"{EDGE}{LOWER}++{STOP}"), F.lit(0)), F.split(F.lit(ORDINARY), " "))
+    texts = texts.withColumn("small", F.when(names, small))
+    texts = cut_lineage(texts.select("_pii_key", F.transform("found", lambda m: F.struct(m["text"].alias("text"), m["kind"].alias("kind"), entities_of(m["text"], m["kind"]).alias("parts"))).alias("found"), "rest", "small"))
+    # Of the text's words in small letters only those that are a name's are kept.
+    named = F.flatten(F.transform(F.filter("found", lambda m: m["kind"] == "name"), lambda m: F.transform(m["parts"], lambda p: F.lower(p["value"]))))
+    cased = F.filter(named, lambda w: w != F.initcap(w))
+    texts = cut_lineage(texts.withColumn("small", F.coalesce(F.array_intersect(cased, "small"), F.array().cast("array<string>"))))
     listed = F.flatten(F.transform(F.filter("found", lambda m: m["kind"].isNotNull()), lambda m: m["parts"]))
     entities = texts.select("_pii_key", F.explode(F.array_distinct(listed)).alias("e")).select("_pii_key", "e.*")
     known = cut_lineage(surrogates(entities, params))
     pair = F.struct(F.concat_ws("\x1f", "kind", "value"), "surrogate")
     maps = entities.select("_pii_key", "kind", "value").distinct().join(known, ["kind", "value"]).groupBy("_pii_key").agg(F.map_from_entries(F.collect_list(pair)).alias("map"))
-    own = lambda m: F.transform(m["parts"], lambda p: F.try_element_at("map", F.concat_ws("\x1f", p["kind"], p["value"])))
+    look = lambda p: F.try_element_at("map", F.concat_ws("\x1f", p["kind"], p["value"]))
+
+    def own(m: Column) -> Column:
+        sure = m["kind"].isNotNull() | (F.size(F.filter(m["parts"], lambda p: look(p).isNotNull())) > 1)
+        return F.transform(m["parts"], lambda p: F.when(sure | ~F.array_contains("small", F.lower(p["value"])), look(p)))
+
     new = texts.join(maps, "_pii_key").withColumn("own", F.transform("found", own))
     swapped = F.transform(F.arrays_zip("found", "own"), lambda z: rendered(z["found"], z["own"]))
     pieces = F.transform(F.arrays_zip(swapped.alias("s"), F.slice("rest", F.lit(2), F.size("found")).alias("b")), lambda z: F.concat(z["s"], z["b"]))
-    count = F.size(F.filter("own", lambda o: F.get(o, F.lit(0)).isNotNull()))
+    count = F.size(F.filter("own", lambda o: F.exists(o, lambda s: s.isNotNull())))
     new = new.select("_pii_key", F.concat(F.get("rest", F.lit(0)), F.array_join(pieces, "")).alias("_pii_text"), count.alias("_pii_n"))
     held = marked.where(touched).withColumn("_pii_key", key).join(new, "_pii_key")
     order = [F.col("_pii_text").alias(c) if c.lower() == "text" else F.col(c) for c in base.columns]

@@ -22,8 +22,13 @@ def remainder(n: int):
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(n))
 
 
+def surrogate_params(spark: SparkSession) -> pii.PiiParams:
+    """The secret key of the session; the tables of the registered queries are public, so without one they take a key that is no secret."""
+    return pii.PiiParams(spark.conf.get("spark.jobweave.pii.key", "public key of public tables"))
+
+
 def op1_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return pii.pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), surrogate_params(spark))
 
 
 def op2_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:

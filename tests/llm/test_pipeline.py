@@ -44,7 +44,7 @@ def test_stages_against_brute_force(spark, rows):
     bad = leaked(alone, items)
     kept = {i: t for i, t in alone.items() if i not in bad}
     assert len(rows) > len(good) > len(alone) > len(kept) > 0
-    masked = {r.doc_id: r.text for r in pii.pseudonymised(docs.where(docs["doc_id"].isin(list(kept)))).collect()}
+    masked = {r.doc_id: r.text for r in pii.pseudonymised(docs.where(docs["doc_id"].isin(list(kept))), queries.surrogate_params(spark)).collect()}
     tokenizer = Tokenizer.from_file(TOKENIZER)
     got = {r.doc_id: r for r in corpus_pipeline.run(spark, ROOT).collect()}
     assert got.keys() == kept.keys()
