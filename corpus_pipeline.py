@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.llm import bpe, decontaminate, minhash, pii, quality
-from jobweave.llm.queries import TOKENIZER, table
+from jobweave.llm.queries import TOKENIZER, surrogate_params, table
 from jobweave.operators.lineage import removed, shared_folder
 
 
@@ -35,7 +35,7 @@ def benchmark_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def pii_surrogates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by surrogates; n_chars follows the new text."""
-    out = pii.pseudonymised(docs).select(*docs.columns)
+    out = pii.pseudonymised(docs, surrogate_params(spark)).select(*docs.columns)
     return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
 
 
