@@ -1,15 +1,18 @@
-"""Benchmark decontamination: rare-word seeds, then Smith-Waterman alignment of words.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment of words.
 
-One scan counts, over all documents, in how many each word of the test items occurs. Each item keeps its rarer words as
-seeds (ranked within the item, so a passage that leaked a million times keeps its seeds). A second scan looks the seeds up
-in every text; where enough of an item's seeds lie together, the words there are aligned with the item's, so that
-edited copies score too.
+One scan counts, over all documents, in how many each word, word pair and triple of the test items occurs. Each position of an item gives as its seed the
+shortest of these that is rare. A second scan looks the seeds up in every text; where enough of an item's seeds lie together, the
+words there are aligned with the item's, so that edited copies score too.
 
-Nothing that reaches the threshold is lost: such a passage matches `least` of an item's m words (the threshold's share of m) and is no
-longer than `reach` words, as a longer one pays too much for its gaps. Of any m - least + hits seeds it therefore holds `hits` within
-`reach` words, wherever the edits are. Longer n-grams give no such bound: with every third word replaced none is left.
+Rare is what few documents hold (`rare_share`), what is not much more frequent than the item's own pairs (so a passage that leaked a million
+times keeps its seeds), and in any case the rarer quarter of the item's words (so edits that leave no pair whole still leave seeds). Grams that
+no document holds can find nothing and are no seeds. Frequent words are therefore none, and the work for a text does not grow with the benchmark but by the
+documents that share rare grams with it.
 
-The seeds are broadcast in parts of at most `part_items` items; a larger benchmark takes more scans, not more memory.
+A passage that reaches the threshold by replacements keeps two thirds of the words or more, so it holds seeds enough wherever most edits fall; this is no proof, and
+the tests compare with full alignment.
+
+The seeds are broadcast in parts of at most `part_items` items and about `part_bytes` bytes of text; a larger benchmark takes more scans, not more memory.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from jobweave.llm.common import U64, WordHasher, chunks, cut_lineage, utf8_buffers
+from jobweave.llm.common import U64, WordHasher, chunks, cut_lineage, shingle_hashes, utf8_buffers
 
 #: What separates words: all ASCII but letters and digits.
 SEPARATORS = bytes(b for b in range(128) if not chr(b).isalnum())
@@ -35,16 +38,17 @@ class DecontaminateParams:
     threshold: float = 0.5  # of the item's own score
     mismatch: float = -0.5
     gap: float = -0.5
+    longest_gram: int = 3
+    rare_share: float = 0.001  # of the documents; what fewer hold is rare
+    rare_documents: int = 4  # at least
+    rare_times: int = 4  # as frequent as the rarer quarter of the item's own pairs
     part_items: int = 20_000
+    part_bytes: int = 16 << 20
     held_hits: int = 1 << 21  # hits that are sorted together
 
-    def least(self, m: int) -> int:
-        """Words that a passage must share with an item of m words."""
-        return max(1, int(np.ceil(self.threshold * m - 1e-9)))
-
     def hits(self, m: int) -> int:
-        """Seeds that call for a closer look."""
-        return max(1, self.least(m) // 4)
+        """Seeds that call for a closer look, of an item of m words."""
+        return 1 if m < 12 else 2
 
     def reach(self, m: int) -> int:
         """Words of the longest passage that can reach the threshold."""
@@ -82,7 +86,7 @@ class Lookup:
 
     def __init__(self, hashes: np.ndarray):
         self.sorted = np.unique(hashes)
-        bits = max(16, int(len(self.sorted) * 32).bit_length())
+        bits = max(16, int(len(self.sorted) * 8).bit_length())
         self.mask = U64((1 << bits) - 1)
         self.bitmap = np.zeros(1 << bits, bool)
         self.bitmap[(self.sorted & self.mask).astype(np.int64)] = True
@@ -97,6 +101,25 @@ class Lookup:
         return place[right], index[right]
 
 
+def grams(words: np.ndarray, n: int) -> np.ndarray:
+    """Hashes of the n-word windows."""
+    return words if n == 1 else shingle_hashes(words, n) if len(words) >= n else words[:0]
+
+
+def found_grams(lookup: Lookup, words: np.ndarray, own: np.ndarray, longest: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, member and text of the windows of up to `longest` words that are members, in order of places; own: the bounds of the texts' words."""
+    places, members = [], []
+    for n in range(1, longest + 1):
+        place, index = lookup.find(grams(words, n))
+        inside = np.searchsorted(own, place, "right") == np.searchsorted(own, place + n - 1, "right")
+        places.append(place[inside])
+        members.append(index[inside])
+    place, index = np.concatenate(places), np.concatenate(members)
+    order = np.argsort(place, kind="stable")
+    place, index = place[order], index[order]
+    return place, index, np.searchsorted(own, place, "right") - 1
+
+
 def item_words(items: list[tuple[int, str]]) -> dict[int, np.ndarray]:
     """The words of each text by its place in items: several texts of one id are several items until the end."""
     hasher, out = WordHasher(SEPARATORS), {}
@@ -111,41 +134,54 @@ def item_words(items: list[tuple[int, str]]) -> dict[int, np.ndarray]:
 def benchmark_parts(benchmark: DataFrame, params: DecontaminateParams):
     """The items in parts of bounded size."""
     items = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).distinct()
-    parts = -(-items.count() // params.part_items)
+    size = items.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("bytes")).first()
+    parts = max(-(-size["n"] // params.part_items), -(-size["bytes"] // params.part_bytes))
     for k in range(parts):
-        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == k).collect()]
+        yield [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(parts)) == k).collect()]
 
 
-def seed_counts(docs: DataFrame, seeds: np.ndarray) -> dict[int, int]:
-    """The number of documents that hold each of the words."""
+def seed_counts(docs: DataFrame, wanted: np.ndarray, params: DecontaminateParams) -> tuple[dict[int, int], int]:
+    """The number of documents that hold each of the grams, and of all documents."""
 
     def scan(batches):
-        hasher, lookup = WordHasher(SEPARATORS), Lookup(seeds)
-        total = np.zeros(len(lookup.sorted), np.int64)
+        hasher, lookup = WordHasher(SEPARATORS), Lookup(wanted)
+        total, texts = np.zeros(len(lookup.sorted), np.int64), 0
         for batch in batches:
             data, bounds = utf8_buffers(batch.column(0))
+            texts += len(bounds) - 1
             for first, last in chunks(bounds):
                 part = bounds[first : last + 1]
                 words, _, _, own = hasher(data[part[0] : part[-1]], part - part[0])
-                place, index = lookup.find(words)
-                text = np.searchsorted(own, place, "right") - 1
+                _, index, text = found_grams(lookup, words, own, params.longest_gram)
                 seen = np.unique(text * len(lookup.sorted) + index)
                 np.add.at(total, seen % len(lookup.sorted), 1)
         held = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(lookup.sorted[held].astype(np.int64)), pa.array(total[held])], ["seed", "n"])
+        seeds = [*lookup.sorted[held].astype(np.int64).tolist(), None]
+        yield pa.RecordBatch.from_arrays([pa.array(seeds, pa.int64()), pa.array([*total[held].tolist(), texts], pa.int64())], ["seed", "n"])
 
     counted = docs.select(F.col("text").cast("string").alias("text")).mapInArrow(scan, "seed long, n long")
-    # One row at most for each word of a part of the benchmark.
-    return {r.seed & 0xFFFFFFFFFFFFFFFF: r.n for r in counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()}
+    # One row at most for each gram of a part of the benchmark.
+    rows = counted.groupBy("seed").agg(F.sum("n").alias("n")).collect()
+    return {r.seed & 0xFFFFFFFFFFFFFFFF: r.n for r in rows if r.seed is not None}, sum(r.n for r in rows if r.seed is None)
+
+
+def quarter(counts: list[int]) -> int:
+    """The count that a quarter of the counts do not exceed."""
+    return sorted(counts)[(len(counts) - 1) // 4] if counts else 0
 
 
-def rare_seeds(words: dict[int, np.ndarray], counts: dict[int, int], params: DecontaminateParams) -> tuple[np.ndarray, np.ndarray]:
-    """seed, item: of each item its rarer words, as many as leave no passage that reaches the threshold without `hits` of them."""
+def rare_seeds(words: dict[int, np.ndarray], counts: dict[int, int], docs: int, params: DecontaminateParams) -> tuple[np.ndarray, np.ndarray]:
+    """seed, item: of each position of an item the shortest rare gram that begins there."""
     rows = set()
     for item_id, own in words.items():
-        m = len(own)
-        order = sorted(range(m), key=lambda k: (counts.get(int(own[k]), 0), int(own[k])))
-        rows |= {(int(own[k]), item_id) for k in order[: m - params.least(m) + params.hits(m)]}
+        table = [grams(own, n).tolist() for n in range(1, params.longest_gram + 1)]
+        held = [[counts.get(g, 0) for g in row] for row in table]
+        pairs = held[1] if len(held) > 1 else []
+        limit = max(params.rare_documents, params.rare_share * docs, params.rare_times * quarter(pairs), quarter([c for c in held[0] if c]))
+        for k in range(len(own)):
+            seed = next((row[k] for row, n in zip(table, held, strict=True) if k < len(row) and 0 < n[k] <= limit), None)
+            if seed is not None:
+                rows.add((seed, item_id))
     rows = sorted(rows)
     return np.array([r[0] for r in rows], U64), np.array([r[1] for r in rows], np.int64)
 
@@ -166,8 +202,7 @@ class Seeds:
 
     def stretches(self, words: np.ndarray, own: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
         """(text, item, begin, end) of words; own: the bounds of the texts' words."""
-        place, index = self.lookup.find(words)
-        text = np.searchsorted(own, place, "right") - 1
+        place, index, text = found_grams(self.lookup, words, own, self.params.longest_gram)
         yield from self._within(words, own, place, index, text, 0, len(self.items))
 
     def _within(self, words, own, place, index, text, low, high):
@@ -241,9 +276,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, params: DecontaminateParams | N
         words = item_words(items)
         if not words:
             continue
-        counts = seed_counts(texts, np.unique(np.concatenate(list(words.values()))))
-        seeds = rare_seeds({i: w for i, w in words.items() if len(w) >= params.words}, counts, params)
-        # At most part_items items: a fixed bound.
+        wanted = [grams(w, n) for w in words.values() for n in range(1, params.longest_gram + 1)]
+        counts, total = seed_counts(texts, np.unique(np.concatenate(wanted)), params)
+        seeds = rare_seeds({i: w for i, w in words.items() if len(w) >= params.words}, counts, total, params)
+        # At most part_items items and about part_bytes bytes: a fixed bound.
         found = _aligned(texts, spark.sparkContext.broadcast(([i for i, _ in items], words, seeds)), params)
         out = found if out is None else out.unionByName(found)
     if out is None:
