@@ -1,8 +1,8 @@
 """Quality scores from compression.
 
 Two zstandard dictionaries are built from bounded samples of good and bad labelled text. A text is compressed
-block by block with each; the normalised difference of the two sizes, with the compression ratio and the length
-as context, goes through a logistic calibration fitted on labelled text that the dictionaries have not seen.
+block by block with each. The difference of the two sizes, normalised by the text's size, is all that the score reads: a monotone
+calibration turns it into a probability. It is fitted by parts: each part of the sample is compressed with dictionaries of the others.
 """
 
 from __future__ import annotations
@@ -26,39 +26,54 @@ class QualityParams:
     window_chars: int = 2000  # of each, one window at a place that a hash picks
     dictionary_bytes: int = 112_640
     block_bytes: int = 1024
+    folds: int = 3
+    blend: float = 0.05  # of the logistic curve in the calibration, so that it rises everywhere
     threshold: float = 0.3
 
 
+@dataclass(frozen=True)
+class Calibration:
+    """From differences to probabilities, never falling: a step function with its steps joined by lines, blended with a logistic curve."""
+
+    at: tuple[float, ...]
+    probability: tuple[float, ...]
+    weights: tuple[float, float]
+    blend: float
+
+    def __call__(self, difference):
+        x = np.asarray(difference, float)
+        smooth = 1 / (1 + np.exp(-np.clip(self.weights[0] + self.weights[1] * x, -30, 30)))
+        return (1 - self.blend) * np.interp(x, self.at, self.probability) + self.blend * smooth
+
+
 @dataclass(frozen=True)
 class QualityModel:
     good: bytes
     bad: bytes
-    weights: tuple[float, ...]
+    calibration: Calibration | None  # None: every score is the base rate
     base_rate: float  # the score of an empty text
     params: QualityParams = field(default_factory=QualityParams)
 
     def scorer(self):
-        compressors = []
-        for content in (self.good, self.bad):
-            dictionary = zstandard.ZstdCompressionDict(content)
-            dictionary.precompute_compress(level=LEVEL)
-            compressors.append(zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False))
-        good, bad = (c.compress for c in compressors)
-        weights, size, longest = np.array(self.weights), self.params.block_bytes, self.params.window_chars
+        good, bad = compressor(self.good), compressor(self.bad)
 
         def score(text: bytes) -> float:
-            if not text:
+            if not text or self.calibration is None:
                 return self.base_rate
-            return float(1 / (1 + np.exp(-np.clip(features(text, good, bad, size, longest) @ weights, -30, 30))))
+            return float(self.calibration(difference(text, good, bad, self.params.block_bytes)))
 
         return score
 
 
-def features(text: bytes, good, bad, size: int, longest: int) -> np.ndarray:
-    """longest: the length (bytes) beyond which more length tells nothing, as no sample is longer."""
-    blocks = [text[k : k + size] for k in range(0, len(text), size)]
-    g, b = sum(len(good(x)) for x in blocks), sum(len(bad(x)) for x in blocks)
-    return np.array([1.0, 10 * (b - g) / (b + g), (b + g) / (2 * len(text)), np.log(min(len(text), longest)) / 10])
+def compressor(content: bytes):
+    dictionary = zstandard.ZstdCompressionDict(content)
+    dictionary.precompute_compress(level=LEVEL)
+    return zstandard.ZstdCompressor(dict_data=dictionary, write_content_size=False, write_checksum=False, write_dict_id=False).compress
+
+
+def difference(text: bytes, good, bad, size: int) -> float:
+    """Bytes that the good dictionary saves over the bad one, for each byte of text."""
+    return sum(len(bad(x)) - len(good(x)) for x in (text[k : k + size] for k in range(0, len(text), size))) / len(text)
 
 
 def dictionary(samples: list[bytes], size: int) -> bytes:
@@ -93,7 +108,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, learn, params: QualityPa
 
 def train(docs: DataFrame, labels: DataFrame, learn=None, params: QualityParams | None = None) -> QualityModel:
     """learn: a predicate on labels' rows that may be learned from. Rows without a label of 0 or 1, or whose
-    document is missing or null, teach nothing; of several texts of one doc_id the smallest window does. Without both classes, or without a text of both to calibrate on, every score is the share of label 1 (0.5 without labels).
+    document is missing or null, teach nothing; of several texts of one doc_id the smallest window does. Without both classes, or with fewer than two texts of one, every score is the share of label 1 (0.5 without labels).
     """
     params = params or QualityParams()
     learn = F.lit(True) if learn is None else learn
@@ -102,34 +117,39 @@ def train(docs: DataFrame, labels: DataFrame, learn=None, params: QualityParams
     good_n, bad_n = counts.get(1, 0), counts.get(0, 0)
     rate = good_n / (good_n + bad_n) if good_n + bad_n else 0.5
     by_label = {y: [t for label, t in sample if label == y] for y in (0, 1)}
+    by_label = {y: [t for t in x if t] for y, x in by_label.items()}
     if min(map(len, by_label.values())) < 2:
-        logit = float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3)))
-        return QualityModel(b"\n" * 8, b"\n" * 8, (logit, 0.0, 0.0, 0.0), rate, params)
-    cut = {y: max(1, len(x) * 2 // 3) for y, x in by_label.items()}
-    dictionaries = {y: dictionary(x[: cut[y]], params.dictionary_bytes) for y, x in by_label.items()}
-    model = QualityModel(dictionaries[1], dictionaries[0], (0.0,) * 4, rate, params)
-    return QualityModel(model.good, model.bad, calibrated(model, {y: x[cut[y] :] for y, x in by_label.items()}, rate), rate, params)
-
-
-def calibrated(model: QualityModel, unseen: dict[int, list[bytes]], rate: float) -> tuple[float, ...]:
-    """Logistic regression by Newton steps, the classes weighted to their share among all labels."""
-    compressors = []
-    for content in (model.good, model.bad):
-        compressors.append(zstandard.ZstdCompressor(level=LEVEL, dict_data=zstandard.ZstdCompressionDict(content), write_content_size=False, write_checksum=False, write_dict_id=False).compress)
-    x = np.array([features(t, *compressors, model.params.block_bytes, model.params.window_chars) for y in (0, 1) for t in unseen[y] if t])
-    y = np.array([y for y in (0, 1) for t in unseen[y] if t], float)
-    if len(np.unique(y)) < 2:  # nothing that tells the classes apart: the base rate
-        return (float(np.log(max(rate, 1e-3) / max(1 - rate, 1e-3))), *(0.0,) * (len(model.weights) - 1))
-    weight = np.where(y == 1, rate / max(y.mean(), 1e-9), (1 - rate) / max(1 - y.mean(), 1e-9))
-    w = np.zeros(x.shape[1])
-    ridge = 1e-3 * np.eye(len(w))
+        return QualityModel(b"\n" * 8, b"\n" * 8, None, rate, params)
+    folds, found = min(params.folds, *map(len, by_label.values())), []
+    for k in range(folds):
+        bad, good = (compressor(dictionary([t for i, t in enumerate(x) if i % folds != k], params.dictionary_bytes)) for x in (by_label[0], by_label[1]))
+        found += [(difference(t, good, bad, params.block_bytes), y) for y, x in by_label.items() for t in x[k::folds]]
+    whole = {y: dictionary(x, params.dictionary_bytes) for y, x in by_label.items()}
+    return QualityModel(whole[1], whole[0], calibrated(*map(np.array, zip(*found, strict=True)), rate, params.blend), rate, params)
+
+
+def calibrated(x: np.ndarray, y: np.ndarray, rate: float, blend: float) -> Calibration:
+    """The never falling curve of least squares (adjacent violators are pooled) and a logistic one by Newton steps; the classes are weighted to their share among all labels."""
+    weight = np.where(y == 1, rate / y.mean(), (1 - rate) / (1 - y.mean()))
+    pools = []  # weight of label 1, weight, first and last difference
+    for at in np.unique(x):
+        here = x == at
+        pools.append([float(weight[here & (y == 1)].sum()), float(weight[here].sum()), at, at])
+        while len(pools) > 1 and pools[-2][0] * pools[-1][1] >= pools[-1][0] * pools[-2][1]:
+            good, total, _, last = pools.pop()
+            pools[-1][:2] = pools[-1][0] + good, pools[-1][1] + total
+            pools[-1][3] = last
+    scale = max(float(x.std()), 1e-9)
+    features, w, ridge = np.stack([np.ones(len(x)), x / scale], 1), np.zeros(2), 1e-3 * np.eye(2)
     for _ in range(60):
-        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve((x * (weight * p * (1 - p))[:, None]).T @ x + ridge, x.T @ ((p - y) * weight) + ridge @ w)
+        p = 1 / (1 + np.exp(-np.clip(features @ w, -30, 30)))
+        step = np.linalg.solve((features * (weight * p * (1 - p))[:, None]).T @ features + ridge, features.T @ ((p - y) * weight) + ridge @ w)
         w -= step
         if np.abs(step).max() < 1e-6:
             break
-    return tuple(float(v) for v in w)
+    # A good dictionary that saves nothing on good text would turn the curve over: it then stays flat.
+    weights = (float(w[0]), max(0.0, float(w[1])) / scale)
+    return Calibration(tuple((a + b) / 2 for _, _, a, b in pools), tuple(g / n for g, n, _, _ in pools), weights, blend)
 
 
 def score(docs: DataFrame, model: QualityModel) -> DataFrame:

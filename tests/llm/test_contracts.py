@@ -124,8 +124,16 @@ def test_quality_scores_by_a_plain_recount(spark):
         text = r.text.encode()
         blocks = [text[k : k + model.params.block_bytes] for k in range(0, len(text), model.params.block_bytes)]
         g, b = (sum(size(d, x) for x in blocks) for d in (model.good, model.bad))
-        z = model.weights[0] + model.weights[1] * 10 * (b - g) / (b + g) + sum(w * f for w, f in zip(model.weights[2:], [(b + g) / (2 * len(text)), np.log(min(len(text), model.params.window_chars)) / 10]))
-        assert abs(r.quality_score - 1 / (1 + np.exp(-z))) < 1e-9 and r.quality_pass == (r.quality_score >= 0.3)
+        x, curve = (b - g) / len(text), model.calibration
+        at, p = curve.at, curve.probability
+        if x <= at[0] or x >= at[-1]:
+            step = p[0] if x <= at[0] else p[-1]
+        else:
+            k = next(k for k in range(len(at)) if at[k + 1] > x)
+            step = p[k] + (p[k + 1] - p[k]) * (x - at[k]) / (at[k + 1] - at[k])
+        want = 0.95 * step + 0.05 / (1 + np.exp(-(curve.weights[0] + curve.weights[1] * x)))
+        assert abs(r.quality_score - want) < 1e-9 and r.quality_pass == (r.quality_score >= 0.3)
+    assert list(at) == sorted(set(at)) and list(p) == sorted(p) and curve.weights[1] > 0
 
 
 @pytest.mark.parametrize("texts", [["", "", "", "", "", ""], ["aaaa bbbb", "", "cccc dddd", "", "eeee ffff", ""]])

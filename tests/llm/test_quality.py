@@ -3,7 +3,7 @@ import zlib
 import numpy as np
 from pyspark.sql import functions as F
 
-from jobweave.llm.quality import score, train
+from jobweave.llm.quality import calibrated, score, train
 
 
 def test_held_out_accuracy_and_edges(spark):
@@ -20,6 +20,20 @@ def test_held_out_accuracy_and_edges(spark):
     right = np.array([rows[i].quality_pass == bool(q) for i, q in held])
     bad = np.array([q == 0 for _, q in held])
     assert right.mean() > 0.95 and right[bad].mean() > 0.8
+    scores = np.array([rows[i].quality_score for i, _ in held])
+    above = (scores[~bad][:, None] > scores[bad][None, :]).mean() + 0.5 * (scores[~bad][:, None] == scores[bad][None, :]).mean()
+    print("auc", above, "bad kept", 1 - right[bad].mean(), "good kept", right[~bad].mean())
+    assert above > 0.99 and right[~bad].mean() > 0.97
+
+
+def test_calibration_never_falls():
+    rng = np.random.default_rng(6)
+    y = np.arange(400) % 4 > 0
+    x = np.where(y, 0.1, -0.1) + rng.normal(0, 0.1, 400).round(2)
+    curve = calibrated(x, y.astype(float), 0.75, 0.05)
+    scores = curve(np.linspace(-2, 2, 2001))
+    assert (np.diff(scores) > -1e-12).all() and 0 <= scores.min() < 0.1 and 0.9 < scores.max() <= 1
+    assert abs(curve(x)[np.abs(x) < 0.05].mean() - y[np.abs(x) < 0.05].mean()) < 0.1
 
 
 def test_without_labels(spark):
