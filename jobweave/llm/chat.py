@@ -17,9 +17,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 START, SEPARATOR, END = "<|im_start|>", "<|im_sep|>", "<|im_end|>\n"
-#: What follows < or [ in a control string of this template or of others in use.
-REST = r"\\*(?:\||/?s>|</?SYS>>|/?INST\])"
-ESCAPABLE, ESCAPED = rf"([<\[])(?={REST})", rf"([<\[])\\(?={REST})"
+#: Control strings of this template and of others in use, by their first sign. Whatever begins with <| or <｜ is one too.
+ANGLE = "s /s bos eos pad unk start_of_turn end_of_turn start_of_image end_of_image start_of_audio end_of_audio"
+SQUARE = "INST /INST TOOL_CALLS /TOOL_CALLS TOOL_RESULTS /TOOL_RESULTS AVAILABLE_TOOLS /AVAILABLE_TOOLS SYSTEM_PROMPT /SYSTEM_PROMPT MODEL_SETTINGS /MODEL_SETTINGS IMG IMG_BREAK IMG_END TOOL_CONTENT ARGS"
+HEADINGS = "System User Human Assistant Instruction Input Response"
+#: What follows <, [ or # in one of them.
+REST = rf"\\*(?:[|｜]|(?:{ANGLE.replace(' ', '|')})>|</?SYS>>|(?:{SQUARE.replace(' ', '|')})\]|## (?:{HEADINGS.replace(' ', '|')}):)"
+ESCAPABLE, ESCAPED = rf"([<\[#])(?={REST})", rf"([<\[#])\\(?={REST})"
 _ESCAPED = regex.compile(ESCAPED)
 
 
@@ -121,7 +125,7 @@ def conversations(formatted: DataFrame) -> DataFrame:
 def read_back(formatted: DataFrame) -> DataFrame:
     """Digests of what the formatted turns say, a row for each conversation: conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars.
 
-    Turns come in order of turn, role and text (null first). The rows of a conversation are streamed through running digests.
+    Turns come in order of turn and role (null first), and those of one turn and role in order of their formatted text. The rows of a conversation are streamed through running digests.
     """
     names = ["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 

@@ -58,3 +58,12 @@ def test_parts(spark):
 
 def test_empty(turns):
     assert read_back(format_turns(turns.limit(0))).count() == 0
+
+
+@pytest.mark.parametrize("mark", ["<start_of_turn>", "<end_of_turn>", "<bos>", "<eos>", "[TOOL_CALLS]", "[/AVAILABLE_TOOLS]", "### Instruction:", "### Response:", "<｜begin▁of▁sentence｜>", "<|eot_id|>", "<<SYS>>", "</s>"])
+def test_marks_of_other_templates_are_escaped_reversibly(spark, mark):
+    texts = [mark, f"a {mark} b {mark}", mark[:1] + "\\" + mark[1:], mark[:1] + "\\\\" + mark[1:], mark[0] * 3 + mark, mark[1:], mark[0]]
+    turns = spark.createDataFrame([(k, 0, "assistant", t) for k, t in enumerate(texts)], "conv_id long, turn long, role string, text string")
+    for row in format_turns(turns).collect():
+        body = row.formatted[row.loss_start : row.loss_end]
+        assert mark not in body and unescape(body) == texts[row.conv_id]
