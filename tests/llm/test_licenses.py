@@ -3,7 +3,7 @@ import textwrap
 
 import pytest
 
-from jobweave.llm.licenses import LicenseParams, Scanner, common_words, differences, parsed, scan, words_of
+from jobweave.llm.licenses import LicenseParams, Scanner, common_words, differences, parsed, scan, tags, words_of
 
 ROOT = "/root/testdata/sf0.01"
 PLANTED = {"Apache-2.0": "Licensed under the Apache License, Version 2.0.", "MIT": "Released under the MIT License.", "GPL-3.0": "This work is licensed under the GNU General Public License, version 3.", "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0.", "Proprietary": "All rights reserved."}
@@ -34,7 +34,7 @@ def test_differences_against_the_plain_recurrence():
         assert common_words(a, places, len(b)) == common
 
 
-@pytest.mark.parametrize("template", parsed(LicenseParams().templates), ids=lambda t: t.license)
+@pytest.mark.parametrize("template", [t for own in [parsed(LicenseParams().templates)] for t in [*own, *tags(own)]], ids=lambda t: t.license)
 def test_every_template_finds_itself(template):
     found = [b for *_, b in Scanner(LicenseParams()).blocks(f"text\n\n{template.text}\n\nmore")]
     assert [b[0] for b in found] == [template.license] and not found[0][3] and not found[0][4]
@@ -63,7 +63,7 @@ def test_every_planted_line_is_found(spark):
     assert all(re.search(r"[a-z]", w) for w in words_of("Version 2.0")[:1])
 
 
-@pytest.mark.parametrize("template", parsed(LicenseParams().templates), ids=lambda t: t.license)
+@pytest.mark.parametrize("template", [t for own in [parsed(LicenseParams().templates)] for t in [*own, *tags(own)]], ids=lambda t: t.license)
 @pytest.mark.parametrize("prefix", ["", " * "])
 def test_every_template_is_found_wrapped(template, prefix):
     for width in (30, 80):
@@ -88,3 +88,20 @@ def test_shuffled_license_words_do_not_hold_a_task():
     found = list(scanner.blocks(f"{text}\n\n{notice}\n\n{text[:2000]}"))
     assert len(text) > 100_000 and time.process_time() - began < 60
     assert any(b[0] == "MIT" and words_of(notice)[:20] == words_of(f"{text}\n\n{notice}"[s:e])[:20] for s, e, b in found)
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("// SPDX-License-Identifier: MIT\nint main() {}", ["MIT"]),
+        ("/* SPDX-License-Identifier: GPL-2.0-only */", ["GPL-2.0"]),
+        ("# SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0"]),
+        ("SPDX-License-Identifier: CC-BY-NC-SA-4.0", ["CC-BY-NC-SA-4.0"]),
+        ("SPDX-License-Identifier: LicenseRef-Own", []),
+        ("License: GPLv2+", ["GPL-2.0"]),
+        ("This file is licensed under Apache 2.0.", ["Apache-2.0"]),
+        ("Distributed under the Boost Software License, Version 1.0.\n(See accompanying file)", ["BSL-1.0"]),
+    ],
+)
+def test_tags_and_short_forms(text, want):
+    assert [b[0] for *_, b in Scanner(LicenseParams()).blocks(f"code\n{text}\nmore code\n")] == want
