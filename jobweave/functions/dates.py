@@ -59,10 +59,18 @@ def followup_default(applied: Column, days: int = 7) -> Column:
     return applied + F.make_interval(days=F.lit(days))
 
 
+def shifted(start: Column, days: Column) -> Column:
+    return start + F.make_interval(days=days)
+
+
 def day_or_dash(c: Column) -> Column:
     return F.coalesce(F.date_format(c, "yyyy-MM-dd"), F.lit("—"))
 
 
+def moment_or_empty(c: Column) -> Column:
+    return F.coalesce(F.date_format(c, "yyyy-MM-dd HH:mm"), F.lit(""))
+
+
 def needs_check(checked: Column, now: Column, days: int = 30) -> Column:
     """Never checked, or so many days ago."""
     return F.coalesce(F.datediff(now, checked) >= days, F.lit(True))

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from itertools import groupby
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.operators.lineage import cut_lineage
@@ -139,10 +139,18 @@ def error_runs(rows: DataFrame, by: str, order: str, failed: Column, limit: int
 
 
 def error_islands(rows: DataFrame, by: str, order: str, failed: Column) -> DataFrame:
-    """by, island, n, first, last: every run of consecutive failures."""
-    window = Window.partitionBy(by).orderBy(order)
-    marked = rows.withColumn("_failed", failed).withColumn("island", F.sum(F.when(F.col("_failed"), 0).otherwise(1)).over(window))
-    return marked.where("_failed").groupBy(by, "island").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
+    """by, island, n, first, last: every run of consecutive failures. Its number is that of the successes before it: a failure's place among all rows less
+    its place among the failures. No task holds a key's rows."""
+    placed = numbered(rows.select(by, order, failed.alias("_failed")), [order], [by]).withColumnRenamed("place", "_all")
+    marked = numbered(placed.where("_failed"), [order], [by]).withColumn("island", F.col("_all") - F.col("place"))
+    return marked.groupBy(by, "island").agg(F.count("*").alias("n"), F.min(order).alias("first"), F.max(order).alias("last"))
+
+
+def asked_once(rows: DataFrame, by: str, order: list[str], item: str, known: DataFrame) -> DataFrame:
+    """by, items: each item of a request once, in order of its first place; items that known (item) lacks are dropped. Items are folded before lists are made."""
+    first = rows.join(known.select(item).distinct(), item, "left_semi").groupBy(by, item).agg(F.min(F.struct(*order)).alias("_first"))
+    listed = F.sort_array(F.collect_list(F.struct("_first", item)))
+    return first.groupBy(by).agg(F.transform(listed, lambda x: x[item]).alias("items"))
 
 
 def matched(asked: DataFrame, answers: DataFrame, key: str, position: str) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from jobweave.functions.dates import followup_default
+from jobweave.functions.dates import followup_default, shifted
 
 #: Statuses that a new draft leaves as they are.
 BEYOND_DRAFT = ["applied", "screening", "interviewing", "rejected"]
@@ -138,6 +138,15 @@ def patched(applications: DataFrame, changes: DataFrame, now: Column) -> DataFra
     return joined.withColumns(values).select(*applications.columns)
 
 
+def followed_up(applications: DataFrame, actions: DataFrame, now: Column, week: int = 7) -> DataFrame:
+    """applications after actions (job_id, action, days, at): a snooze moves the follow-up days on (null or 0: a week), a contact is noted and moves it a
+    week on. Of several actions of a job the last (by at) moves it, and any contact is noted. Other actions do nothing."""
+    wait = F.when(F.col("action") == "snooze", F.coalesce(F.nullif("days", F.lit(0)), F.lit(week))).otherwise(week).cast("int")
+    known = actions.where(F.col("action").isin("snooze", "contacted")).withColumn("_wait", wait)
+    last = known.groupBy("job_id").agg(F.max(F.struct("at", "_wait")).alias("_last"), F.bool_or(F.col("action") == "contacted").alias("_met"))
+    return patched(applications, last.select("job_id", F.when(F.col("_met"), now).alias("last_contact_at"), shifted(now, F.col("_last._wait")).alias("next_followup_at")), now)
+
+
 def with_score(log: DataFrame, scores: DataFrame, active_resume: int | None) -> DataFrame:
     """The log with new scores (job_id, score, kind, at) appended: a baseline score carries the active resume, a tailored one none."""
     resume = F.when(F.col("kind") == "baseline", F.lit(active_resume)).cast("long")

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from jobweave.functions import dates
 from jobweave.operators import batching, boards, profile, state
 from jobweave.plans.binding import JOBS, NOW, POSTINGS, jobs, one_of, postings, sql_one_of, table
 from jobweave.plans.registry import query
@@ -177,9 +178,29 @@ def batch_match(spark, sf_dir):
 )
 def ordered_dedupe_ids(spark, sf_dir):
     known = table(spark, sf_dir, "part").where("p_size < 40").select(F.col("p_partkey").alias("l_partkey"))
-    lines = table(spark, sf_dir, "lineitem").join(known, "l_partkey", "left_semi")
-    ids = F.transform(F.sort_array(F.collect_list(F.struct("l_linenumber", "l_partkey"))), lambda x: x["l_partkey"].cast("string"))
-    return lines.groupBy("l_orderkey").agg(F.array_join(F.array_distinct(ids), ",").alias("parts"))
+    asked = batching.asked_once(table(spark, sf_dir, "lineitem"), "l_orderkey", ["l_linenumber", "l_partkey"], "l_partkey", known)
+    return asked.select("l_orderkey", F.array_join(F.transform("items", lambda x: x.cast("string")), ",").alias("parts"))
+
+
+@query(
+    f"""WITH acts AS (SELECT user_id, event_id, event_type = 'view' AS snooze, (floor(value)::INTEGER % 5 + 5) % 5 AS days FROM events WHERE event_type <> 'error'),
+    last AS (SELECT user_id, arg_max(CASE WHEN snooze AND days <> 0 THEN days ELSE 7 END, event_id)::INTEGER AS wait, bool_or(NOT snooze) AS met FROM acts GROUP BY user_id)
+    SELECT id, CASE WHEN met THEN DATE '{TODAY}' END AS last_contact_at, DATE '{TODAY}' + wait AS next_followup_at FROM ({JOBS}) LEFT JOIN last ON id = user_id WHERE status IS NOT NULL"""
+)
+def followup_actions(spark, sf_dir):
+    """Snoozed and contacted applications; events that are neither do nothing."""
+    kind = F.when(F.col("event_type") == "view", "snooze").when(F.col("event_type") != "error", "contacted").otherwise("opened")
+    actions = table(spark, sf_dir, "events").select(F.col("user_id").alias("job_id"), kind.alias("action"), F.pmod(F.floor("value").cast("int"), F.lit(5)).alias("days"), F.col("event_id").alias("at"))
+    none = F.lit(None).cast("timestamp")
+    apps = jobs(spark, sf_dir).where("status is not null").select(F.col("id").alias("job_id"), none.alias("last_contact_at"), none.alias("next_followup_at"), none.alias("updated_at"))
+    out = state.followed_up(apps, actions, F.lit(TODAY).cast("timestamp"))
+    return out.select(F.col("job_id").alias("id"), F.col("last_contact_at").cast("date").alias("last_contact_at"), F.col("next_followup_at").cast("date").alias("next_followup_at"))
+
+
+@query("SELECT event_id, CASE WHEN event_type = 'error' THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M') END AS shown, CASE WHEN event_type = 'error' THEN '—' ELSE strftime(ts, '%Y-%m-%d') END AS day FROM events")
+def shown_moments(spark, sf_dir):
+    at = F.when(F.col("event_type") != "error", F.col("ts"))
+    return table(spark, sf_dir, "events").select("event_id", dates.moment_or_empty(at).alias("shown"), dates.day_or_dash(at).alias("day"))
 
 
 @query(

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from jobweave.functions.schema import problems
-from jobweave.operators import dedupe
+from jobweave.operators import batching, dedupe, state
 from jobweave.operators.changelog import ChangeLog
 from jobweave.operators.components import components
 from jobweave.operators.search_index import SearchIndex, listed
@@ -193,3 +193,33 @@ def test_structured_answers_ask_once_more(spark, tmp_path):
     said = open(calls).read().splitlines()
     assert len(said) == 4 and any(s.startswith("never||IMPORTANT") and s.endswith("$.results: is bigint, not array") for s in said)
     assert structured(spark.createDataFrame([], "id long, prompt string"), model, BATCH_SCORES).count() == 0
+
+
+def test_followups_move_by_the_last_action(spark):
+    import datetime as dt
+
+    now = dt.datetime(2026, 3, 1, 12)
+    day = lambda n: now + dt.timedelta(days=n)
+    apps = spark.createDataFrame([(k, None, day(-3), None) for k in range(1, 7)], "job_id long, last_contact_at timestamp, next_followup_at timestamp, updated_at timestamp")
+    actions = spark.createDataFrame(
+        [(1, "snooze", 3, 1), (2, "snooze", None, 1), (3, "snooze", 0, 1), (4, "contacted", 30, 1), (5, "contacted", None, 1), (5, "snooze", 2, 2), (6, "opened", 9, 1), (99, "snooze", 1, 1), (None, "snooze", 1, 1)],
+        "job_id long, action string, days int, at int",
+    )
+    got = {r.job_id: (r.last_contact_at, r.next_followup_at, r.updated_at) for r in state.followed_up(apps, actions, F.lit(now)).collect()}
+    assert got == {1: (None, day(3), now), 2: (None, day(7), now), 3: (None, day(7), now), 4: (now, day(7), now), 5: (now, day(2), now), 6: (None, day(-3), None)}
+
+
+def test_items_once_in_order_and_islands_of_one_key(spark):
+    rows = spark.createDataFrame([(1, 3, "c"), (1, 1, "a"), (1, 2, "c"), (1, 4, "x"), (1, 5, "a"), (2, 1, "x"), (None, 1, "b"), (1, 6, None)], "k int, o int, i string")
+    known = spark.createDataFrame([("a",), ("b",), ("c",), ("c",), (None,)], "i string")
+    assert {r.k: r["items"] for r in batching.asked_once(rows, "k", ["o"], "i", known).collect()} == {1: ["a", "c"], None: ["b"]}
+    failed = [k % 7 in (2, 3, 6) for k in range(500)]
+    rows = spark.createDataFrame([(7, k, f) for k, f in enumerate(failed)] + [(None, 0, True), (8, 0, False)], "k int, o int, f boolean").repartition(5)
+    want, run = set(), []
+    for k, f in enumerate([*failed, False]):
+        if f:
+            run.append(k)
+        elif run:
+            want.add((7, failed[:k].count(False), len(run), run[0], run[-1]))
+            run = []
+    assert {tuple(r) for r in batching.error_islands(rows, "k", "o", F.col("f")).collect()} == want | {(None, 0, 1, 0, 0)}
