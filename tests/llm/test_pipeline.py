@@ -8,7 +8,7 @@ from tokenizers import Tokenizer
 sys.path.insert(0, "/root/repo")
 
 import corpus_pipeline
-from jobweave.llm import pii, quality
+from jobweave.llm import pii, quality, queries
 from jobweave.llm.common import WordHasher
 from jobweave.llm.decontaminate import SEPARATORS, DecontaminateParams, align, item_words
 from jobweave.llm.queries import TOKENIZER, table
