@@ -6,6 +6,7 @@ import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -16,6 +17,7 @@ from jobweave.operators.lineage import cut_lineage
 from jobweave.operators.state import to_archive
 
 ANSWER = "id long, score int, rubric map<string,struct<points:int,note:string>>, reasoning string, error string, position int"
+COLUMNS = [c.split(" ")[0] for c in ANSWER.split(", ")]
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -23,10 +25,14 @@ def keyword_scorer(words: list[str]) -> Scorer:
     """A scorer without a model: the share of the words that a description holds, spread over the parts by weight."""
 
     def score(batch: pd.DataFrame) -> pd.DataFrame:
-        share = batch["description"].fillna("").str.lower().map(lambda t: sum(w in t for w in words) / max(1, len(words)))
-        rubric = [{k: {"points": int(w * s), "note": ""} for k, w in RUBRIC.items()} for s in share]
-        total = [sum(p["points"] for p in r.values()) for r in rubric]
-        return pd.DataFrame({"id": batch["id"], "score": total, "rubric": rubric, "reasoning": "words", "error": None, "position": range(len(batch))})
+        texts = [t.lower() if isinstance(t, str) else "" for t in batch["description"].tolist()]
+        share = [sum(w in t for w in words) / max(1, len(words)) for t in texts]
+        rows = []
+        for place, (job, part) in enumerate(zip(batch["id"].tolist(), share)):
+            rubric = {k: {"points": int(w * part), "note": ""} for k, w in RUBRIC.items()}
+            rows.append((job, sum(p["points"] for p in rubric.values()), rubric, "words", None, place))
+        # One block of objects: a frame of columns takes longer to make than a job to score.
+        return pd.DataFrame(np.array(rows, dtype=object).reshape(-1, len(COLUMNS)), columns=COLUMNS)
 
     return score
 
@@ -75,13 +81,12 @@ class Caller:
     def tripped(self) -> bool:
         return self.armed and not self.scored and self.streak.last >= self.most_errors
 
-    def tried(self, group: pd.DataFrame) -> tuple[pd.DataFrame | None, str | None, bool]:
-        """The usable answers to a group; or why there are none, and whether the provider is at fault. Only what the scorer made of an answer is tried again."""
+    def tried(self, ids: list, jobs: pd.DataFrame) -> tuple[list[tuple] | None, str | None, bool]:
+        """The usable answers (ANSWER) to jobs (id, description); or why there are none, and whether the provider is at fault. Only what the scorer made of an answer is tried again."""
         error = None
         for _ in range(self.attempts):
             try:
-                answer = self.scorer(group[["id", "description"]])
-                return answer[answer["id"].isin(group["id"]) & answer["error"].isna() & answer["score"].between(0, 100)], None, False
+                return usable(self.scorer(jobs), ids), None, False
             except Exception as e:  # noqa: BLE001  a scorer may fail in any way
                 error = str(e)[:400]
                 if re.search(USAGE_LIMIT, error):
@@ -91,88 +96,119 @@ class Caller:
                     return None, error, True
         return None, error, False
 
-    def __call__(self, group: pd.DataFrame) -> pd.DataFrame:
+    def __call__(self, ids: list, jobs: pd.DataFrame) -> list[tuple]:
         """Answers, failures with their error; jobs that were not called for are left out."""
-        answer, error, provider = self.tried(group)
-        out, missing = [], group
-        if answer is not None and len(answer):
-            out, missing = [answer], group[~group["id"].isin(answer["id"])]
+        answer, error, provider = self.tried(ids, jobs)
+        out = list(answer or [])
+        had = {a[0] for a in out}
+        if out:
             self.scored = True
             self.streak.add(False)
-        for _, job in missing.groupby("id", sort=False):
+        for k, job in enumerate(ids):
+            if job in had:
+                continue
             if self.limit:
                 out.append(failed(job, self.limit))
                 continue
             if self.tripped:
                 break
-            if len(group) > 1:
-                answer, error, provider = self.tried(job)
-            if answer is not None and len(answer):
+            if len(ids) > 1:
+                answer, error, provider = self.tried([job], jobs.iloc[k : k + 1])
+            if answer:
                 self.scored = True
-                out.append(answer)
+                out += answer
             else:
                 out.append(failed(job, error or "no usable answer"))
             self.streak.add(provider and error is not None)
-        return pd.concat(out) if out else failed(group.iloc[:0], "")
+        return out
+
+
+def usable(answer: pd.DataFrame, ids: list) -> list[tuple]:
+    """Rows (ANSWER) of what was asked for, without an error and with a score. Plain values: a call costs little more than its scorer, as there may be one for each job."""
+    asked, out = set(ids), []
+    rows = (answer if answer.columns.tolist() == COLUMNS else answer[COLUMNS]).to_numpy(dtype=object).tolist()
+    for job, score, rubric, reasoning, error, position in rows:
+        if job in asked and missing(error) and not missing(score) and 0 <= score <= 100:
+            # Whole numbers stay so where others are missing.
+            out.append((job, int(score) if score == int(score) else score, rubric, reasoning, None, position))
+    return out
+
+
+def missing(value) -> bool:
+    return value is None or value is pd.NA or value != value
 
 
-def failed(group: pd.DataFrame, error: str) -> pd.DataFrame:
-    return pd.DataFrame({"id": group["id"], "score": None, "rubric": None, "reasoning": None, "error": error, "position": 0})
+def failed(job, error: str) -> tuple:
+    return (job, None, None, None, error, 0)
 
 
 TOLD = "lane int, batch long, upto long, scored boolean, usage string, first int, last int, longest int, whole boolean"
 
 
-def called(rows: DataFrame, scorer: Scorer, attempts: int, most_errors: int, armed: bool, streak: Streak | None) -> DataFrame:
+#: Rows that a task hands on at once.
+HANDED = 2_000
+
+
+def called(rows: DataFrame, scorer: Scorer, lanes: int, attempts: int, most_errors: int, armed: bool, streak: Streak | None) -> DataFrame:
     """ANSWER and `told` (TOLD): answers to rows, and behind those of each lane how far it came (batch, and id within it) and what it met.
 
     With a streak, all lanes are one stretch in one task, which goes on from the streak and ends as soon as anything is scored or the breaker trips. Without one, lanes are
-    stretches of their own. rows: lane, batch, id, description.
+    stretches of their own, each in a task of its own. rows: lane, batch, id, description.
     """
     alone = streak is not None
-    ordered = (rows.coalesce(1) if alone else rows.repartition("lane")).sortWithinPartitions("lane", "batch", "id")
+    ordered = (rows.coalesce(1) if alone else rows.repartitionById(lanes, F.col("lane"))).sortWithinPartitions("lane", "batch", "id")
+
+    def batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, list, pd.DataFrame]]:
+        """lane, batch, ids, jobs: the last batch of a part may go on in the next."""
+        held = None
+        for part in parts:
+            part = part if held is None else pd.concat([held, part])
+            lane, batch, ids, jobs = part["lane"].tolist(), part["batch"].tolist(), part["id"].tolist(), part[["id", "description"]]
+            begin = 0
+            for k in range(1, len(ids)):
+                if batch[k] != batch[begin] or lane[k] != lane[begin]:
+                    yield lane[begin], batch[begin], ids[begin:k], jobs.iloc[begin:k]
+                    begin = k
+            held = part.iloc[begin:]
+        if held is not None and len(held):
+            yield int(held["lane"].iloc[0]), int(held["batch"].iloc[0]), held["id"].tolist(), held[["id", "description"]]
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        caller, lane, told, held = None, None, (-1, -1), None
+        caller, lane, place, out = None, None, (-1, -1), []
 
-        def closed() -> pd.DataFrame:
-            end = failed(pd.DataFrame({"id": [None]}), "")
+        def closed() -> tuple:
             s = caller.streak
-            end["told"] = [{"lane": lane, "batch": told[0], "upto": told[1], "scored": caller.scored, "usage": caller.limit, "first": s.first, "last": s.last, "longest": s.longest, "whole": s.whole}]
-            return end
+            return (*failed(None, ""), {"lane": lane, "batch": place[0], "upto": place[1], "scored": caller.scored, "usage": caller.limit, "first": s.first, "last": s.last, "longest": s.longest, "whole": s.whole})
 
-        def answers(group: pd.DataFrame) -> Iterator[pd.DataFrame]:
-            nonlocal caller, lane, told
+        for own, batch, ids, jobs in batches(parts):
             over = caller is not None and (caller.limit is not None or caller.tripped or (alone and caller.scored))
-            if over and (alone or group["lane"].iloc[0] == lane):
-                return
-            if group["lane"].iloc[0] != lane:
+            if over and (alone or own == lane):
+                continue
+            if own != lane:
                 if caller is not None:
-                    yield closed()
-                lane, told = int(group["lane"].iloc[0]), (-1, -1)
+                    out.append(closed())
+                lane, place = own, (-1, -1)
                 caller = Caller(scorer, attempts, most_errors, armed, (caller.streak if caller else streak) if alone else None)
-            out = caller(group)
-            if len(out):
+            got = caller(ids, jobs)
+            if got:
                 # Jobs are left out only where nothing was scored, so those that were called come first.
-                told = int(group["batch"].iloc[0]), int(out["id"].max())
-                out["told"] = None
-                yield out
-
-        for part in parts:
-            part = part if held is None else pd.concat([held, part])
-            keys = list(zip(part["lane"], part["batch"]))
-            open_ = [k == keys[-1] for k in keys] if keys else []
-            held = part[open_]
-            for _, group in part[[not o for o in open_]].groupby(["lane", "batch"], sort=False):
-                yield from answers(group)
-        if held is not None and len(held):
-            yield from answers(held)
-        if lane is not None:
-            yield closed()
+                place = batch, max(a[0] for a in got)
+                out += [(*a, None) for a in got]
+            if len(out) >= HANDED:
+                yield handed(out)
+                out = []
+        if caller is not None:
+            out.append(closed())
+        if out:
+            yield handed(out)
 
     return cut_lineage(ordered.mapInPandas(run, f"{ANSWER}, told struct<{', '.join(c.replace(' ', ':', 1) for c in TOLD.split(', '))}>"))
 
 
+def handed(rows: list[tuple]) -> pd.DataFrame:
+    return pd.DataFrame({c: pd.Series(v, dtype=object) for c, v in zip([*COLUMNS, "told"], zip(*rows))})
+
+
 def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int = 2, most_errors: int = 3) -> DataFrame:
     """Answers (ANSWER) for postings (id, ingested_at, description), ids unique.
 
@@ -186,7 +222,7 @@ def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int =
     batches = packed(sized.select("lane", "id", "size"), "lane", "id", "size")
     rows = cut_lineage(sized.join(batches.select("id", "batch"), "id").select("lane", "batch", "id", "description"))
     last = rows.agg(F.max("batch").alias("b")).first()["b"]
-    answer = [c.split(" ")[0] for c in ANSWER.split(", ")]
+    answer = COLUMNS
     out, done, streak, armed, upto = [], {}, Streak(), True, 1
     stop = None
 
@@ -200,7 +236,7 @@ def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int =
 
     while last is not None:
         alone = armed and not out
-        part = called(left().where(F.col("batch") < upto), scorer, attempts, most_errors, armed, Streak() if alone else None)
+        part = called(left().where(F.col("batch") < upto), scorer, lanes, attempts, most_errors, armed, Streak() if alone else None)
         out.append(part.where("told is null").select(*answer))
         told = sorted((r["told"] for r in part.where("told is not null").select("told").collect()), key=lambda t: t["lane"])
         done |= {t["lane"]: (t["batch"], t["upto"]) for t in told if t["batch"] >= 0}
@@ -224,7 +260,8 @@ def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int =
     total = out[0]
     for more in out[1:]:
         total = total.unionByName(more)
-    return total
+    # Epochs by lanes are many small partitions.
+    return total.coalesce(lanes)
 
 
 def results(pending: DataFrame, answers: DataFrame, status: Column | None = None) -> DataFrame:

@@ -423,6 +423,34 @@ def test_other_failures_break_a_streak(spark, tmp_path):
     assert all(out[i] == "odd" for i in range(20)) and [out[i] for i in (20, 21, 22)] == ["timeout"] * 3 and all("in a row" in out[i] for i in range(23, 40))
 
 
+def test_calls_for_single_jobs_make_no_tables(monkeypatch):
+    """A job that is called for alone costs little more than its scorer: what comes back is plain rows, handed on together."""
+    import pandas as pd
+
+    def refused(*_, **__):
+        raise AssertionError("a table for each job")
+
+    plain, jobs = scoring.keyword_scorer(["react"]), pd.DataFrame({"id": range(24), "description": ["react", None, "bad"] * 8})
+
+    def touchy(batch):
+        if any(t == "bad" for t in batch["description"].tolist()):
+            raise RuntimeError("refused")
+        return plain(batch)
+
+    monkeypatch.setattr(pd, "concat", refused)
+    monkeypatch.setattr(pd.DataFrame, "groupby", refused)
+    got = scoring.Caller(touchy, 2, 3, True)(jobs["id"].tolist(), jobs)
+    assert [(r[0], r[1], r[4]) for r in got] == [(k, (100, 0, None)[k % 3], "refused" if k % 3 == 2 else None) for k in range(24)]
+    odd = pd.DataFrame({"id": [1, 2, 3, 9], "score": [50.0, None, 101, 7], "rubric": None, "reasoning": "", "error": [None, None, None, None], "position": range(4)})
+    assert scoring.usable(odd, [1, 2, 3]) == [(1, 50, None, "", None, 0)]
+
+
+def test_answers_of_many_epochs_are_few_partitions(spark):
+    rows = spark.createDataFrame([(k, "react") for k in range(900)], "id long, description string")
+    out = scoring.scored(rows, scoring.keyword_scorer(["react"]), lanes=4)
+    assert out.rdd.getNumPartitions() <= 4 and out.where("score = 100").count() == 900
+
+
 def test_streaks_join(spark):
     rng = random.Random(3)
     for _ in range(300):
