@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
 from jobweave.functions.hashes import NEAR, halves
 from jobweave.operators.components import components
-from jobweave.operators.lineage import cut_lineage
+from jobweave.operators.lineage import cut_lineage, shared_folder
+from jobweave.operators.numbering import numbered
 
 
 def first_wins(rows: DataFrame, keys: list[str], order: str, known: dict[str, DataFrame] | None = None, rounds: int = 6, most: int = 200_000) -> DataFrame:
@@ -20,8 +23,9 @@ def first_wins(rows: DataFrame, keys: list[str], order: str, known: dict[str, Da
     A row that is not accepted blocks nobody, so no single ranking gives this. Each round accepts the undecided rows that come first
     under all of their keys (no undecided row can overtake them) and removes those that share a key with them. A null key is shared with none. Only keys and order are shuffled.
 
-    A chain of rows that unblock one another takes a round for each two of its rows. What is undecided after `rounds` is therefore cut into components of rows that
-    keys lead to one another, and components of at most `most` rows are decided at once, each by one pass in order; only larger ones go on by rounds.
+    A chain of rows that unblock one another takes a round for each two of its rows. What is undecided after `rounds` is therefore passed over in order, in stretches of at
+    most `most` rows (`by_stretches`). Where that would be more than STRETCHES, rows are cut into components of rows that keys lead to one another before, and components
+    of at most `most` rows are decided side by side; only larger ones go by stretches.
     """
     slim = rows.select(order, *keys)
     for key, old in (known or {}).items():
@@ -29,9 +33,12 @@ def first_wins(rows: DataFrame, keys: list[str], order: str, known: dict[str, Da
         slim = slim.join(taken, slim[key] == taken["_old"], "left_anti")
     undecided, accepted, done = cut_lineage(slim), None, 0
     while not undecided.isEmpty():
-        if done and done % rounds == 0:
-            won, undecided = by_component(undecided, keys, order, most)
-            accepted = won if accepted is None else accepted.unionByName(won)
+        if done == rounds:
+            if undecided.count() > STRETCHES * most:
+                won, undecided = by_component(undecided, keys, order, most)
+                accepted = accepted.unionByName(won)
+            accepted = accepted.unionByName(by_stretches(undecided, keys, order, most))
+            break
         done += 1
         low = undecided
         for key in keys:
@@ -50,22 +57,57 @@ def first_wins(rows: DataFrame, keys: list[str], order: str, known: dict[str, Da
     return rows.join(accepted.select(order), order) if accepted is not None else rows.limit(0)
 
 
-def by_component(rows: DataFrame, keys: list[str], order: str, most: int) -> tuple[DataFrame, DataFrame]:
-    """Of rows (order, keys) those accepted by a pass over each component of at most `most` rows, and the rows of larger components, undecided."""
-    edges = None
-    for key in keys:
-        # A star for each key: its first row with each other one.
-        least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("src"))
-        star = rows.join(least, key).select("src", F.col(order).alias("dst"))
-        edges = star if edges is None else edges.unionByName(star)
-    homes = components(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")))
-    placed = rows.join(homes.withColumnRenamed("id", "_id"), rows[order] == F.col("_id"), "left").select(order, *keys, F.coalesce("component", F.col(order).cast("long")).alias("_home"))
-    sizes = placed.groupBy("_home").agg(F.count("*").alias("_n"))
-    placed = cut_lineage(placed.join(sizes, "_home"))
+#: Stretches that are passed over one after another before it pays to look for components.
+STRETCHES = 64
+
+
+def by_stretches(rows: DataFrame, keys: list[str], order: str, most: int) -> DataFrame:
+    """Of rows (order, keys) those accepted by a pass in order, stretch by stretch: what each decides needs the ones before it, so no more than `most` rows are in a task at once.
+
+    A taken key is handed on, as a file of the next stretch that holds it, so each stretch reads its own rows and what was handed to it, and all steps together read each key as often
+    as it occurs.
+    """
+    if rows.count() <= most:
+        return cut_lineage(one_pass(rows.withColumn("_home", F.lit(0).cast("long")).coalesce(1), keys, order))
+    spark = rows.sparkSession
+    folder = f"{shared_folder(spark)}/stretches-{uuid.uuid4().hex}"
+    placed = numbered(rows.select(order, *keys), [order]).withColumn("_home", F.floor(F.col("place") / most).cast("long")).drop("place")
+    placed.repartition("_home").write.partitionBy("_home").parquet(f"{folder}/rows")
+    kinds, own = dict(rows.dtypes), StructType([rows.schema[c] for c in (order, *keys)])
+    # Each key with the stretches that hold it, and the next one behind each: a row for each stretch, so a key of many rows is short.
+    held = spark.read.schema(StructType([*own, StructField("_home", LongType())])).parquet(f"{folder}/rows")
+    values = lambda df, k: df.where(F.col(keys[k]).isNotNull()).select(F.lit(k).alias("_key"), *[F.col(c) if c == keys[k] else F.lit(None).cast(kinds[c]).alias(c) for c in keys], *[c for c in ("_home",) if c in df.columns])
+    places = values(held, 0)
+    for k in range(1, len(keys)):
+        places = places.unionByName(values(held, k))
+    onward = Window.partitionBy("_key", *keys).orderBy("_home")
+    places.distinct().withColumn("_next", F.lead("_home").over(onward)).where("_next is not null").repartition("_home").write.partitionBy("_home").parquet(f"{folder}/next")
+    following = spark.read.schema(StructType([StructField("_key", IntegerType()), *own.fields[1:], StructField("_next", LongType()), StructField("_home", LongType())])).parquet(f"{folder}/next")
+    handed = StructType([StructField("_key", IntegerType()), *own.fields[1:], StructField("_next", LongType())])
+    spark.createDataFrame([], handed).write.partitionBy("_next").parquet(f"{folder}/taken")
+    for home in range(held.agg(F.max("_home")).first()[0] + 1):
+        left = held.where(F.col("_home") == home).select(order, *keys)
+        taken = spark.read.schema(handed).parquet(f"{folder}/taken").where(F.col("_next") == home).drop("_next")
+        for k, key in enumerate(keys):
+            left = left.join(taken.where(F.col("_key") == k).select(F.col(key).alias("_old")).distinct(), F.col(key) == F.col("_old"), "left_anti")
+        one_pass(left.withColumn("_home", F.lit(home).cast("long")).coalesce(1), keys, order).write.parquet(f"{folder}/won/_home={home}")
+        won = spark.read.schema(own).parquet(f"{folder}/won/_home={home}")
+        for k in range(len(keys)):
+            taken = taken.unionByName(values(won, k))
+        same = F.lit(True)
+        new = taken.distinct().select(*[F.col(c).alias(f"_{c}_") for c in ("_key", *keys)])
+        for c in ("_key", *keys):
+            same = same & F.col(c).eqNullSafe(F.col(f"_{c}_"))
+        following.where(F.col("_home") == home).join(new, same, "left_semi").select("_key", *keys, "_next").coalesce(1).write.mode("append").partitionBy("_next").parquet(f"{folder}/taken")
+    return spark.read.schema(own).parquet(f"{folder}/won").select(order, *keys)
+
+
+def one_pass(rows: DataFrame, keys: list[str], order: str) -> DataFrame:
+    """Of rows (_home, order, keys), each home's whole in a partition, those that a pass over it accepts."""
     kinds = dict(rows.dtypes)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """A component's rows come in order; what is held are the keys that it has taken so far."""
+        """A home's rows come in order; what is held are the keys that it has taken so far."""
         home, taken = None, set()
         for batch in batches:
             kept = []
@@ -78,8 +120,23 @@ def by_component(rows: DataFrame, keys: list[str], order: str, most: int) -> tup
                     taken |= own
             yield batch[kept][[order, *keys]]
 
-    small = placed.where(F.col("_n") <= most).select("_home", order, *keys).repartition("_home").sortWithinPartitions("_home", order)
-    won = cut_lineage(small.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [order, *keys])))
+    ordered = rows.select("_home", order, *keys).sortWithinPartitions("_home", order)
+    return ordered.mapInPandas(run, ", ".join(f"`{c}` {kinds[c]}" for c in [order, *keys]))
+
+
+def by_component(rows: DataFrame, keys: list[str], order: str, most: int) -> tuple[DataFrame, DataFrame]:
+    """Of rows (order, keys) those accepted by a pass over each component of at most `most` rows, and the rows of larger components, undecided."""
+    edges = None
+    for key in keys:
+        # A star for each key: its first row with each other one.
+        least = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("src"))
+        star = rows.join(least, key).select("src", F.col(order).alias("dst"))
+        edges = star if edges is None else edges.unionByName(star)
+    homes = components(edges.select(F.col("src").cast("long"), F.col("dst").cast("long")))
+    placed = rows.join(homes.withColumnRenamed("id", "_id"), rows[order] == F.col("_id"), "left").select(order, *keys, F.coalesce("component", F.col(order).cast("long")).alias("_home"))
+    sizes = placed.groupBy("_home").agg(F.count("*").alias("_n"))
+    placed = cut_lineage(placed.join(sizes, "_home"))
+    won = cut_lineage(one_pass(placed.where(F.col("_n") <= most).repartition("_home"), keys, order))
     return won, cut_lineage(placed.where(F.col("_n") > most).select(order, *keys))
 
 

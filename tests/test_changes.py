@@ -223,3 +223,13 @@ def test_items_once_in_order_and_islands_of_one_key(spark):
             want.add((7, failed[:k].count(False), len(run), run[0], run[-1]))
             run = []
     assert {tuple(r) for r in batching.error_islands(rows, "k", "o", F.col("f")).collect()} == want | {(None, 0, 1, 0, 0)}
+
+
+def test_a_chain_longer_than_a_task_may_hold_goes_by_stretches(spark, monkeypatch):
+    n, cuts = 900, []
+    cut = dedupe.cut_lineage
+    monkeypatch.setattr(dedupe, "cut_lineage", lambda df: cuts.append(1) or cut(df))
+    chain = [(k, f"a{k // 2}", f"b{(k + 1) // 2}") for k in range(n)] + [(n + k, None, "b0") for k in range(3)]
+    df = spark.createDataFrame(chain, "o long, a string, b string")
+    assert sorted(r.o for r in dedupe.first_wins(df, ["a", "b"], "o", rounds=1, most=200).collect()) == greedy(chain)
+    assert len(cuts) < 8  # by rounds some 900
