@@ -140,7 +140,10 @@ def pending_page(rows: DataFrame, order: list[Column], limit: int = 25) -> DataF
 def with_canonical(rows: DataFrame, columns: list[str]) -> DataFrame:
     """rows with canonical: those columns of the posting that a duplicate points to, null for others."""
     target = rows.select(F.col("id").alias("_canonical"), F.struct("id", *columns).alias("canonical"))
-    return rows.join(target, rows["duplicate_of"] == target["_canonical"], "left").drop("_canonical")
+    # Rows that point nowhere are most, and would all meet in the partition of null.
+    pointing = rows.where(F.col("duplicate_of").isNotNull())
+    found = pointing.join(target, pointing["duplicate_of"] == target["_canonical"], "left").drop("_canonical")
+    return found.unionByName(rows.where(F.col("duplicate_of").isNull()).withColumn("canonical", F.lit(None).cast(found.schema["canonical"].dataType)))
 
 
 def top_matches(rows: DataFrame, n: int = 6) -> DataFrame:
