@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from jobweave.functions.text import banned_in, exfil_in, rendered, untrusted
-from jobweave.operators.lineage import cut_lineage
+from jobweave.operators.lineage import cut_lineage, dealt
 from jobweave.operators.state import drafted
 from jobweave.sources.sinks import drafts
 
@@ -56,7 +56,7 @@ def written(asked: DataFrame, writer: Writer, attempts: int = 2) -> DataFrame:
 
 def generated(jobs: DataFrame, applications: DataFrame, template: str, writer: Writer, nonce: str) -> Drafted:
     """Drafts of both kinds for jobs, cleaned; a job with both gets an application in the status drafted, unless it is further on (applications: job_id, status)."""
-    answers = cut_lineage(written(prompts(jobs, template, nonce), writer))
+    answers = cut_lineage(written(prompts(dealt(jobs, "id"), template, nonce), writer))
     clean = drafts(answers.where("markdown is not null"))
     clean = clean.where((F.size(banned_in(F.col("markdown"))) == 0) & (F.size(exfil_in(F.col("markdown"))) == 0))
     whole = clean.groupBy("job_id").agg(F.count_distinct("kind").alias("n")).where(F.col("n") == len(KINDS)).select(F.col("job_id").alias("_job"))

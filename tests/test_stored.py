@@ -204,3 +204,29 @@ def test_error_runs_and_keepers_of_one_key(spark):
     rows = [("x", k, k < 3) for k in range(6)] + [("y", 10 + k, True) for k in range(3)] + [(None, 20, False), (None, 21, False)]
     got = {r.o: (r.keeper, r.archive) for r in dedupe.keepers(spark.createDataFrame(rows, "g string, o long, archived boolean"), ["g"], "archived", "o").collect()}
     assert {o for o, (k, _) in got.items() if k} == {3, 10, 20} and {o for o, (_, a) in got.items() if a} == {4, 5, 21}
+
+
+def test_rows_that_point_nowhere_do_not_meet(spark):
+    from jobweave.operators import listing
+
+    rows = spark.createDataFrame([(k, f"t{k}", 3 if k % 50 == 7 else 5000 if k == 9 else None) for k in range(1000)], "id long, title string, duplicate_of long").repartition(4, "id")
+    for name, value in (("spark.sql.adaptive.enabled", "false"), ("spark.sql.autoBroadcastJoinThreshold", "-1")):
+        spark.conf.set(name, value)
+    try:
+        out = listing.with_canonical(rows, ["title"])
+        sizes = [len(p) for p in out.rdd.glom().collect()]
+        got = {r.id: (r.canonical.title if r.canonical else None) for r in out.collect()}
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {k: "t3" if k % 50 == 7 else None for k in range(1000)} and max(sizes) < 500
+
+
+def test_prompts_are_dealt_to_many_tasks(spark):
+    from jobweave.plans import drafting
+
+    jobs = spark.createDataFrame([(k, "t", "c", "d") for k in range(200)], "id long, title string, company_name string, description string").coalesce(1)
+    apps = spark.createDataFrame([], "job_id long, status string")
+    out = drafting.generated(jobs, apps, "{{title}}", lambda kind, prompt: f"{kind} {prompt}", "n")
+    sizes = [len(p) for p in out.drafts.rdd.glom().collect()]
+    assert sum(sizes) == 400 and max(sizes) < 200 and out.applications.where("status = 'drafted'").count() == 200
