@@ -2,10 +2,10 @@
 
 import uuid
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from jobweave.operators.lineage import shared_folder
+from jobweave.operators.lineage import cut_lineage, shared_folder
+from jobweave.operators.numbering import numbered
 from jobweave.plans.binding import POSTINGS, sql_one_of, table
 from jobweave.plans.queries_sources import DEEP, deep_items
 from jobweave.plans.queries_text import USED, made_items
@@ -13,7 +13,7 @@ from jobweave.plans.registry import query
 from jobweave.sources import landing, normalise, paging
 from jobweave.sources.readers import REGISTRY, items
 
-LANDED = "jobweave.sources.paging:landed_page"
+LANDED = "jobweave.sources.paging:landed_row"
 
 
 def folder(spark, name):
@@ -23,15 +23,16 @@ def folder(spark, name):
 def boards(spark, sf_dir, limit):
     """slug, place, page and a row's item: customers as the postings of five boards."""
     rows = table(spark, sf_dir, "customer").select(F.concat(F.lit("b"), F.pmod("c_custkey", F.lit(5)).cast("string")).alias("slug"), F.col("c_custkey").alias("id"), F.col("c_name").alias("name"))
-    place = F.row_number().over(Window.partitionBy("slug").orderBy("id")) - 1
-    rows = rows.withColumn("place", place).withColumn("page", F.floor(F.col("place") / limit))
+    rows = numbered(rows, ["id"], ["slug"]).withColumn("page", F.floor(F.col("place") / limit))
     return rows.groupBy("slug", "page").agg(F.sort_array(F.collect_list(F.struct("place", "id", "name"))).alias("own"), F.count("*").alias("n"))
 
 
 def laid(spark, pages, name):
-    """Pages (slug, key, payload) written as files, and the slugs by which they are asked for."""
+    """Pages (slug, key, payload) written in order into a fixed number of files, and the slugs by which they are asked for."""
     path = folder(spark, name)
-    pages.select("slug", "key", "payload").write.partitionBy("slug", "key").text(path)
+    bucket = F.pmod(F.crc32(F.encode(F.concat_ws("\n", "slug", "key"), "UTF-8")), F.lit(paging.BUCKETS)).cast("int")
+    rows = pages.select("slug", F.col("key").cast("string").alias("key"), "payload", bucket.alias("bucket")).repartition(paging.BUCKETS, "bucket")
+    rows.sortWithinPartitions("bucket", "slug", "key").write.partitionBy("bucket").parquet(path)
     return [f"{path}|b{k}" for k in range(5)]
 
 
@@ -57,8 +58,9 @@ def paged_tokens(spark, sf_dir):
     """Boards of which each answer names the next page, read as a stream, one page of each to a micro-batch."""
     limit, plan = 40, paging.PAGING["workable"]
     own = F.transform("own", lambda r: F.struct(r["id"].cast("string").alias("shortcode"), r["name"].alias("title")))
-    more = F.lead("page").over(Window.partitionBy("slug").orderBy("page"))
-    made = boards(spark, sf_dir, limit).withColumn("next", F.concat(F.lit("t"), more.cast("string")))
+    made = cut_lineage(boards(spark, sf_dir, limit))
+    last = made.groupBy("slug").agg(F.max("page").alias("last"))
+    made = made.join(last, "slug").withColumn("next", F.when(F.col("page") < F.col("last"), F.concat(F.lit("t"), (F.col("page") + 1).cast("string"))))
     made = made.select("slug", F.when(F.col("page") == 0, "0").otherwise(F.concat(F.lit("t"), F.col("page").cast("string"))).alias("key"), F.to_json(F.struct(own.alias("results"), F.col("next").alias("nextPage"))).alias("payload"))
     root = folder(spark, "crawl")
     stream = paging.page_stream(spark, LANDED, laid(spark, made, "tokens"), plan, f"{root}/places", wait=0)

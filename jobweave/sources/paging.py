@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import json
+import zlib
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
 
+import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
@@ -268,3 +270,21 @@ def landed_page(slug: str, request: Request) -> Answer:
         return Answer("{}", 404)
     with system.open_input_stream(found[0].path) as f:
         return Answer(f.read().decode())
+
+
+#: Folders of landed rows.
+BUCKETS = 64
+
+
+def landed_row(slug: str, request: Request) -> Answer:
+    """A fetcher over pages that were landed as rows (slug, key, payload), as folder|slug: Parquet below bucket=<crc32 of slug, line feed and key, modulo BUCKETS>, keys as of
+    `landed_page`. A crawl opens a file for each page that it asks for, and pages that nobody asks for cost no file of their own; a page that is not there is empty."""
+    folder, _, own = slug.partition("|")
+    key = request.token or (str(request.offset) if request.term is None else f"{request.term}~{request.offset}")
+    system, path = fs.FileSystem.from_uri(folder) if "://" in folder or folder.startswith("file:") else (fs.LocalFileSystem(), folder)
+    bucket = zlib.crc32(f"{own}\n{key}".encode()) % BUCKETS
+    files = [i.path for i in system.get_file_info(fs.FileSelector(f"{path}/bucket={bucket}", allow_not_found=True)) if i.base_name.startswith("part-")]
+    if not files:
+        return Answer("{}", 404)
+    found = ds.dataset(files, filesystem=system, format="parquet").to_table(columns=["payload"], filter=(ds.field("slug") == own) & (ds.field("key") == key))
+    return Answer(found["payload"][0].as_py()) if found.num_rows else Answer("{}", 404)

@@ -129,3 +129,14 @@ def test_a_failing_source_costs_its_own_rows(spark):
     counts = {r.source: (r.x, r.error is None) for r in landing.by_source(done.report, done.records.withColumn("outcome", F.lit("x")), ["x"]).collect()}
     assert counts == {"a": (0, True), "b": (0, False), "c": (0, False), "d": (5, True)}
     assert landing.landed(spark, {"b": unplanned}).records is None
+
+
+def test_landed_rows_are_few_files(spark):
+    from jobweave.plans import queries_reading
+
+    made = spark.createDataFrame([(f"b{k % 5}", f"t{k // 5}", f"page {k}") for k in range(1000)], "slug string, key string, payload string")
+    slugs = queries_reading.laid(spark, made, "few")
+    path = slugs[0].split("|")[0]
+    assert len(spark.read.parquet(path).inputFiles()) <= paging.BUCKETS  # of a thousand
+    ask = lambda slug, token: paging.landed_row(slug, paging.Request(None, 0, token, 40))
+    assert [ask(s, "t7").payload for s in slugs] == [f"page {35 + k}" for k in range(5)] and ask(slugs[0], "t200").status == 404
