@@ -1,13 +1,15 @@
 """Near-duplicate links of a stream: each posting is linked to the first one of the last days whose fingerprint is near, out of state.
 
-A posting goes to each of its band keys. A key's state holds the fingerprints of its window, one entry for each fingerprint and time, so copies that arrive together are one; an event-time
+A posting goes to each of its band keys, which lie in a fixed number of cells, as a call for each key would cost far more than its rows. A cell's state holds, by key, the fingerprints of its window, one entry for each fingerprint and time, so copies that arrive together are one; an event-time
 timer drops what no later posting can be linked to any more. What the keys of a posting find leaves in one micro-batch, where the first of all is taken.
 """
 
 from __future__ import annotations
 
 import datetime as dt
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -23,53 +25,80 @@ ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvide
 
 
 class Window(StatefulProcessor):
-    """Of one band key. State: (fingerprint, time in microseconds) -> smallest id."""
+    """Of a cell of band keys. State: (band key, fingerprint, time in microseconds) -> smallest id. What no posting within `late` of the newest one can be linked to is not stored."""
 
-    def __init__(self, days: int, distance: int):
-        self.span, self.distance = days * 86_400_000_000, distance
+    def __init__(self, days: int, distance: int, late: int):
+        self.span, self.distance, self.late = days * 86_400_000_000, distance, late
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getMapState("held", "print string, t long", "id long")
+        self.held = handle.getMapState("held", "band int, value long, print string, t long", "id long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        new = pd.concat(list(rows), ignore_index=True)  # a micro-batch's rows of one key
+        new = pd.concat(list(rows), ignore_index=True)  # a micro-batch's rows of one cell
         new["t"] = new["at"].astype("datetime64[us]").astype("int64")
-        known: dict[str, dict[int, int]] = {}
-        for (p, t), (i,) in self.held.iterator():
-            known.setdefault(p, {})[t] = i
-        bits = {p: int(p, 16) for p in {*known, *new["print"]}}
-        near = {p: [q for q in bits if (bits[p] ^ bits[q]).bit_count() <= self.distance] for p in set(new["print"])}
-        out = []
-        for row in new.sort_values(["t", "id"]).itertuples():
-            best = None
-            for q in near[row.print]:
-                for t, i in known.get(q, {}).items():
-                    if row.t - self.span <= t and (t, i) < (row.t, row.id) and (best is None or (t, i) < best):
-                        best = (t, i)
-            if best:
-                out.append((row.id, row.at, best[1], pd.Timestamp(best[0], unit="us")))
-            times = known.setdefault(row.print, {})
-            if row.t not in times or row.id < times[row.t]:
-                times[row.t] = int(row.id)
-                self.held.updateValue((row.print, int(row.t)), (int(row.id),))
-        self._wake(min(t for times in known.values() for t in times))
-        yield pd.DataFrame(out, columns=["id", "at", "parent", "parent_at"])
+        new = new.sort_values(["band", "value", "t", "id"])
+        limit = int(new["t"].max()) - self.late - self.span - 1000  # watermarks count milliseconds
+        old: dict[tuple[int, int], list[tuple[str, int, int]]] = {}
+        kept: dict[tuple, int] = {}
+        for (band, value, p, t), (i,) in list(self.held.iterator()):
+            old.setdefault((band, value), []).append((p, t, i))
+            if t < limit:
+                self.held.removeKey((band, value, p, t))
+            else:
+                kept[band, value, p, t] = i
+        out, changed = [], {}
+        lists = zip(*[new[c].tolist() for c in ("band", "value", "print", "t", "id")])
+        for own, group in groupby(lists, key=lambda r: r[:2]):
+            posted = list(group)
+            known: dict[str, list[tuple[int, int]]] = {}
+            for p, t, i in sorted(old.get(own, [])):
+                known.setdefault(p, []).append((t, i))
+            near: dict[str, list[str]] = {}
+            if known or len(posted) > 1:
+                bits = {p: int(p, 16) for p in {*known, *(r[2] for r in posted)}}
+                near = {p: [q for q in bits if (bits[p] ^ bits[q]).bit_count() <= self.distance] for p in {r[2] for r in posted}}
+            for _, _, p, t, i in posted:
+                best = None
+                for q in near.get(p, ()):
+                    times = known.get(q, ())
+                    k = bisect_left(times, (t - self.span,))
+                    if k < len(times) and times[k] < (t, i) and (best is None or times[k] < best):
+                        best = times[k]
+                if best:
+                    out.append((i, t, best[1], best[0]))
+                times = known.setdefault(p, [])
+                k = bisect_left(times, (t,))
+                if k == len(times) or times[k][0] != t:
+                    times.insert(k, (t, i))
+                elif i < times[k][1]:
+                    times[k] = (t, i)
+                else:
+                    continue
+                if t >= limit:
+                    changed[(*own, p, t)] = i
+        for where, i in changed.items():
+            self.held.updateValue(where, (i,))
+        left = [where[3] for where in (*kept, *changed)]
+        if left:
+            self._wake(min(left))
+        found = pd.DataFrame(out, columns=["id", "at", "parent", "parent_at"])
+        yield found.assign(at=pd.to_datetime(found["at"], unit="us"), parent_at=pd.to_datetime(found["parent_at"], unit="us"))
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         self.handle.deleteTimer(expiredTimerInfo.getExpiryTimeInMs())
         limit = timerValues.getCurrentWatermarkInMs() * 1000 - self.span
         entries = [k for k, _ in self.held.iterator()]
-        left = [t for p, t in entries if t >= limit]
-        for p, t in entries:
-            if t < limit:
-                self.held.removeKey((p, t))
+        left = [where[3] for where in entries if where[3] >= limit]
+        for where in entries:
+            if where[3] < limit:
+                self.held.removeKey(where)
         if left:
             self._wake(min(left))
         yield pd.DataFrame([], columns=["id", "at", "parent", "parent_at"])
 
     def _wake(self, oldest: int) -> None:
-        """One timer a key: when the oldest entry leaves the window. Times are rounded up, as timers count milliseconds."""
+        """One timer a cell: when the oldest entry leaves the window. Times are rounded up, as timers count milliseconds."""
         for t in list(self.handle.listTimers()):
             self.handle.deleteTimer(t)
         self.handle.registerTimer(-(-(oldest + self.span) // 1000) + 1)
@@ -78,12 +107,14 @@ class Window(StatefulProcessor):
         pass
 
 
-def candidates(stream: DataFrame, days: int = 14, late: str = "0 seconds", blocks: int = 4, distance: int = NEAR) -> DataFrame:
-    """id, at, parent, parent_at: what each band key of a posting (id, print, at) finds. Postings later than `late` behind the newest ones are dropped, as Spark does with a watermark."""
+def candidates(stream: DataFrame, days: int = 14, late: str = "0 seconds", blocks: int = 4, distance: int = NEAR, cells: int = 1024) -> DataFrame:
+    """id, at, parent, parent_at: what each band key of a posting (id, print, at) finds. Keys are kept by cells, a call of the processor for each. Postings later than `late` behind the newest ones are dropped, as Spark does with a watermark."""
     high, low = halves(F.col("print"))
     rows = stream.where("print is not null and at is not null").select(F.col("id").cast("long").alias("id"), "print", F.col("at").cast("timestamp").alias("at")).withWatermark("at", late)
-    keyed = banded(rows.withColumns({"high": high, "low": low}), blocks, distance, ("id", "at")).select("band", "value", "id", "print", "at")
-    return keyed.groupBy("band", "value").transformWithStateInPandas(Window(days, distance), FOUND, "Append", "EventTime")
+    keyed = banded(rows.withColumns({"high": high, "low": low}), blocks, distance, ("id", "at"))
+    keyed = keyed.select(F.pmod(F.xxhash64("band", "value"), F.lit(cells)).cast("int").alias("cell"), "band", "value", "id", "print", "at")
+    micros = stream.sparkSession.sql(f"SELECT unix_micros(timestamp_micros(0) + INTERVAL '{late}')").first()[0]
+    return keyed.groupBy("cell").transformWithStateInPandas(Window(days, distance, micros), FOUND, "Append", "EventTime")
 
 
 def linked(stream: DataFrame, table: str, checkpoint: str, **options) -> StreamingQuery:

@@ -13,6 +13,7 @@ from jobweave.operators.ledger import Ledger
 from jobweave.operators.print_index import PrintIndex
 from jobweave.plans.ingest import ingested, remembered
 from jobweave.plans.queries_stored import described
+from jobweave.plans.queries_stored import described
 from jobweave.streaming import lookback
 
 PRINTS = "id long, print string, at timestamp, root long"
@@ -230,3 +231,43 @@ def test_prompts_are_dealt_to_many_tasks(spark):
     out = drafting.generated(jobs, apps, "{{title}}", lambda kind, prompt: f"{kind} {prompt}", "n")
     sizes = [len(p) for p in out.drafts.rdd.glom().collect()]
     assert sum(sizes) == 400 and max(sizes) < 200 and out.applications.where("status = 'drafted'").count() == 200
+
+
+def test_a_cell_stores_only_what_can_still_be_linked_to():
+    """One call for many band keys; what is out of the window at the call's end is not stored first and dropped later."""
+    import pandas as pd
+
+    class Held(dict):
+        def iterator(self):
+            return iter([(k, v) for k, v in self.items()])
+
+        updateValue, removeKey = dict.__setitem__, dict.pop
+
+    class Handle:
+        def __init__(self):
+            self.held, self.timers = Held(), []
+
+        getMapState = lambda self, *_: self.held
+        listTimers = lambda self: list(self.timers)
+        deleteTimer = lambda self, t: self.timers.remove(t)
+        registerTimer = lambda self, t: self.timers.append(t)
+
+    handle, own = Handle(), lookback.Window(14, 3, 0)
+    own.init(handle)
+    rows = pd.DataFrame([(k % 5, 7, k, f"{k % 5:016x}", dt.datetime(2024, 1, 1) + dt.timedelta(days=k)) for k in range(200)], columns=["band", "value", "id", "print", "at"])
+    found = pd.concat(own.handleInputRows((1,), iter([rows]), None))
+    assert dict(zip(found["id"], found["parent"])) == {k: k - 10 if k >= 10 else k - 5 for k in range(5, 200)}
+    assert len(handle.held) == 15 and len(handle.timers) == 1
+
+
+def test_sources_and_ingest_deal_their_records(spark, monkeypatch):
+    from jobweave.plans import ingest, queries_sources
+
+    root, seen = "/root/testdata/sf0.001", []
+    made = queries_sources.deep_items(spark, root)["weworkremotely"]
+    assert made.rdd.getNumPartitions() > 1  # of a table of one row group
+    keyed = ingest.keyed
+    monkeypatch.setattr(ingest, "keyed", lambda rows, *more: seen.append("Exchange" in rows._jdf.queryExecution().executedPlan().toString()) or keyed(rows, *more))
+    rows = described(spark, root).coalesce(1)
+    empty = spark.createDataFrame([], "id long, dedupe_hash string, title_key string, cross_source_hash string, jd_fingerprint string, ingested_at timestamp, duplicate_of long")
+    assert ingest.ingested(rows, empty, F.lit("2000-05-20").cast("timestamp")).rows.count() == rows.count() and seen == [True]
