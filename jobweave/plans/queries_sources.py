@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from jobweave.functions import text
 from jobweave.operators import rules
-from jobweave.operators.lineage import shared_folder
+from jobweave.operators.lineage import dealt, shared_folder
 from jobweave.plans.binding import DESCRIPTIONS, LOCATIONS, POSTINGS, TAGS, TITLES, one_of, postings, sql_one_of, table
 from jobweave.plans.ingest import ingested, keyed
 from jobweave.plans.queries_dedupe import COMPANY, CROSS, TITLE
@@ -24,7 +24,7 @@ def obj(**columns):
 
 def deep_items(spark, sf_dir):
     """Answers of the five sources whose items come with details, pages, feeds or threads, made of postings and read by the engine's own readers."""
-    p = postings(spark, sf_dir).withColumn("turn", F.pmod("id", F.lit(5)))
+    p = dealt(postings(spark, sf_dir), "id").withColumn("turn", F.pmod("id", F.lit(5)))
     of = lambda k: p.where(F.col("turn") == k)
     key, title, place, body = F.col("id").cast("string"), F.col("title"), F.coalesce("location", F.lit("")), F.col("description")
     posted, work = F.date_format("posted_at", "yyyy-MM-dd"), F.when(F.col("remote"), "Remote").otherwise("")

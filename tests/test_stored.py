@@ -13,7 +13,6 @@ from jobweave.operators.ledger import Ledger
 from jobweave.operators.print_index import PrintIndex
 from jobweave.plans.ingest import ingested, remembered
 from jobweave.plans.queries_stored import described
-from jobweave.plans.queries_stored import described
 from jobweave.streaming import lookback
 
 PRINTS = "id long, print string, at timestamp, root long"
