@@ -11,7 +11,7 @@ from jobweave.functions.dates import is_stale
 from jobweave.functions.hashes import NEAR, cross_key, simhash, source_key
 from jobweave.functions.text import normal_company, normal_title
 from jobweave.operators.dedupe import canonical, first_wins, near_links
-from jobweave.operators.lineage import cut_lineage
+from jobweave.operators.lineage import cut_lineage, dealt
 from jobweave.operators.print_index import PrintIndex
 from jobweave.operators.rules import FilterConfig, classified
 
@@ -49,7 +49,7 @@ def ingested(records: DataFrame, stored: DataFrame, now: Column, config: FilterC
     """
     spark = records.sparkSession
     none = spark.createDataFrame([], "key string")
-    keys = keyed(records, config, now)
+    keys = keyed(dealt(records, "ord"), config, now)
     black = (blacklist if blacklist is not None else none).select(F.col("key").alias("company_key"), F.lit(True).alias("is_blacklisted")).distinct()
     shut = (blocked if blocked is not None else none).select(F.col("key").alias("company_key"), F.lit(True).alias("is_blocked")).distinct()
     flagged = keys.join(black, "company_key", "left").join(shut, "company_key", "left")
