@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from jobweave.functions.text import banned_in, exfil_in, rendered, untrusted
 from jobweave.operators.lineage import cut_lineage, dealt
 from jobweave.operators.state import drafted
-from jobweave.sources.sinks import drafts
+from jobweave.sources.sinks import storable
 
 Writer = Callable[[str, str], str]  # (kind, prompt) -> markdown
 KINDS = ["resume", "cover_letter"]
@@ -27,8 +27,11 @@ class Drafted:
 
 def prompts(jobs: DataFrame, template: str, nonce: str) -> DataFrame:
     """job_id, kind, prompt of jobs (id, title, company_name, description); what others wrote is fenced by the nonce and cleaned of it."""
-    values = {"nonce": F.lit(nonce), "kind": F.col("kind")} | {c: untrusted(F.col(c), nonce) for c in ("title", "company_name", "description")}
-    return jobs.withColumn("kind", F.explode(F.array(*map(F.lit, KINDS)))).select(F.col("id").alias("job_id"), "kind", rendered(template, values).alias("prompt"))
+    others = ("title", "company_name", "description")
+    values = {"nonce": F.lit(nonce)} | {c: F.col(c) for c in ("kind", *others)}
+    # Cleaned once for a job, not for each of its kinds.
+    fenced = jobs.select("id", *[untrusted(F.col(c), nonce).alias(c) for c in others])
+    return fenced.withColumn("kind", F.explode(F.array(*map(F.lit, KINDS)))).select(F.col("id").alias("job_id"), "kind", rendered(template, values).alias("prompt"))
 
 
 def written(asked: DataFrame, writer: Writer, attempts: int = 2) -> DataFrame:
@@ -56,10 +59,11 @@ def written(asked: DataFrame, writer: Writer, attempts: int = 2) -> DataFrame:
 
 def generated(jobs: DataFrame, applications: DataFrame, template: str, writer: Writer, nonce: str) -> Drafted:
     """Drafts of both kinds for jobs, cleaned; a job with both gets an application in the status drafted, unless it is further on (applications: job_id, status)."""
-    answers = cut_lineage(written(prompts(dealt(jobs, "id"), template, nonce), writer))
-    clean = drafts(answers.where("markdown is not null"))
+    # Cleaned before they are stored: each of the checks behind would clean every text anew.
+    answers = cut_lineage(written(prompts(dealt(jobs, "id"), template, nonce), writer).withColumn("markdown", storable(F.col("markdown"))))
+    clean = answers.where("markdown is not null").select("job_id", "kind", "markdown")
     clean = clean.where((F.size(banned_in(F.col("markdown"))) == 0) & (F.size(exfil_in(F.col("markdown"))) == 0))
-    whole = clean.groupBy("job_id").agg(F.count_distinct("kind").alias("n")).where(F.col("n") == len(KINDS)).select(F.col("job_id").alias("_job"))
+    whole = clean.groupBy("job_id").agg(*[F.bool_or(F.col("kind") == k).alias(k) for k in KINDS]).where(" AND ".join(KINDS)).select(F.col("job_id").alias("_job"))
     joined = applications.join(whole, applications["job_id"] == whole["_job"], "full")
     status = F.when(F.col("_job").isNotNull(), drafted(F.col("status"))).otherwise(F.col("status"))
     return Drafted(clean, joined.select(F.coalesce("job_id", "_job").alias("job_id"), status.alias("status")), answers.where("error is not null").select("job_id", "kind", "error"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from jobweave.functions.text import sanitised, without_exfil
@@ -24,10 +24,14 @@ def appended(df: DataFrame, path: str, by: list[str] | None = None) -> None:
     (writer.partitionBy(*by) if by else writer).parquet(path)
 
 
+def storable(markdown: Column) -> Column:
+    """A draft's text as it may be stored: cleaned of banned characters and of what could load or track."""
+    return without_exfil(sanitised(markdown))
+
+
 def drafts(rows: DataFrame) -> DataFrame:
-    """job_id, kind, markdown as they may be stored: cleaned of banned characters and of what could load or track."""
-    clean = without_exfil(sanitised(F.col("markdown")))
-    return rows.select("job_id", "kind", clean.alias("markdown")).where(F.col("kind").isin("resume", "cover_letter"))
+    """job_id, kind, markdown as they may be stored."""
+    return rows.select("job_id", "kind", storable(F.col("markdown")).alias("markdown")).where(F.col("kind").isin("resume", "cover_letter"))
 
 
 def stats_json(stats: DataFrame) -> DataFrame:
