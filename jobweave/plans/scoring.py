@@ -18,6 +18,7 @@ from jobweave.operators.state import to_archive
 
 ANSWER = "id long, score int, rubric map<string,struct<points:int,note:string>>, reasoning string, error string, position int"
 COLUMNS = [c.split(" ")[0] for c in ANSWER.split(", ")]
+NAMES = pd.Index(COLUMNS, dtype=object)
 Scorer = Callable[[pd.DataFrame], pd.DataFrame]
 
 
@@ -32,7 +33,7 @@ def keyword_scorer(words: list[str]) -> Scorer:
             rubric = {k: {"points": int(w * part), "note": ""} for k, w in RUBRIC.items()}
             rows.append((job, sum(p["points"] for p in rubric.values()), rubric, "words", None, place))
         # One block of objects: a frame of columns takes longer to make than a job to score.
-        return pd.DataFrame(np.array(rows, dtype=object).reshape(-1, len(COLUMNS)), columns=COLUMNS)
+        return pd.DataFrame(np.array(rows, dtype=object).reshape(-1, len(COLUMNS)), columns=NAMES, dtype=object)
 
     return score
 
@@ -149,14 +150,20 @@ TOLD = "lane int, batch long, upto long, scored boolean, usage string, first int
 HANDED = 2_000
 
 
-def called(rows: DataFrame, scorer: Scorer, lanes: int, attempts: int, most_errors: int, armed: bool, streak: Streak | None) -> DataFrame:
+def laid(rows: DataFrame, lanes: int) -> DataFrame:
+    """rows (lane, batch, id, description) stored once for all epochs: each lane is a partition, in order."""
+    return cut_lineage(rows.repartitionById(lanes, F.col("lane")).sortWithinPartitions("lane", "batch", "id"))
+
+
+def called(rows: DataFrame, scorer: Scorer, attempts: int, most_errors: int, armed: bool, streak: Streak | None) -> DataFrame:
     """ANSWER and `told` (TOLD): answers to rows, and behind those of each lane how far it came (batch, and id within it) and what it met.
 
     With a streak, all lanes are one stretch in one task, which goes on from the streak and ends as soon as anything is scored or the breaker trips. Without one, lanes are
-    stretches of their own, each in a task of its own. rows: lane, batch, id, description.
+    stretches of their own, each in a task of its own. rows: lane, batch, id, description, as `laid` has stored them.
     """
     alone = streak is not None
-    ordered = (rows.coalesce(1) if alone else rows.repartitionById(lanes, F.col("lane"))).sortWithinPartitions("lane", "batch", "id")
+    # All tasks look for the rows of the one stretch; lanes are read as they lie.
+    ordered = rows.repartition(1).sortWithinPartitions("lane", "batch", "id") if alone else rows
 
     def batches(parts: Iterator[pd.DataFrame]) -> Iterator[tuple[int, int, list, pd.DataFrame]]:
         """lane, batch, ids, jobs: the last batch of a part may go on in the next."""
@@ -220,7 +227,7 @@ def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int =
     """
     sized = pending.select("id", "description", F.pmod("id", F.lit(lanes)).cast("int").alias("lane"), F.length("description").alias("size"))
     batches = packed(sized.select("lane", "id", "size"), "lane", "id", "size")
-    rows = cut_lineage(sized.join(batches.select("id", "batch"), "id").select("lane", "batch", "id", "description"))
+    rows = laid(sized.join(batches.select("id", "batch"), "id").select("lane", "batch", "id", "description"), lanes)
     last = rows.agg(F.max("batch").alias("b")).first()["b"]
     answer = COLUMNS
     out, done, streak, armed, upto = [], {}, Streak(), True, 1
@@ -236,7 +243,7 @@ def scored(pending: DataFrame, scorer: Scorer, lanes: int = 64, attempts: int =
 
     while last is not None:
         alone = armed and not out
-        part = called(left().where(F.col("batch") < upto), scorer, lanes, attempts, most_errors, armed, Streak() if alone else None)
+        part = called(left().where(F.col("batch") < upto), scorer, attempts, most_errors, armed, Streak() if alone else None)
         out.append(part.where("told is null").select(*answer))
         told = sorted((r["told"] for r in part.where("told is not null").select("told").collect()), key=lambda t: t["lane"])
         done |= {t["lane"]: (t["batch"], t["upto"]) for t in told if t["batch"] >= 0}

@@ -451,6 +451,23 @@ def test_answers_of_many_epochs_are_few_partitions(spark):
     assert out.rdd.getNumPartitions() <= 4 and out.where("score = 100").count() == 900
 
 
+def test_lanes_are_laid_once(spark, monkeypatch):
+    """Epochs read the stored lanes as they lie, and the one stretch of the first epoch is looked for by all tasks; each epoch had dealt and sorted its lanes anew, and one task had read all rows."""
+    rows = spark.createDataFrame([(k, "react" if k % 3 else "none") for k in range(900)], "id long, description string").repartition(6)
+    plans, stored = [], scoring.cut_lineage
+
+    def noted(df):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    monkeypatch.setattr(scoring, "cut_lineage", noted)
+    got = {r.id: r.score for r in scoring.scored(rows, scoring.keyword_scorer(["react"]), lanes=4).collect()}
+    assert got == {k: 100 if k % 3 else 0 for k in range(900)}
+    first, *others = [p for p in plans if "MapInPandas" in p.split("\n")[0]]
+    assert "Repartition 1, true" in first and len(others) > 3
+    assert not any(word in p for p in others for word in ("Repartition", "Sort"))
+
+
 def test_streaks_join(spark):
     rng = random.Random(3)
     for _ in range(300):
